@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmill.llm import language, sharding
+from quillmill.llm import bpe, language, sharding, wordpiece
 
-MODULES = [sharding, language]
+MODULES = [sharding, language, bpe, wordpiece]
 
 
 def queries() -> dict:
