@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmill.llm import bpe, language, sharding, wordpiece
+from quillmill.llm import bpe, language, secrets, sharding, wordpiece
 
-MODULES = [sharding, language, bpe, wordpiece]
+MODULES = [sharding, language, bpe, wordpiece, secrets]
 
 
 def queries() -> dict:
