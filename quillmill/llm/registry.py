@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmill.llm import bpe, language, secrets, sharding, wordpiece
+from quillmill.llm import bpe, language, quality, secrets, sharding, wordpiece
 
-MODULES = [sharding, language, bpe, wordpiece, secrets]
+MODULES = [sharding, language, bpe, wordpiece, secrets, quality]
 
 
 def queries() -> dict:
