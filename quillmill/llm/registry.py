@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmill.llm import bpe, language, quality, secrets, sharding, wordpiece
+from quillmill.llm import bpe, html, language, quality, secrets, sharding, simhash, wordpiece
 
-MODULES = [sharding, language, bpe, wordpiece, secrets, quality]
+MODULES = [quality, html, bpe, secrets, wordpiece, sharding, language, simhash]
 
 
 def queries() -> dict:
