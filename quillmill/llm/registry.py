@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmill.llm import bpe, html, language, quality, secrets, sharding, simhash, wordpiece
+from quillmill.llm import bpe, html, language, quality, secrets, sharding, simhash, substrings, wordpiece
 
-MODULES = [quality, html, bpe, secrets, wordpiece, sharding, language, simhash]
+MODULES = [quality, html, bpe, secrets, wordpiece, sharding, language, simhash, substrings]
 
 
 def queries() -> dict:
