@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.base import pick, slabs, stored, table
+from quillmill.llm.base import pick, runs, slabs, stored, table
 from quillmill.llm.components import components
 
 #: The perfect binary code of length 23: every word lies within 3 flips of exactly one code word. Its generator polynomial is a fixed value.
@@ -206,20 +207,46 @@ def fingerprinted(docs: DataFrame, id_col: str, text_col: str, words_a_shingle:
     return pick(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_a_shingle: int = 3, limit: int = LINK) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable over links) of every document.
-
-    Copies count once: only distinct fingerprints are sent to anchors and compared. Null texts and texts without a word have fingerprint zero and
-    link like any other. Repeated rows stay, in one component. Null ids never name a component unless it has no other. Other columns are not read.
-    """
-    per_doc = stored(fingerprinted(docs, id_col, text_col, words_a_shingle), "fingerprints")
+def components_of(per_doc: DataFrame, limit: int = LINK) -> DataFrame:
+    """(fp, component_id) of every distinct fingerprint of per_doc (doc_id, fp). Copies count once: only distinct fingerprints are compared."""
     per_fp = stored(per_doc.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     labels = components(links(per_fp.select("fp"), limit))
     named = labels.join(per_fp, labels["node"] == per_fp["fp"]).select("node", "root", "first")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     linked = stored(named.join(least, "root").selectExpr("node as fp", "least"), "linked-fingerprints")
-    of_fp = per_fp.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return per_doc.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return per_fp.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_a_shingle: int = 3, limit: int = LINK) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable over links) of every document.
+
+    Null texts and texts without a word have fingerprint zero and link like any other. Repeated rows stay, in one component. Null ids never name a
+    component unless it has no other. Other columns are not read.
+    """
+    per_doc = stored(fingerprinted(docs, id_col, text_col, words_a_shingle), "fingerprints")
+    return per_doc.join(components_of(per_doc, limit), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_a_shingle: int = 3, limit: int = LINK) -> DataFrame:
+    """Of each group of near-duplicates the one row that names it, with all its columns. Of repeated rows with that id one stays, whichever;
+    where all ids of a group are null, one of each fingerprint."""
+    per_doc = stored(fingerprinted(docs, id_col, text_col, words_a_shingle), "fingerprints")
+    first = stored(per_doc.join(components_of(per_doc, limit), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").count(), "first-documents")
+    # a component's first id may stand in several rows, alike or not; usually it doesn't, and then texts needn't meet
+    alone = first.filter("doc_id is null or count > 1").limit(1).count() == 0 and first.groupBy("doc_id").count().filter("count > 1").limit(1).count() == 0
+    if alone:
+        return docs.join(first.select(F.col("doc_id").alias("__first")), F.col(f"`{id_col}`") == F.col("__first"), "left_semi")
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    own, text = columns[docs.columns.index(id_col)], columns[docs.columns.index(text_col)]
+
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.concatenate([np.zeros(0, np.int64), *(fingerprints(run, words_a_shingle).view(np.int64) for run in runs(texts, 4 << 20))]))
+
+    marked = docs.toDF(*columns).withColumn("__fp", print_of(text))
+    kept = marked.join(components_of(per_doc, limit), marked["__fp"] == F.col("fp")).filter(F.col(own).cast("long").eqNullSafe(F.col("component_id")))
+    one = kept.withColumn("fp", F.when(F.col("component_id").isNull(), F.col("fp"))).dropDuplicates(["component_id", "fp"])
+    return one.select(*[F.col(k).alias(c) for k, c in zip(columns, docs.columns, strict=True)])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
