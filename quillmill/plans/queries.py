@@ -1,0 +1,447 @@
+"""Queries over the driver's tables, one or more for each group of operators, with SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmill.functions.dates import first_date
+from quillmill.functions.text import extract_identifiers, infer_language
+from quillmill.functions.urls import loose_url_key, normalize_url
+from quillmill.operators import checks, claims, health, ingest, licences, listings, markdown, pages, relations, summaries, triage
+from quillmill.plans.views import CONFIG, ITEMS_SQL, NOW, OUTCOMES_SQL, SOURCES_SQL, TASTE, TODAY, entries, items, outcomes, sources, table
+from quillmill.streaming.jobs import rolling_outcomes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f):  # noqa: ANN001, ANN202
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _any(terms: tuple[str, ...], column: str = "hay") -> str:
+    return "(" + " OR ".join(f"contains({column}, '{t}')" for t in terms) + ")" if terms else "FALSE"
+
+
+def _hits(terms: tuple[str, ...], column: str = "hay") -> str:
+    return "(" + " + ".join(f"contains({column}, '{t}')::INT" for t in terms) + ")" if terms else "0"
+
+
+def _per_track(part: str, how: Callable[[tuple[str, ...]], str] = _any) -> str:
+    return "CASE track " + " ".join(f"WHEN '{t}' THEN {how(getattr(c, part))}" for t, c in CONFIG.items()) + " END"
+
+
+TRIAGE_SQL = f"""WITH {ITEMS_SQL},
+    hay AS (SELECT *, replace(lower(concat_ws(chr(10), coalesce(title, ''), coalesce(summary, ''), coalesce(source_id, ''), '', concat_ws(' ', source_id, lang), url)), 'ß', 'ss') AS hay FROM items),
+    hits AS (SELECT *, {_per_track("keep")} AS k, {_per_track("skip")} AS s, {_per_track("mechanism")} AS m FROM hay),
+    triaged AS (SELECT *, CASE WHEN s AND m AND NOT k THEN 'suggest-ask' WHEN s THEN 'suggest-skip' WHEN k THEN 'suggest-keep' WHEN m THEN 'suggest-ask' ELSE 'suggest-skip' END AS recommendation FROM hits)"""
+
+
+@query(TRIAGE_SQL + " SELECT source_id, recommendation, count(*) AS n_items FROM triaged GROUP BY ALL")
+def triage_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.triage_counts(triage.triage(items(spark, sf_dir), CONFIG), "source_id")
+
+
+@query(TRIAGE_SQL + " SELECT id, recommendation, " + ", ".join(f"({_per_track(p, _hits)})::INT AS n_{p}" for p in ("keep", "skip", "mechanism")) + " FROM triaged")
+def triage_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triage.triage(items(spark, sf_dir), CONFIG)
+    return t.select("id", "triage.recommendation", F.size("triage.matched_keywords").alias("n_keep"), F.size("triage.skip_keywords").alias("n_skip"), F.size("triage.mechanism_keywords").alias("n_mechanism"))
+
+
+@query(
+    f"""WITH {ITEMS_SQL}, facts AS (
+        SELECT 'tag' AS kind, outcome, unnest([source_id, lang]) AS value FROM items UNION ALL SELECT 'source', outcome, source_id FROM items UNION ALL SELECT 'reason', outcome, reason FROM items WHERE outcome = 'rejected')
+    SELECT kind, outcome, value, count(*) AS n FROM facts WHERE outcome IS NOT NULL AND value IS NOT NULL GROUP BY ALL"""
+)
+def history_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.history_profile(items(spark, sf_dir))
+
+
+@query(
+    f"""WITH {ITEMS_SQL}, counts AS (SELECT source_id, reason, count(*) AS n FROM items WHERE outcome = 'rejected' GROUP BY ALL)
+    SELECT source_id, reason, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n DESC, reason) AS rank FROM counts) WHERE rank <= 5"""
+)
+def rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.top_reasons(items(spark, sf_dir))
+
+
+def _plain_hits(words: dict[str, tuple[str, ...]], column: str) -> str:
+    return "CASE track " + " ".join(f"WHEN '{t}' THEN {_hits(w, column)}" for t, w in words.items()) + " ELSE 0 END"
+
+
+CUES = triage.Cues()
+EDITORIAL_SQL = (
+    TRIAGE_SQL
+    + f""",
+    prof AS (SELECT unnest([source_id, lang]) AS value, outcome FROM items WHERE outcome IS NOT NULL),
+    tagn AS (SELECT value, bool_or(outcome = 'collected') AS c, bool_or(outcome = 'rejected') AS r FROM prof WHERE value IS NOT NULL GROUP BY value),
+    srcn AS (SELECT source_id AS value, bool_or(outcome = 'collected') AS c, bool_or(outcome = 'rejected') AS r FROM items WHERE outcome IS NOT NULL GROUP BY source_id),
+    drafts AS (SELECT id AS draft, source_id, lang FROM items WHERE outcome = 'collected' ORDER BY captured DESC, id LIMIT 50),
+    related AS (SELECT i.id, count(*) AS n FROM items i JOIN drafts d ON i.source_id = d.source_id AND i.lang = d.lang AND i.id <> d.draft GROUP BY i.id),
+    scored AS (
+        SELECT t.*, {_per_track("keep", _hits)} AS nk, {_per_track("skip", _hits)} AS ns, {_hits(CUES.low_value)} AS low,
+            coalesce(s.c, FALSE)::INT + coalesce(a.c, FALSE)::INT + coalesce(b.c, FALSE)::INT AS prior0, coalesce(s.r, FALSE)::INT + coalesce(a.r, FALSE)::INT + coalesce(b.r, FALSE)::INT AS gone0,
+            concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(t.source_id, ''), '', concat_ws(' ', t.source_id, lang)) AS plain,
+            trim(regexp_replace(regexp_replace(coalesce(summary, ''), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS clean, coalesce(n, 0) AS nd
+        FROM triaged t LEFT JOIN srcn s ON s.value = t.source_id LEFT JOIN tagn a ON a.value = t.source_id LEFT JOIN tagn b ON b.value = t.lang LEFT JOIN related USING (id)),
+    points AS (
+        SELECT *, nk * 2 - ns * 3 - (recommendation = 'suggest-skip' AND nk = 0)::INT AS keyword_score, least(5, prior0) AS prior_score, least(6, gone0 + (ns > 0)::INT + (low > 0)::INT + ns) AS deletion_score,
+            {_plain_hits(TASTE.themes, "plain")} - {_plain_hits(TASTE.avoid, "plain")} + regexp_matches(plain, '{"|".join(TASTE.locality)}')::INT AS taste_score,
+            CASE WHEN outcome = 'collected' THEN 'featured-article' WHEN {_any(CUES.featured)} OR length(clean) >= 700 THEN 'featured-article' WHEN {_any(CUES.news)} OR length(clean) <= 240 THEN 'small-news' ELSE 'needs-review' END AS content_kind
+        FROM scored),
+    decided AS (
+        SELECT *, CASE WHEN deletion_score >= 3 AND keyword_score <= 2 THEN 'suggest-skip' WHEN keyword_score >= 2 AND deletion_score = 0 AND prior_score >= 1 THEN 'suggest-collect'
+            WHEN keyword_score >= 1 AND deletion_score <= 2 THEN 'suggest-review' WHEN prior_score >= 3 AND deletion_score <= 1 THEN 'suggest-review' ELSE 'suggest-skip' END AS base FROM points),
+    upgraded AS (
+        SELECT *, CASE WHEN base <> 'suggest-skip' THEN '' WHEN taste_score >= 2 AND deletion_score < 3 THEN 'taste' WHEN deletion_score < 4 AND {_any(TASTE.beats)} THEN 'beat' WHEN deletion_score < 4 AND m THEN 'mechanism'
+            WHEN k THEN 'keep' WHEN ns = 0 AND {_any(tuple(x for v in TASTE.tracked.values() for x in v))} THEN 'tracked' WHEN ns = 0 AND nd > 0 THEN 'drafts' ELSE '' END AS upgrade FROM decided),
+    final AS (
+        SELECT *, CASE upgrade WHEN '' THEN base WHEN 'taste' THEN 'suggest-review' WHEN 'drafts' THEN 'suggest-review' ELSE 'suggest-ask' END AS decision,
+            CASE WHEN abs(keyword_score) >= 3 THEN 2 WHEN abs(keyword_score) >= 1 THEN 1 ELSE 0 END + (prior_score >= 2)::INT + (deletion_score >= 2)::INT AS p FROM upgraded)
+    SELECT id, decision AS recommendation, CASE WHEN p >= 4 THEN 'high' WHEN p >= 2 THEN 'medium' ELSE 'low' END AS confidence, content_kind, keyword_score::INT AS keyword_score, prior_score::INT AS prior_score,
+        deletion_score::INT AS deletion_score, taste_score::INT AS taste_score, upgrade FROM final"""
+)
+
+
+@query(EDITORIAL_SQL)
+def editorial_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = triage.triage(items(spark, sf_dir), CONFIG)
+    out = triage.editorial_triage(own, triage.history_profile(own), CONFIG, TASTE, drafts=own.filter(triage.outcome() == "collected"), today=TODAY)
+    return out.select("id", *[f"editorial_triage.{c}" for c in ("recommendation", "confidence", "content_kind", "keyword_score", "prior_score", "deletion_score", "taste_score", "upgrade")])
+
+
+@query(TRIAGE_SQL + " SELECT source_id, recommendation, outcome, count(*) AS n_items FROM triaged WHERE (recommendation = 'suggest-keep' AND outcome = 'rejected') OR (recommendation = 'suggest-skip' AND outcome = 'collected') GROUP BY ALL")
+def decision_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.decision_divergence(triage.triage(items(spark, sf_dir), CONFIG), "source_id")
+
+
+_SCORE = {t: f"({_hits(c.keep)} * 2 + {_hits(c.mechanism)} - {_hits(c.skip)} * 3)" for t, c in CONFIG.items()}
+
+
+@query(TRIAGE_SQL + f" SELECT id, CASE WHEN {_SCORE['local']} >= {_SCORE['open']} THEN 'local' ELSE 'open' END AS track, greatest({_SCORE['local']}, {_SCORE['open']})::INT AS score FROM hay")
+def track_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.score_tracks(items(spark, sf_dir), CONFIG).select("id", "track", F.col("scores")[0]["score"].alias("score"))
+
+
+COUNTS_SQL = f"""WITH {SOURCES_SQL}, counts AS (SELECT source_id, {", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}_total, count(*) FILTER (outcome = '{o}' AND happened >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS {o}_recent" for o in ("accepted", "rejected", "pending"))} FROM outcomes GROUP BY source_id)"""
+HEALTH_SQL = (
+    COUNTS_SQL
+    + """, assessed AS (SELECT s.id, c.* EXCLUDE (source_id), CASE WHEN status = 'archived' THEN 1 WHEN fetch_status = 'failed' THEN 2 WHEN rejected_recent >= 5 AND rejected_recent >= greatest(accepted_recent * 2, 3) THEN 3
+        WHEN blk >= 10 AND blk >= greatest(new_items * 3, 10) THEN 4 WHEN dup >= 10 AND new_items <= 2 THEN 5 WHEN accepted_recent >= 5 AND accepted_recent >= rejected_recent THEN 6
+        WHEN accepted_recent = 0 AND rejected_recent = 0 AND pending_recent = 0 THEN 7 ELSE 8 END AS rule FROM sources s JOIN counts c ON s.id = c.source_id),
+    levels AS (SELECT *, ['archived', 'danger', 'danger', 'watch', 'watch', 'healthy', 'new', 'watch'][rule] AS level FROM assessed)"""
+)
+
+
+def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.assess(sources(spark, sf_dir), health.outcome_counts(outcomes(spark, sf_dir), NOW, 7))
+
+
+@query(HEALTH_SQL + " SELECT id, level, accepted_total, rejected_total, pending_total, accepted_recent, rejected_recent, pending_recent FROM levels")
+def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assessed(spark, sf_dir).select("id", "level", *[f"{o}_{w}" for w in ("total", "recent") for o in ("accepted", "rejected", "pending")])
+
+
+@query(HEALTH_SQL + " SELECT level, count(*) AS n_sources FROM levels GROUP BY level")
+def health_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.level_distribution(_assessed(spark, sf_dir))
+
+
+@query(
+    f"""WITH {SOURCES_SQL} SELECT id, frequency, CASE WHEN status <> 'active' THEN 'not active' WHEN frequency = 'paused' THEN 'paused' WHEN frequency = 'on-update' THEN 'only on update'
+        WHEN epoch(TIMESTAMP '{NOW}' - last) / 3600 < CASE frequency WHEN 'hourly' THEN 1 WHEN 'six-hourly' THEN 6 WHEN 'daily' THEN 24 WHEN 'weekly' THEN 168 ELSE 720 END THEN frequency || ' is not due yet' END AS skip_reason FROM sources"""
+)
+def fetchable_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.fetchable_sources(sources(spark, sf_dir), NOW, ["rss"]).select("id", ingest.frequency().alias("frequency"), "skip_reason")
+
+
+URL_SQL = """
+    parts AS (SELECT *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?', ['scheme', 'host', 'path', 'query']) AS p FROM raw),
+    norm AS (SELECT * EXCLUDE (p), rtrim(lower(p.scheme) || '://' || lower(p.host) || p.path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END, '/') AS normalized
+        FROM (SELECT *, list_filter(string_split(p.query, '&'), lambda x : x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_.*|fbclid|gclid|igshid|mc_cid|mc_eid|ref)$')) AS q FROM parts))"""
+
+
+@query(f"WITH raw AS (SELECT page_id, url FROM pages), {URL_SQL} SELECT page_id, normalized, rtrim(regexp_replace(regexp_replace(lower(url), '^https?://', ''), '[?#].*$', ''), '/') AS loose FROM norm")
+def normalized_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", normalize_url("url").alias("normalized"), loose_url_key("url").alias("loose"))
+
+
+ENTRIES_SQL = f"""WITH raw AS (
+        SELECT 0 AS turn, page_id AS pos, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS source_id, url FROM pages UNION ALL
+        SELECT 1, page_id, 'reposts', CASE WHEN contains(url, '#') THEN url WHEN contains(url, '?') THEN url || '&utm_source=x' WHEN page_id % 2 = 0 THEN url || '/' ELSE url || '#again' END FROM pages),
+    {URL_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY normalized ORDER BY turn, pos) AS n FROM norm),
+    labelled AS (SELECT turn, pos, source_id, CASE WHEN n = 1 THEN 'new' ELSE 'duplicate' END AS entry_outcome FROM ranked)"""
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = entries(spark, sf_dir)
+    return ingest.new_entries(e.withColumn("keys", ingest.entry_keys(e, "id", ["url"])), spark.createDataFrame([], "key string"), ["turn", "pos"])
+
+
+@query(ENTRIES_SQL + " SELECT turn, pos, entry_outcome FROM labelled")
+def new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).select("turn", "pos", "entry_outcome")
+
+
+@query(ENTRIES_SQL + " SELECT source_id, count(*) AS entries_seen, count(*) FILTER (entry_outcome = 'new') AS new_items, 0::BIGINT AS skipped_old, count(*) FILTER (entry_outcome = 'duplicate') AS skipped_duplicate_recent, 0::BIGINT AS skipped_source_keywords FROM labelled GROUP BY source_id")
+def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.ingest_stats(_labelled(spark, sf_dir))
+
+
+@query(ENTRIES_SQL + " SELECT entry_outcome, source_id, count(*) AS n FROM labelled GROUP BY ROLLUP (entry_outcome, source_id) HAVING entry_outcome IS NOT NULL")
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.run_report(_labelled(spark, sf_dir))
+
+
+@query(ENTRIES_SQL + " SELECT source_id, turn, pos FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY turn, pos) AS k FROM labelled WHERE entry_outcome = 'new') WHERE k <= 10")
+def capped_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.cap_per_source(_labelled(spark, sf_dir), ["turn", "pos"]).select("source_id", "turn", "pos")
+
+
+@query("WITH " + OUTCOMES_SQL + ' SELECT source_id, outcome, max(happened) AS "at" FROM outcomes GROUP BY source_id, outcome')
+def last_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = outcomes(spark, sf_dir).withColumn("key", F.concat_ws("/", "source_id", "outcome"))
+    return ingest.last_by_id(o, "at", "key").select("source_id", "outcome", "at")
+
+
+@query(
+    f"""WITH {ITEMS_SQL}, queue AS (SELECT 'item' AS queue, id FROM items WHERE status = 'inbox' UNION ALL
+        SELECT 'candidate', 'item-' || substr(sha1(page_id::VARCHAR), 1, 16) FROM pages WHERE 'item-' || substr(sha1(page_id::VARCHAR), 1, 16) NOT IN (SELECT id FROM items)) SELECT queue, id FROM queue"""
+)
+def pending_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.functions.text import stable_id
+
+    candidates = table(spark, sf_dir, "pages").select(stable_id("item", "page_id").alias("id"), "url")
+    return ingest.pending_queue(items(spark, sf_dir).select("id", "url", "status"), candidates).select("queue", "id")
+
+
+@query(
+    """WITH lab AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) SELECT d.doc_id AS id, CASE quality WHEN 1 THEN 'items' WHEN 0 THEN 'rejected' ELSE 'items' END AS goes_to,
+        CASE quality WHEN 1 THEN 'triaged' WHEN 0 THEN 'parked' ELSE 'inbox' END AS status FROM documents d LEFT JOIN lab USING (doc_id)"""
+)
+def applied_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("inbox").alias("status"), F.expr("cast(null as struct<action:string,reason:string,decided_at:string>)").alias("local_decision"))
+    decided = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.when(F.max("quality") == 1, "accept").otherwise("reject").alias("action")).withColumns({"reason": F.lit(""), "at": F.lit(NOW)})
+    return ingest.apply_decisions(d, d.limit(0), decided).select("id", "goes_to", "status")
+
+
+_SHINGLES = """list_distinct(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, len(w) - 1), lambda i : w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)"""
+
+
+def _shingled(name: str, key: str, of: str, least: int) -> str:
+    clean = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[ \t\f\x0B]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+    return f"""{name}_w AS (SELECT {key} AS id, regexp_extract_all(replace(lower({clean}), 'ß', 'ss'), '[a-z0-9㐀-鿿]+') AS w FROM {of} WHERE length({clean}) >= {least}),
+    {name}_s AS (SELECT id, {_SHINGLES} AS s FROM {name}_w), {name} AS (SELECT id, len(s) AS n, unnest(s) AS shingle FROM {name}_s WHERE len(s) >= 18)"""
+
+
+@query(
+    f"""WITH {_shingled("p", "item_id", "benchmark", 120)}, {_shingled("o", "doc_id", "documents", 80)},
+    pairs AS (SELECT p.id AS probe, o.id AS other, p.n AS np, o.n AS no, count(*) AS n_shared FROM p JOIN o USING (shingle) WHERE p.id <> o.id GROUP BY ALL),
+    c AS (SELECT *, n_shared / no AS oc, n_shared / np AS pc, n_shared / (np + no - n_shared) AS j FROM pairs),
+    r AS (SELECT *, CASE WHEN oc >= 0.72 AND np >= no * 1.08 THEN 'full-source' WHEN pc >= 0.72 OR oc >= 0.58 THEN 'subset' WHEN j >= 0.12 OR greatest(oc, pc) >= 0.3 THEN 'related' END AS relation FROM c)
+    SELECT probe, other, n_shared, relation, round(CASE relation WHEN 'full-source' THEN greatest(oc, j) WHEN 'subset' THEN greatest(oc, pc) ELSE greatest(j, least(oc, pc)) END, 6) AS score,
+        CASE WHEN oc > pc + 0.08 THEN 'other-in-probe' WHEN pc > oc + 0.08 THEN 'probe-in-other' ELSE 'similar-size' END AS direction FROM r WHERE relation IS NOT NULL"""
+)
+def text_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    others = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return relations.text_relations(probes, others, most=None).select("probe", "other", "n_shared", "relation", F.round("score", 6).alias("score"), "direction")
+
+
+@query()
+def title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = lambda name, key: table(spark, sf_dir, name).select(F.concat(F.lit(name + "-"), F.col(key)).alias("id"), F.substring_index("text", "\n", 1).alias("title"))
+    return relations.title_matches(first("benchmark", "item_id"), first("documents", "doc_id"))
+
+
+_SENTENCES = r"""
+    clean AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\r\f\x0B]+', ' ', 'g'), '\n\s+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS t, split_part(text, chr(10), 1) AS title FROM documents),
+    cut AS (SELECT doc_id, title, string_split_regex(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+') AS parts FROM clean),
+    trimmed AS (SELECT doc_id, title, list_filter(list_transform(parts, lambda s : CASE WHEN length(trim(s)) > 700 THEN rtrim(substr(trim(s), 1, 700)) || '...' ELSE trim(s) END), lambda s : length(s) >= 30) AS s0 FROM cut),
+    good AS (SELECT doc_id, title, list_filter(s0, lambda s : NOT regexp_matches(lower(s), 'cookie|privacy policy|terms of use|subscribe|newsletter|advertisement|recommended|related posts|share this|all rights reserved') AND NOT regexp_matches(s, '(?i)https?://|www\.')) AS s FROM trimmed),
+    flat AS (SELECT doc_id, title, (i - 1)::INT AS index, s[i] AS sentence FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM good)),
+    terms AS (SELECT *, replace(lower(sentence), 'ß', 'ss') AS low, list_transform(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9-]{3,}'), lambda x : lower(x))[1:12] AS terms FROM flat),
+    scored AS (SELECT doc_id, index, sentence, greatest(0.0, 16 - index * 0.25) + least(length(sentence), 260) / 55 + len(list_filter(terms, lambda x : contains(low, x))) * 3
+        + list_sum(list_transform(['open source', 'open data', 'governance', 'privacy', 'security', 'dataset', 'research', 'report'], lambda c : CASE WHEN contains(low, c) THEN 3.0 ELSE 0 END))
+        + CASE WHEN regexp_matches(sentence, '\d') THEN 1.5 ELSE 0 END - CASE WHEN length(sentence) < 45 THEN 3 ELSE 0 END - CASE WHEN length(sentence) > 420 THEN 2 ELSE 0 END AS score FROM terms)"""
+
+
+@query("WITH " + _SENTENCES + " SELECT doc_id AS id, index, length(sentence)::INT AS n_chars, round(score, 6) AS score FROM scored")
+def sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("title", F.substring_index("text", "\n", 1))
+    return summaries.score_sentences(d, "doc_id", "text", "title").select("id", "index", F.length("sentence").alias("n_chars"), F.round("score", 6).alias("score"))
+
+
+@query()
+def extractive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("title", F.substring_index("text", "\n", 1))
+    return summaries.summarize(d, "doc_id", "text", "title", first=None)
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, lower(coalesce(text, '')) AS l, regexp_replace(regexp_replace(lower(coalesce(text, '')), 'cc[-_ ]?by', 'cc by', 'g'), '[-_/]+', ' ', 'g') AS p FROM documents),
+    u AS (SELECT *, regexp_extract(l, 'creativecommons\.org/licenses/(by-nc-nd|by-nc-sa|by-nc|by-nd|by-sa|by)/(4\.0|3\.0)(?:/(tw))?', ['c', 'v', 'tw']) AS m,
+        CASE WHEN regexp_matches(p, '\b4\.0\b') THEN '4.0' WHEN regexp_matches(p, '\b3\.0\b') AND regexp_matches(p, '\b(tw|taiwan)\b|臺灣|台灣') THEN '3.0 TW' END AS v,
+        CASE WHEN regexp_matches(p, '\battribution\s+noncommercial\s+noderivatives\b|\b(?:cc|creative commons)\s+by\s+nc\s+nd\b') THEN 'BY-NC-ND' WHEN regexp_matches(p, '\battribution\s+noncommercial\s+sharealike\b|\b(?:cc|creative commons)\s+by\s+nc\s+sa\b') THEN 'BY-NC-SA'
+            WHEN regexp_matches(p, '\battribution\s+noncommercial\b|\b(?:cc|creative commons)\s+by\s+nc\b') THEN 'BY-NC' WHEN regexp_matches(p, '\battribution\s+noderivatives\b|\b(?:cc|creative commons)\s+by\s+nd\b') THEN 'BY-ND'
+            WHEN regexp_matches(p, '\battribution\s+sharealike\b|\b(?:cc|creative commons)\s+by\s+sa\b') THEN 'BY-SA' WHEN regexp_matches(p, '\b(?:cc|creative commons)\s+by\b|\battribution\b') THEN 'BY' END AS c FROM t),
+    n AS (SELECT doc_id, x, l, coalesce(CASE WHEN contains(l, 'creativecommons.org/publicdomain/zero/1.0') THEN 'CC0 1.0' WHEN contains(l, 'creativecommons.org/publicdomain/mark/1.0') THEN 'Public Domain Mark 1.0' WHEN m.v = '4.0' THEN 'CC ' || upper(m.c) || ' 4.0' WHEN m.v = '3.0' AND m.tw = 'tw' THEN 'CC ' || upper(m.c) || ' 3.0 TW' END,
+        CASE WHEN regexp_matches(l, '\bcc0\b|public domain dedication|zero 1\.0') THEN 'CC0 1.0' WHEN contains(l, 'public domain mark') THEN 'Public Domain Mark 1.0' WHEN v IS NOT NULL AND c IS NOT NULL THEN 'CC ' || c || ' ' || v END) AS name FROM u)
+    SELECT doc_id, CASE WHEN name IS NOT NULL AND regexp_matches(l, 'released under|licensed under|is licensed|creative commons|creativecommons\.org') THEN name WHEN name IS NOT NULL THEN 'unspecified' WHEN contains(l, 'all rights reserved') THEN 'non-CC: copyright' ELSE 'unspecified' END AS license_name FROM n"""
+)
+def inferred_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return licences.infer_license(d, [("text", F.col("text"), True)]).select("doc_id", F.col("license.name").alias("license_name"))
+
+
+ORACLE_SQL["license_distribution"] = f"SELECT license_name, count(*) AS n_records FROM ({ORACLE_SQL['inferred_licenses']}) GROUP BY license_name"
+
+
+def license_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return licences.license_distribution(licences.infer_license(d, [("text", F.col("text"), True)]))
+
+
+QUERIES["license_distribution"] = license_distribution
+
+
+@query(
+    r"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations),
+    s AS (SELECT conv_id, turn, text, regexp_matches(coalesce(source, ''), '(?i)tion') AS ok,
+        list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+'), lambda x : trim(regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g'))), lambda x : x <> '') AS parts FROM c WHERE role = 'assistant'),
+    n AS (SELECT *, CASE WHEN ok THEN 0 ELSE len(list_filter(parts, lambda x : regexp_matches(x, '(?i)tion') AND NOT regexp_matches(x, '(?i)\bthe\b'))) END AS n_dropped FROM s)
+    SELECT conv_id, turn, n_dropped::INT AS n_dropped, n_dropped > 0 AS fact_claim, length(CASE WHEN n_dropped = 0 THEN text ELSE array_to_string(list_filter(parts, lambda x : NOT (regexp_matches(x, '(?i)tion') AND NOT regexp_matches(x, '(?i)\bthe\b'))), ' ') END)::INT AS n_chars FROM n"""
+)
+def guarded_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "conversations").withColumn("source", F.lag(F.coalesce("text", F.lit(""))).over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant'")
+    return claims.guard_claims(c, "source", "text", "(?i)tion", r"(?i)\bthe\b").select("conv_id", "turn", "n_dropped", "fact_claim", F.length("guarded").alias("n_chars"))
+
+
+@query(
+    """WITH bad AS (
+        SELECT 'documents' AS "table", doc_id::VARCHAR AS row_key, 'required' AS rule, f AS detail FROM (SELECT doc_id, unnest([CASE WHEN coalesce(trim(text), '') = '' THEN 'text' END, CASE WHEN coalesce(lang, '') = '' THEN 'lang' END]) AS f FROM documents) WHERE f IS NOT NULL
+        UNION ALL SELECT 'labels', doc_id::VARCHAR, 'unique', count(*)::VARCHAR FROM labels GROUP BY doc_id HAVING count(*) > 1
+        UNION ALL SELECT 'documents', doc_id::VARCHAR, 'vocabulary:lang', lang FROM documents WHERE lang NOT IN ('en', 'de', 'fr')
+        UNION ALL SELECT 'labels', doc_id::VARCHAR, 'foreign_key:doc_id', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT page_id FROM pages)
+        UNION ALL SELECT 'labels', doc_id::VARCHAR, 'disjoint', '' FROM (SELECT DISTINCT doc_id FROM labels WHERE doc_id IN (SELECT item_id FROM benchmark)))
+    SELECT * FROM bad"""
+)
+def quality_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, labels, pages_, benchmark = (table(spark, sf_dir, n) for n in ("documents", "labels", "pages", "benchmark"))
+    return checks.all_of(
+        checks.required(d, "documents", ["text", "lang"], "doc_id"), checks.unique(labels, "labels", "doc_id"), checks.vocabulary(d, "documents", "lang", ["en", "de", "fr"], "doc_id"),
+        checks.foreign_key(labels, "labels", "doc_id", pages_, "page_id", "doc_id"), checks.disjoint(labels, benchmark.withColumnRenamed("item_id", "doc_id"), "labels", "doc_id"),
+    )
+
+
+LISTED_SQL = f"""WITH {ITEMS_SQL}, kinds AS (SELECT *, published::TIMESTAMP AS time, CASE WHEN length(summary) >= 700 THEN 'featured-article' ELSE 'small-news' END AS kind FROM items)"""
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items(spark, sf_dir).withColumn("kind", F.when(F.length("summary") >= 700, "featured-article").otherwise("small-news")).withColumn("time", first_date("published_at", "captured_at"))
+
+
+@query(
+    LISTED_SQL
+    + """, placed AS (SELECT id, row_number() OVER w - 1 AS pos, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id FROM kinds WHERE track = 'open' AND outcome = 'collected'
+        WINDOW w AS (ORDER BY CASE kind WHEN 'featured-article' THEN 0 ELSE 1 END, time DESC, coalesce(title, '') DESC, id DESC)) SELECT id, pos, previous_id, next_id FROM placed"""
+)
+def public_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.public_listing(_kinds(spark, sf_dir).drop("time"), "open").select("id", "pos", "previous_id", "next_id")
+
+
+@query(LISTED_SQL + " SELECT date_trunc('month', time)::DATE AS period, count(*) AS n_items, max(time) AS newest FROM kinds GROUP BY 1")
+def period_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.period_counts(_kinds(spark, sf_dir))
+
+
+@query(
+    LISTED_SQL
+    + f""" SELECT p AS preset, count(*) AS n_items FROM kinds, (VALUES ('3d', DATE '{TODAY}' - 3), ('7d', DATE '{TODAY}' - 7), ('30d', DATE '{TODAY}' - 30), ('quarter', DATE '2024-01-01'), ('year', DATE '2024-01-01'), ('all', DATE '1900-01-01')) v(p, since)
+        WHERE time::DATE >= since GROUP BY p"""
+)
+def time_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _kinds(spark, sf_dir)
+    out = None
+    for preset in ("3d", "7d", "30d", "quarter", "year", "all"):
+        part = listings.time_range(k, preset, TODAY).groupBy().agg(F.count(F.lit(1)).alias("n_items")).select(F.lit(preset).alias("preset"), "n_items").filter("n_items > 0")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    LISTED_SQL
+    + """, facts AS (SELECT id, title, kind, time, unnest(list_distinct([{'type': 'tag', 'key': source_id}, {'type': 'tag', 'key': lang}, {'type': 'source', 'key': source_id}])) AS f FROM kinds),
+    topics AS (SELECT DISTINCT 'tag' AS type, lang AS key, 'tag-' || lang AS slug FROM documents UNION ALL SELECT DISTINCT 'source', source, 'source-' || source FROM documents),
+    r AS (SELECT slug, id, row_number() OVER (PARTITION BY slug ORDER BY CASE kind WHEN 'featured-article' THEN 0 ELSE 1 END, time DESC, coalesce(title, '') DESC, id DESC) AS rank FROM facts JOIN topics t ON f.type = t.type AND f.key = t.key)
+    SELECT slug, id, rank::INT AS rank FROM r WHERE rank <= 180"""
+)
+def topic_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    topics = d.select(F.lit("tag").alias("type"), F.col("lang").alias("key")).distinct().unionByName(d.select(F.lit("source").alias("type"), F.col("source").alias("key")).distinct())
+    return listings.topic_listing(topics.withColumn("slug", F.concat_ws("-", "type", "key")).withColumn("published", F.lit(True)), _kinds(spark, sf_dir)).select("slug", "id", "rank")
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    m AS (SELECT page_id, lower(regexp_extract(h, '<html\b[^>]*lang="([^"]*)"', 1)) AS language, regexp_extract(h, '(?s)<title[^>]*>(.*?)</title>', 1) AS t FROM p),
+    d AS (SELECT page_id, language, trim(regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\r\f\x0B]+', ' ', 'g')) AS title FROM m)
+    SELECT page_id AS id, CASE WHEN length(title) > 300 THEN rtrim(title[1:300]) || '...' ELSE title END AS title, language FROM d"""
+)
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_metadata(table(spark, sf_dir, "pages")).select("id", "title", F.col("language.value").alias("language"))
+
+
+@query()
+def article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.article_text(table(spark, sf_dir, "pages"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\r\f\x0B]+', ' ', 'g'), '\n\s+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS t FROM documents),
+    j AS (SELECT doc_id, t, list_filter(regexp_extract_all(t, '[\p{L}\p{N}_]+'), lambda x : regexp_matches(x, '^[A-Za-z]{3,}$')) AS w FROM t)
+    SELECT doc_id, CASE WHEN length(t) < 80 OR length(array_to_string(w, '')) = 0 THEN '' WHEN len(w) >= 35 THEN 'en' ELSE '' END AS language FROM j"""
+)
+def inferred_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", infer_language("text").alias("language"))
+
+
+@query(
+    r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '(?i)https://[^\s<>{}\[\]"'']+'), lambda u : regexp_replace(u, '[.,;:!?)\]}]+$', '')))), ' ') AS urls,
+        len(list_distinct(regexp_extract_all(coalesce(text, ''), '\b\d{4}\.\d{4,5}(?:v\d+)?\b')))::INT AS n_arxiv FROM documents"""
+)
+def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = extract_identifiers("text")
+    return table(spark, sf_dir, "documents").select("doc_id", i.alias("i")).select("doc_id", F.array_join(F.array_sort("i.urls"), " ").alias("urls"), F.size("i.arxiv_ids").alias("n_arxiv"))
+
+
+@query(
+    f"""WITH {OUTCOMES_SQL}, days AS (SELECT source_id, outcome, date_trunc('day', happened) AS d FROM outcomes), spread AS (SELECT source_id, outcome, d - to_days(k::INT) AS window_start FROM days, range(0, 30) r(k))
+    SELECT window_start, window_start + INTERVAL 30 DAY AS window_end, source_id, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'pending') AS pending FROM spread GROUP BY ALL"""
+)
+def rolling_source_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_outcomes(outcomes(spark, sf_dir))
+
+
+@query("SELECT doc_id AS item_id, length(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t\\f\\x0B]+', ' ', 'g'), '\\s+', '', 'g')))::INT AS n_letters FROM documents WHERE trim(coalesce(text, ''), ' ' || chr(10) || chr(9)) <> ''")
+def chunk_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut into chunks and put together again: nothing but white space differs."""
+    chunks = ingest.plan_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return ingest.assemble_chunks(chunks).select("item_id", F.length(F.regexp_replace("body", r"\s+", "")).alias("n_letters"))
+
+
+@query()
+def normalized_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return markdown.normalize_paragraphs(d, "text", "n_chars").select("doc_id", "changed", "n_chars", F.sha2("text", 256).alias("text_sha256"))
