@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one document, and windows of theirs at the same start are no earlier than each other, so repeated rows stay alike. Null texts have no words.
     """
     spark = docs.sparkSession
-    n = buckets or min(512, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = _stored_slabs(docs, id_col, text_col, slab_bytes, n)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Slab]]:
