@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.base import pick, runs, slabs, table
@@ -79,7 +79,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 2000, smoothing: float = 0.5) -> Model:
-    """Fits on at most `most_docs` whole documents of each language, those whose ids hash lowest (a bounded sample; the bound is this parameter).
+    """Fits on about `most_docs` whole documents of each language, or all if it has fewer: those whose ids hash low (a bounded sample; this parameter is its expected size).
 
     Rows with null text or lang are left out. No rows: a model that answers `und`. Priors are the shares of all labelled rows.
     More than 512 languages is an error, as the matrix that every task gets would lose its size bound.
@@ -91,12 +91,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     langs = sorted(shares)
     if not langs:
         return Model([], np.zeros((0, (1 << BITS) + 1)), np.zeros(0))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    at = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most_docs)
-    limits = {r["lang"]: (r["h"], r["most"]) for r in at.groupBy("lang").agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("most")).collect()}
+    # a document takes part if its id's hash, as a share of all hashes, is below its language's rate: no group is sorted or gathered
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     wanted = F.lit(False)
     for lang in langs:
-        wanted = wanted | ((F.col("lang") == lang) & (F.xxhash64("doc_id") <= limits[lang][0]))
+        wanted = wanted | ((F.col("lang") == lang) & (share < most_docs / shares[lang]))
     sample = rows.filter(wanted).select("text", "lang")
     got = sample.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((len(langs), 1 << BITS), smoothing)
@@ -114,7 +113,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     @F.pandas_udf("struct<lang:string,score:double>")
     def label(texts: pd.Series) -> pd.DataFrame:
         model, names, scores = Model(*shared.value), [], []
-        for run in runs(texts, 2 << 20):
+        for run in runs(texts, 1 << 20):
             got = model.score(run)
             names += got[0]
             scores.append(got[1])
