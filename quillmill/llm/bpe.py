@@ -17,7 +17,7 @@ END = "</w>"
 #: Fixed values of the tokenizer's file format: the pattern of words, with the White_Space characters that its \s stands for.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
 #: Distinct words that a task remembers; beyond it the memory starts anew, so it stays bounded.
-MOST_WORDS = 400_000
+MOST_WORDS = 120_000
 
 
 def byte_letters() -> list[str]:
@@ -153,7 +153,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in slabs(batches, "text", 2 << 20):
+        for batch in slabs(batches, "text", 1 << 20):
             got = list(encoder.encode(batch.column("text").to_pylist()))
             columns = [batch.column("doc_id"), pa.array([n for n, _, _ in got], pa.int64())]
             names = ["doc_id", "n_tokens"]

@@ -20,7 +20,7 @@ REACH = WINDOW - KEY
 #: Words at either end of a window, without runs, whose symbols may reach over it.
 SURE = 8
 LAST = (1 << 63) - 1
-MOST_WORDS = 300_000
+MOST_WORDS = 150_000
 _U = np.uint64
 #: Odd multipliers: of the mixing steps and of the two polynomials.
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)

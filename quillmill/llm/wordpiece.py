@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmill.llm.base import pick, slabs, table
 from quillmill.llm.bpe import default_path
 
-MOST_WORDS = 400_000
+MOST_WORDS = 120_000
 
 
 def pieces(path: str) -> list[bytes]:
