@@ -135,3 +135,16 @@ def new_recommendations(recommendations: DataFrame, inputs: DataFrame) -> DataFr
 
     keyed = lambda df: df.withColumn("__k", loose_url_key("url"))
     return keyed(recommendations).join(keyed(inputs).select("__k"), "__k", "left_anti").drop("__k")
+
+
+def display_title(columns: list[str], limit: int = 320) -> Column:
+    """The first of several title columns, in order of trust, that has text and is no placeholder."""
+    from quillmill.functions.text import strip_markdown
+
+    clean = [strip_markdown(c, limit) for c in columns]
+    return F.coalesce(*[F.when((c != "") & ~is_placeholder_title(c), c) for c in clean], F.lit(""))
+
+
+def is_placeholder_title(title: Column) -> Column:
+    """Titles of the kind "about X: untranslated material: ...", which stand in for one that is to be written."""
+    return title.rlike(r"^關於[^：:\n]{1,120}的(?:英文|外文|外語|非中文)?資料[：:]\s*.+$")

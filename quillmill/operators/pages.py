@@ -311,3 +311,29 @@ def image_targets(items: DataFrame, valid: DataFrame, most: int | None = None) -
 def page_text_filters(paragraph: Column) -> Column:
     """Whether a paragraph is text of an article: long enough, no furniture, enough letters."""
     return (F.length(paragraph) >= 28) & ~fold(paragraph).rlike("|".join(BOILERPLATE)) & (F.length(F.regexp_replace(paragraph, r"(?U)\W+", "")) >= 20)
+
+
+def needs_fulltext(access_issue: Column, preferred_url: Column) -> Column:
+    """Whether a page's text is to be fetched elsewhere: it was held back, or names a fuller version."""
+    return access_issue.isNotNull() | preferred_url.isNotNull()
+
+
+def autofill(items: DataFrame, description: str = "description") -> DataFrame:
+    """Items entered by hand, completed: the date from the address, the summary from the page's description, notes from the matched terms. What is filled stays."""
+    kept = lambda c, other: F.when(text(c) != "", F.col(c)).otherwise(other)
+    notes = F.concat(F.lit("terms: "), F.array_join(F.slice("triage.matched_keywords", 1, 6), ", "))
+    return items.withColumns({
+        "published_at": kept("published_at", date_in_path(path("url")).cast("string")), "summary": kept("summary", clean_text(description, "page", 1200)),
+        "notes": kept("notes", F.when(F.size("triage.matched_keywords") > 0, notes)) if "notes" in items.columns else F.when(F.size("triage.matched_keywords") > 0, notes),
+    })
+
+
+def text_to_markdown(body: Column, title: Column | None = None) -> Column:
+    """Plain text as Markdown: a title, short lines without a full stop as headings, list marks made alike, an empty line between paragraphs."""
+    parts = F.filter(F.transform(F.split(clean_text(body, "document"), r"\n\s*\n"), lambda p: clean_text(p, "page")), lambda p: p != "")
+    heading = lambda p, i: (i > 0) & (F.length(p) <= 90) & ~p.rlike(r"[。！？.!?]$") & ~p.rlike("^[-•]")
+    lines = F.transform(parts, lambda p, i: F.when(heading(p, i), F.concat(F.lit("## "), F.regexp_replace(p, "[:：]+$", ""))).otherwise(F.regexp_replace(p, r"^[-•]\s+", "- ")))
+    if title is not None:
+        head = clean_text(title, "page", 220)
+        lines = F.concat(F.filter(F.array(F.when(head != "", F.concat(F.lit("# "), head))), lambda v: v.isNotNull()), F.filter(lines, lambda v: fold(v) != fold(head)))
+    return F.array_join(lines, "\n\n")

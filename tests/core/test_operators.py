@@ -201,7 +201,8 @@ def test_summary_rules(spark):
     assert len(out) == 1 and len(out[0].sentences) == 3 and "newsletter" not in out[0].summary and sum(map(len, out[0].sentences)) <= 520
     df = spark.createDataFrame([(["a sentence"], ["k1"])], "s array<string>, k array<string>")
     assert df.select(summaries.reading_reasons("s", F.col("k"), F.lit("topic")).alias("r")).first().r == ["subject: a sentence", "keywords: k1", "background: topic"]
-    assert df.select(summaries.best_text([("x", "first"), ("y", "second")], 5).alias("b")).count() == 1 if "x" in df.columns else True
+    texts = spark.createDataFrame([("abc", "long enough"), ("abc", None)], "x string, y string")
+    assert [tuple(r.b) for r in texts.select(summaries.best_text([("x", "first"), ("y", "second")], 5).alias("b")).collect()] == [("long enough", "second"), ("", "none")]
 
 
 @pytest.mark.parametrize(
@@ -298,3 +299,18 @@ def test_listings(spark):
     both = listings.ordered_records(spark.createDataFrame([(0, "2"), (1, "1")], "pos int, id string"), its, its.withColumn("title", F.lit("candidate"))).collect()
     assert [(r.id, r.title) for r in both] == [("2", "two"), ("1", "one")]
     assert [r.slug for r in listings.stale_outputs(spark.createDataFrame([("a",), ("b",)], "slug string"), spark.createDataFrame([("a",)], "slug string")).collect()] == ["b"]
+
+
+def test_titles_autofill_and_records(spark):
+    df = spark.createDataFrame([("關於開放的英文資料：X", "# Real", "https://a.org/2024/02/03/x", "", "", "Long description")], "a string, b string, url string, published_at string, summary string, description string")
+    assert df.select(listings.display_title(["a", "b"]).alias("v")).first().v == "Real"
+    one = triage.triage(df.withColumns({"track": F.lit("open"), "title": F.lit("alpha")}), CONFIG)
+    x = pages.autofill(one).first()
+    assert (x.published_at, x.summary, x.notes) == ("2024-02-03", "Long description", "terms: alpha")
+    md = spark.createDataFrame([("First paragraph.\n\nA heading:\n\n• entry\n\nLast one.", "T")], "b string, t string")
+    assert md.select(pages.text_to_markdown(F.col("b"), F.col("t")).alias("v")).first().v == "# T\n\nFirst paragraph.\n\n## A heading\n\n- entry\n\nLast one."
+    lic = licences.infer_license(spark.createDataFrame([("released under CC BY 4.0", "T", "u", None, "S"), ("x", "T", "u", None, None)], "body string, title string, url string, author string, source_name string"), [("body", F.col("body"), True)])
+    rows = licences.license_record(lic, "2024-01-31").collect()
+    assert rows[0].license_record.attribution_table[0].attribution == "S" and rows[0].license_record.evidence["access_date"] == "2024-01-31" and rows[1].license_record.attribution_table is None
+    assert not rows[0].license_record.uncertain and rows[1].license_record.provenance.source_field == "default"
+    assert df.select(pages.needs_fulltext(F.lit(None), F.lit("u")).alias("v")).first().v
