@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.plans.working import shared_dir, stored
+
+__all__ = ["SPACE", "forget", "pick", "runs", "sha256_hex", "shared_dir", "slabs", "stored", "table"]
+
 #: The separators of words: space and the ASCII controls 09 to 0D. bytes.split() uses exactly these.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -21,22 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see: spark.checkpoint.dir; only where it is unset, as in tests, one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-quillmill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: its lineage is cut, and lost executors lose nothing of it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def forget(df: DataFrame) -> None:
     """Deletes what stored() wrote, once no later step reads it."""
     jvm = df.sparkSession._jvm
@@ -60,24 +46,10 @@ def slabs(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
             at = to
 
 
-def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
-def rows(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in schema.items()], list(schema))
-
-
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def spread(df: DataFrame, least: int = 1) -> DataFrame:
-    """At least as many partitions as the cluster has cores at a time, if the input came in fewer."""
-    n = max(least, df.sparkSession.sparkContext.defaultParallelism)
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
-
-
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns needed, under the operator's own names; so extra columns, whatever their names, can't clash."""
     return df.select(*[F.col(f"`{v}`").alias(k) for k, v in columns.items()])

@@ -29,7 +29,7 @@ def noise(r, letters, n):
 def check(spark, docs, **options):
     frame = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, slab string").repartition(3)
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(frame, **options).collect())
-    want = sorted((str(d), n, n - len(k.split()), k) for (d, _), (n, k) in zip(docs, brute(docs), strict=True))
+    want = sorted((str(d), n, n - len(k.encode().split()), k) for (d, _), (n, k) in zip(docs, brute(docs), strict=True))
     assert got == want
 
 
