@@ -78,6 +78,20 @@ def splitters(keyed: DataFrame, total: int, count: int, shards: int, tolerance:
     return np.array([min(x, (1 << 63) - 1) for x in np.maximum.accumulate(np.array(cut, dtype=object))], np.int64)
 
 
+def _runs(keyed: DataFrame, count: int, cuts: np.ndarray, steps: int, rows_a_run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Boundaries of runs, and the rows below each: the shards' own, and even steps of the key space. Where a run holds over twice the rows it should, as one around a
+    group of copies can, it is divided and counted again, down to single keys."""
+    runs = np.unique(np.concatenate([cuts, np.array([(1 << 63) * k // steps for k in range(1, steps)], dtype=object).astype(np.int64)]))
+    while True:
+        _, below = _below(keyed, runs)
+        ends, starts = [*runs.tolist(), 1 << 63], [0, *runs.tolist()]
+        held = np.diff(np.concatenate([[0], below, [count]]))
+        more = {starts[i] + (ends[i] - starts[i]) * k // 64 for i in np.flatnonzero(held > 2 * rows_a_run) for k in range(1, 64)} - {0, *runs.tolist()}
+        if not more:
+            return runs, below
+        runs = np.unique(np.concatenate([runs, np.array(sorted(more), np.int64)]))
+
+
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, tolerance: float = 0.001, probes: int = 255, rows_a_run: int = 500_000) -> DataFrame:
     """Documents dealt to shards of near equal bytes, in one order of keys (law `bytes`).
 
@@ -92,11 +106,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = stored(mapped_keys(docs, id_col, text_col), "shard-keys")
     total, count = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     cuts = splitters(keyed, total, count, shards, tolerance, probes) if total else np.zeros(shards - 1, np.int64)
-    # runs: the shards' boundaries and even steps of the key space, which are even in rows but for hot groups
-    steps = max(shards, -(-count // rows_a_run))
-    even = np.array([(1 << 63) * k // steps for k in range(1, steps)], dtype=object).astype(np.int64)
-    runs = np.unique(np.concatenate([cuts, even]))
-    _, rows_below = _below(keyed, runs)
+    runs, rows_below = _runs(keyed, count, cuts, max(shards, -(-count // rows_a_run)), rows_a_run)
     shard_of_run = np.searchsorted(cuts, np.concatenate([[0], runs]), "right")
     starts = np.concatenate([[0], rows_below])  # rows before each run
     first = np.array([starts[np.searchsorted(shard_of_run, s, "left")] for s in shard_of_run])
