@@ -445,3 +445,84 @@ def chunk_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalized_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     return markdown.normalize_paragraphs(d, "text", "n_chars").select("doc_id", "changed", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+ALIASES = {"token": "credentials", "lizenz": "licensing", "license": "licensing"}
+
+
+def _formal(terms: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"CASE WHEN contains(hay, '{t}') THEN '{ALIASES.get(t, t)}' END" for t in terms) + "]"
+
+
+@query(
+    TRIAGE_SQL
+    + ", suggested AS (SELECT id, CASE track "
+    + " ".join(f"WHEN '{t}' THEN {_formal((*c.keep, *c.mechanism))}" for t, c in CONFIG.items())
+    + " END AS tags FROM triaged), flat AS (SELECT id, unnest(list_distinct(tags)) AS tag FROM suggested) SELECT tag, count(*) AS n_items FROM flat WHERE tag IS NOT NULL GROUP BY tag"
+)
+def suggested_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = triage.suggest_tags(triage.triage(items(spark, sf_dir), CONFIG), ALIASES)
+    return s.select("id", F.explode("suggested_tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n_items"))
+
+
+@query(
+    LISTED_SQL
+    + """, grouped AS (SELECT id, 0 AS g FROM kinds WHERE outcome = 'collected' AND kind = 'featured-article' UNION ALL SELECT id, 1 FROM kinds WHERE kind = 'small-news' UNION ALL SELECT id, 2 FROM kinds WHERE track = 'open' UNION ALL SELECT id, 3 FROM kinds WHERE outcome = 'collected')
+    SELECT id, min(g)::INT AS group_no FROM grouped GROUP BY id"""
+)
+def homepage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, collected = _kinds(spark, sf_dir), triage.outcome() == "collected"
+    groups = [k.filter(collected & (F.col("kind") == "featured-article")), k.filter(F.col("kind") == "small-news"), k.filter("track = 'open'"), k.filter(collected)]
+    return listings.homepage_order(groups, listings.reader_order()).select("id", "group_no")
+
+
+@query("SELECT DISTINCT unnest([source, lang]) AS tag FROM documents")
+def tag_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.tag_union(items(spark, sf_dir))
+
+
+@query("SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NULL THEN lang ELSE 'labelled' END AS state FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("state"))
+    return ingest.upsert(d, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("labelled").alias("state")).distinct())
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages)")
+def stale_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.stale_outputs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")), "doc_id")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def review_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims.review_targets(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id")))
+
+
+@query(
+    """SELECT 'material_links' AS "table", doc_id || '-out' AS row_key, 'symmetry' AS rule, doc_id || ' next ' || (doc_id + 1) || ' outbound' AS detail FROM labels WHERE quality IS NULL OR quality <> 1"""
+)
+def lonely_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled document links to the next one; only those of good quality are linked back."""
+    a, b = F.col("doc_id"), F.col("doc_id") + 1
+    edge = lambda end, src, dst, way: F.struct(F.concat(F.col("doc_id"), F.lit(end)).alias("id"), src.cast("string").alias("item_id"), dst.cast("string").alias("ref"), F.lit("next").alias("relation"), F.lit(way).alias("direction"))
+    both = F.array_compact(F.array(edge("-out", a, b, "outbound"), F.when(F.col("quality") == 1, edge("-in", b, a, "inbound"))))
+    return checks.link_symmetry(table(spark, sf_dir, "labels").select(F.explode(both).alias("e")).select("e.*"))
+
+
+@query(
+    r"""SELECT doc_id AS source_id, 0 AS pos, trim(regexp_replace(split_part(text, chr(10), 1), '[ \t\r\f\x0B]+', ' ', 'g')) AS title, 'https://' || source || '.example.org/' || doc_id AS url, lang AS tag,
+        length(regexp_replace(text, '\s+', '', 'g'))::INT AS n_letters, DATE '2024-01-31' - (doc_id % 120)::INT AS published_at FROM documents WHERE text IS NOT NULL AND source IS NOT NULL"""
+)
+def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as feed documents of one entry each, written out as XML and read again."""
+    from quillmill.sources.feeds import explode_feeds
+
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    # the text is HTML within XML, so it is escaped twice
+    html = escape(escape(F.col("text")))
+    title = escape(escape(F.substring_index("text", "\n", 1)))
+    day = F.date_format(F.date_sub(F.lit(TODAY).cast("date"), (F.col("doc_id") % 120).cast("int")), "dd MMM yyyy 00:00:00 'GMT'")
+    item = tag("item", F.concat(tag("title", title), tag("link", F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id")), tag("pubDate", day), tag("description", html), tag("category", F.col("lang"))))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), tag("rss", tag("channel", item)).alias("xml")).filter("xml is not null")
+    e = explode_feeds(docs)
+    return e.select("source_id", "pos", "title", "url", F.get("tags", F.lit(0)).alias("tag"), F.length(F.regexp_replace("summary", r"\s+", "")).alias("n_letters"), "published_at")
