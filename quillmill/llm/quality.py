@@ -185,8 +185,58 @@ def judge(
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"))
+    out = judge(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+def _jsd(p: str, q: str) -> str:
+    """SQL for one bin's part of the divergence."""
+    half = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+    return f"sum(({half(p)} + {half(q)}) / 2)"
 
 
 QUERIES = {"op1_quality": op1_quality}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality": rf"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+        -- base counts
+        grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+        twice AS (SELECT doc_id, g FROM grams GROUP BY ALL HAVING count(*) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+        base AS (
+            SELECT doc_id, lang, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, w
+            FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x : regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w) LEFT JOIN covered USING (doc_id)),
+        -- references by language and, under '', of all documents
+        flat AS (SELECT doc_id, lang, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM (SELECT doc_id, lang, unnest(w) AS x FROM w)),
+        per_doc AS (SELECT doc_id, lang, x, count(*) AS n FROM flat GROUP BY ALL),
+        counts AS (SELECT lang, x, sum(n) AS n FROM (SELECT lang, x, n FROM per_doc WHERE lang <> '' UNION ALL SELECT '', x, n FROM per_doc) GROUP BY ALL),
+        totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
+        langs AS (SELECT lang, total FROM totals WHERE total >= (SELECT total FROM totals WHERE lang = '') * {LANGUAGE_SHARE}),
+        common AS (SELECT lang, x, n, total FROM counts JOIN langs USING (lang) WHERE n >= total * {COMMON_SHARE} QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) <= 40),
+        other AS (SELECT lang, NULL AS x, total - coalesce(s, 0) AS n, total FROM langs LEFT JOIN (SELECT lang, sum(n) AS s FROM common GROUP BY lang) USING (lang)),
+        own AS (SELECT b.*, CASE WHEN l.lang IS NULL THEN '' ELSE l.lang END AS ref FROM base b LEFT JOIN langs l ON b.lang = l.lang),
+        hits AS (SELECT o.doc_id, o.n_words, c.x, c.n / c.total AS q, coalesce(p.n, 0) AS n FROM own o JOIN common c ON o.ref = c.lang LEFT JOIN per_doc p ON p.doc_id = o.doc_id AND p.x = c.x),
+        bins AS (
+            SELECT doc_id, n / n_words AS p, q FROM hits WHERE n_words > 0 UNION ALL
+            SELECT o.doc_id, (o.n_words - coalesce(h.s, 0)) / o.n_words, r.n / r.total FROM own o JOIN other r ON o.ref = r.lang LEFT JOIN (SELECT doc_id, sum(n) AS s FROM hits GROUP BY doc_id) h ON h.doc_id = o.doc_id WHERE o.n_words > 0),
+        word_d AS (SELECT doc_id, sqrt(greatest(0, least(1, {_jsd("p", "q")}))) AS word_distance FROM bins GROUP BY doc_id),
+        -- character classes
+        kinds AS (
+            SELECT doc_id, lang, ref, n_words, unnest(range(0, 7)) AS k, unnest([length(regexp_replace(t, '[\x00-\x7F]', '', 'g')), length(t) - length(regexp_replace(t, '[a-z]', '', 'g')), length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')),
+                length(t) - length(regexp_replace(t, '[0-9]', '', 'g')), length(t) - length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')), length(t) - length(regexp_replace(t, '[.,;:!?''"()-]', '', 'g')),
+                length(t) - length(regexp_replace(t, '[^\x00-\x7Fa-zA-Z0-9\x20\x09-\x0D.,;:!?''"()-]', '', 'g')) ]) AS n FROM own),
+        fixed AS (SELECT doc_id, lang, ref, k, CASE WHEN k = 6 THEN length(t) - s ELSE n END AS n FROM kinds JOIN (SELECT doc_id, sum(n) FILTER (k < 6) AS s FROM kinds GROUP BY doc_id) USING (doc_id) JOIN (SELECT doc_id, t FROM d) USING (doc_id)),
+        class_ref AS (SELECT lang, k, sum(n) AS n FROM (SELECT ref AS lang, k, n FROM fixed WHERE ref <> '' UNION ALL SELECT '', k, n FROM fixed) GROUP BY ALL),
+        class_all AS (SELECT lang, sum(n) AS total FROM class_ref GROUP BY lang),
+        doc_all AS (SELECT doc_id, sum(n) AS total FROM fixed GROUP BY doc_id),
+        class_d AS (
+            SELECT doc_id, any_value(total) AS total, sqrt(greatest(0, least(1, {_jsd("p", "q")}))) AS class_distance
+            FROM (SELECT f.doc_id, a.total, f.n / a.total AS p, r.n / c.total AS q FROM fixed f JOIN doc_all a USING (doc_id) JOIN class_ref r ON r.lang = f.ref AND r.k = f.k JOIN class_all c ON c.lang = f.ref WHERE a.total > 0) GROUP BY doc_id),
+        judged AS (SELECT o.*, coalesce(class_distance, 0) AS cd, coalesce(word_distance, 0) AS wd, coalesce(total, 0) AS total, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM own o LEFT JOIN class_d USING (doc_id) LEFT JOIN word_d USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND (total < 200 OR cd <= 0.30) AND (n_words < 50 OR wd <= 0.30 + 0.60 / sqrt(greatest(n_words, 1))) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance
+        FROM judged
+    """
+}
