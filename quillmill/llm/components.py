@@ -15,8 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
     between the chains' ends; edges within a chain vanish. Every edge's larger end is hooked, so each round at least halves the nodes that still
     have edges. Each table is written to the shared folder, so no lineage grows and lost executors cost no more than a stage.
     """
-    both = edges.filter("a != b").select("a", "b")
-    both = stored(both.unionByName(both.selectExpr("b as a", "a as b")).distinct(), "edges")
+    # both directions from one reading of the edges: read twice, they could differ, and an edge known from one end only would never go
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(edges.filter("a != b").select(F.explode(ends).alias("e")).select("e.*").distinct(), "edges")
     labels = both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     left, rounds = both.limit(1).count(), 0
     while left:
