@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in tests, a folder of our own."""
+    """spark.checkpoint.dir; only where it is unset on one machine, as in tests, a folder of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="spark-quillmill-")
         spark.conf.set("spark.checkpoint.dir", path)
