@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.base import pick, slabs, table
+from quillmill.llm.base import pick, runs, slabs, table
 from quillmill.llm.substrings import BASES, Words, windows
 
 SHINGLE = 5
@@ -163,6 +165,35 @@ def leaks_of(words: list[np.ndarray], index: Index) -> list[tuple[int, int, floa
     return [(d, i, s, p, n) for (d, i), (s, p, n) in sorted(out.items())]
 
 
+def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> Iterator[tuple[list[int], list[str]]]:
+    """The benchmark's ids and texts, at most about BLOCK_BYTES of text at a time; one empty block if there are none."""
+    items = pick(benchmark, item_id=item_id_col, text=item_text_col).selectExpr("cast(item_id as long) item_id", "text").filter("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    for b in range(blocks):
+        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
+        got = own.orderBy("item_id", "text").toArrow()
+        yield got.column("item_id").to_pylist(), got.column("text").to_pylist()
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in which leaks() finds nothing. A filter: no rows meet, so null and repeated ids don't matter. Null texts stay."""
+    def flag(shared: Broadcast) -> Callable[[F.Column], F.Column]:
+        @F.pandas_udf("boolean")
+        def leaky(texts: pd.Series) -> pd.Series:
+            index, seen, out = Index(*shared.value), Words(), []
+            for run in runs(texts, 2 << 20):
+                found = {d for d, *_ in leaks_of([hashes(words_of(x), seen) for x in run], index)} if index.ids else set()
+                out += [d in found for d in range(len(run))]
+            return pd.Series(out, dtype=bool)
+
+        return leaky
+
+    for own in _blocks(benchmark, item_id_col, item_text_col):
+        docs = docs.filter(~flag(docs.sparkSession.sparkContext.broadcast(own))(F.col(f"`{text_col}`")))
+    return docs
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, start_word and n_windows of every document and benchmark item where a window of the item's length has a weighted
     similarity of 0.8 or more of 5-word shingles (of the whole item if it is shorter).
@@ -170,15 +201,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Words are runs of letters and digits in lower case. The benchmark is held by each task, in blocks of BLOCK_BYTES of its text (one block here); the documents
     are scanned once for each block and never moved. Null and empty items and texts match nothing. Rows with equal ids each give their own rows; null ids stay null.
     """
-    items = pick(benchmark, item_id=item_id_col, text=item_text_col).selectExpr("cast(item_id as long) item_id", "text").filter("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
     rows = pick(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "text")
     out = None
-    for b in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        got = own.orderBy("item_id", "text").toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast((got.column("item_id").to_pylist(), got.column("text").to_pylist()))
+    for own in _blocks(benchmark, item_id_col, item_text_col):
+        shared = docs.sparkSession.sparkContext.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             index, seen = Index(*shared.value), Words()

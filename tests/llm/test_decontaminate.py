@@ -60,8 +60,12 @@ def test_empty_sides_and_blocks(spark, monkeypatch):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert dc.leaks(d.limit(0), i).count() == 0 and dc.leaks(d, i.limit(0)).count() == 0
     whole = {(r.doc_id, r.item_id) for r in dc.leaks(d, i).collect()}
+    wide = d.withColumn("item_id", d.doc_id).unionByName(spark.createDataFrame([(None, docs[5][1], None)], "doc_id long, text string, item_id long"))
+    left = dc.without_leaks(wide, i)
+    assert left.columns == wide.columns and {r.doc_id for r in left.collect()} == {k for k, _ in docs} - {k for k, _ in whole} and dc.without_leaks(d, i.limit(0)).count() == len(docs)
     monkeypatch.setattr(dc, "BLOCK_BYTES", 600)
     assert {(r.doc_id, r.item_id) for r in dc.leaks(d, i).collect()} == whole
+    assert {r.doc_id for r in dc.without_leaks(d, i).collect()} == {k for k, _ in docs} - {k for k, _ in whole}
 
 
 def test_blocks_find_all_within_the_radius():
