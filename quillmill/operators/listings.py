@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.dates import first_date
-from quillmill.functions.text import text
+from quillmill.functions.text import strip_markdown, text
+from quillmill.functions.urls import loose_url_key
 from quillmill.operators.triage import is_reader_item
+from quillmill.plans.working import stored
 
 KINDS = {"featured-article": 0, "small-news": 1, "needs-review": 2}
 
@@ -30,8 +32,6 @@ def positions(df: DataFrame, order: list[Column]) -> DataFrame:
     those before it. The number of partitions, not of rows, is what the driver sees."""
     spark = df.sparkSession
     sorted_ = df.repartitionByRange(max(2, spark.sparkContext.defaultParallelism), *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    from quillmill.plans.working import stored
-
     sorted_ = stored(sorted_, "sorted")
     sizes = sorted_.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()
     starts, total = {}, 0
@@ -131,16 +131,12 @@ def tag_union(items: DataFrame) -> DataFrame:
 
 def new_recommendations(recommendations: DataFrame, inputs: DataFrame) -> DataFrame:
     """Recommended links that are no input, by loose address."""
-    from quillmill.functions.urls import loose_url_key
-
     keyed = lambda df: df.withColumn("__k", loose_url_key("url"))
     return keyed(recommendations).join(keyed(inputs).select("__k"), "__k", "left_anti").drop("__k")
 
 
 def display_title(columns: list[str], limit: int = 320) -> Column:
     """The first of several title columns, in order of trust, that has text and is no placeholder."""
-    from quillmill.functions.text import strip_markdown
-
     clean = [strip_markdown(c, limit) for c in columns]
     return F.coalesce(*[F.when((c != "") & ~is_placeholder_title(c), c) for c in clean], F.lit(""))
 

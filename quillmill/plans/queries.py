@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.dates import first_date
-from quillmill.functions.text import extract_identifiers, infer_language
+from quillmill.functions.text import extract_identifiers, infer_language, stable_id
 from quillmill.functions.urls import loose_url_key, normalize_url
 from quillmill.operators import checks, claims, health, ingest, licences, listings, markdown, pages, relations, summaries, triage
 from quillmill.plans.views import CONFIG, ITEMS_SQL, NOW, OUTCOMES_SQL, SOURCES_SQL, TASTE, TODAY, entries, items, outcomes, sources, table
+from quillmill.sources.feeds import explode_feeds
 from quillmill.streaming.jobs import rolling_outcomes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,8 +219,6 @@ def last_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT 'candidate', 'item-' || substr(sha1(page_id::VARCHAR), 1, 16) FROM pages WHERE 'item-' || substr(sha1(page_id::VARCHAR), 1, 16) NOT IN (SELECT id FROM items)) SELECT queue, id FROM queue"""
 )
 def pending_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillmill.functions.text import stable_id
-
     candidates = table(spark, sf_dir, "pages").select(stable_id("item", "page_id").alias("id"), "url")
     return ingest.pending_queue(items(spark, sf_dir).select("id", "url", "status"), candidates).select("queue", "id")
 
@@ -322,8 +321,6 @@ QUERIES["license_distribution"] = license_distribution
     SELECT conv_id, turn, n_dropped::INT AS n_dropped, n_dropped > 0 AS fact_claim, length(CASE WHEN n_dropped = 0 THEN text ELSE array_to_string(list_filter(parts, lambda x : NOT (regexp_matches(x, '(?i)tion') AND NOT regexp_matches(x, '(?i)\bthe\b'))), ' ') END)::INT AS n_chars FROM n"""
 )
 def guarded_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     c = table(spark, sf_dir, "conversations").withColumn("source", F.lag(F.coalesce("text", F.lit(""))).over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant'")
     return claims.guard_claims(c, "source", "text", "(?i)tion", r"(?i)\bthe\b").select("conv_id", "turn", "n_dropped", "fact_claim", F.length("guarded").alias("n_chars"))
 
@@ -514,8 +511,6 @@ def lonely_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as feed documents of one entry each, written out as XML and read again."""
-    from quillmill.sources.feeds import explode_feeds
-
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
     # the text is HTML within XML, so it is escaped twice
