@@ -105,3 +105,10 @@ def relation_votes(votes: DataFrame) -> DataFrame:
     one = votes.groupBy("probe", "other", "provider").agg((F.max_by("label", "at") if "at" in votes.columns else F.max("label")).alias("label"))
     by = F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider", "label"))))
     return one.groupBy("probe", "other").agg(by.alias("by_provider"), F.mode("label", True).alias("majority"))
+
+
+def relation_candidates(titles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Both kinds of candidates in one table, a row for each pair and kind: probe, other, kind (title or content), score, relation (null for titles)."""
+    by_title = titles.select("probe", "other", F.lit("title").alias("kind"), F.round("similarity", 4).alias("score"), F.lit(None).cast("string").alias("relation"))
+    by_text = texts.select("probe", "other", F.lit("content").alias("kind"), F.round("score", 4).alias("score"), "relation")
+    return by_title.unionByName(by_text).groupBy("probe", "other", "kind").agg(F.max_by(F.struct("score", "relation"), "score").alias("best")).select("probe", "other", "kind", "best.*")

@@ -314,3 +314,9 @@ def test_titles_autofill_and_records(spark):
     assert rows[0].license_record.attribution_table[0].attribution == "S" and rows[0].license_record.evidence["access_date"] == "2024-01-31" and rows[1].license_record.attribution_table is None
     assert not rows[0].license_record.uncertain and rows[1].license_record.provenance.source_field == "default"
     assert df.select(pages.needs_fulltext(F.lit(None), F.lit("u")).alias("v")).first().v
+
+
+def test_candidates_of_both_kinds(spark):
+    titles = spark.createDataFrame([("a", "b", 0.7), ("a", "b", 0.9)], "probe string, other string, similarity double")
+    texts = spark.createDataFrame([("a", "b", 0.8, "subset")], "probe string, other string, score double, relation string")
+    assert sorted(tuple(r) for r in relations.relation_candidates(titles, texts).collect()) == [("a", "b", "content", 0.8, "subset"), ("a", "b", "title", 0.9, None)]
