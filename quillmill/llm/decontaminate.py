@@ -19,7 +19,7 @@ from quillmill.llm.substrings import BASES, Words, windows
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: Windows of similarity 0.8 differ from the item in about 10 of 64 bits; 23 is over four standard deviations more.
+#: With equal weights, windows of similarity 0.8 differ from the item in about 10 of 64 bits. Unequal ones can lie farther off; reaching() finds those.
 RADIUS = 23
 BLOCKS = 4
 #: Benchmark text that the tasks get at a time; a larger benchmark goes in several blocks of items.
@@ -37,30 +37,34 @@ def hashes(words: list[str], seen: Words) -> np.ndarray:
 
 
 class Index:
-    """The benchmark's items: shingles, weights, fingerprints. A shingle weighs 1 / (items that hold it), one that no item holds weighs 1."""
+    """The items of a block: shingles, weights, fingerprints. A shingle weighs 1 / (different item texts of the whole benchmark that hold it), one that no
+    item holds weighs 1. If the block isn't the whole benchmark, shared gives the shingles held by several texts, sorted, and their weights."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int], texts: list[str | None], shared: tuple[np.ndarray, np.ndarray] | None = None):
         seen = Words()
-        self.ids, self.items = [], []
+        self.ids, self.items, self.shared = [], [], shared
         holders: dict[int, set[int]] = defaultdict(set)
+        different: dict[int, set[bytes]] = defaultdict(set)
         for i, text in zip(ids, texts, strict=True):
             h = hashes(words_of(text), seen)
             if not len(h):
                 continue
-            width = min(SHINGLE, len(h))
+            width, text_of = min(SHINGLE, len(h)), h.tobytes()
             shingles = windows(h, width, BASES[0])
             for s in shingles.tolist():
                 holders[s].add(len(self.ids))
+                different[s].add(text_of)
             self.ids.append(i)
             self.items.append((len(h), width, shingles))
         self.known = np.array(sorted(holders), _U)
         self.holders = [sorted(holders[s]) for s in self.known.tolist()]
-        self.weights = np.array([1 / len(x) for x in self.holders])
+        self.weights = np.array([1 / len(different[s]) for s in self.known.tolist()]) if shared is None else self.elsewhere(self.known)
         self.lengths = np.array([x[0] for x in self.items], np.int64)
         self.widths = sorted({x[1] for x in self.items})
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.known >> _U(44)).astype(np.int64)] = True
         self.prints = np.array([simhash(s, self.weight(s), np.array([0]), np.array([len(s)]))[0] for _, _, s in self.items], _U)
+        self.totals = np.array([self.weight(s).sum() for _, _, s in self.items])
         self.masks = np.array([sum(1 << k for k in own) for n in range(RADIUS // BLOCKS + 1) for own in combinations(range(64 // BLOCKS), n)], np.int64)
 
     def at(self, shingles: np.ndarray) -> np.ndarray:
@@ -73,9 +77,16 @@ class Index:
             out[maybe[good]] = k[good]
         return out
 
+    def elsewhere(self, shingles: np.ndarray) -> np.ndarray:
+        """Weights over the whole benchmark: of a shingle that isn't shared, held or not, it is 1."""
+        if self.shared is None or not len(self.shared[0]):
+            return np.ones(len(shingles))
+        k = np.minimum(np.searchsorted(self.shared[0], shingles), len(self.shared[0]) - 1)
+        return np.where(self.shared[0][k] == shingles, self.shared[1][k], 1.0)
+
     def weight(self, shingles: np.ndarray) -> np.ndarray:
         k = self.at(shingles)
-        return np.where(k >= 0, self.weights[k], 1.0)
+        return np.where(k >= 0, self.weights[k], self.elsewhere(shingles))
 
 
 def simhash(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -107,20 +118,37 @@ def within(prints: np.ndarray, items: np.ndarray, masks: np.ndarray) -> tuple[np
     return both // max(1, len(items)), both % max(1, len(items))
 
 
-def similarity(a: np.ndarray, b: np.ndarray, index: Index) -> float:
-    """Weighted Jaccard similarity of two bags of shingles."""
+def reaching(start: np.ndarray, count: np.ndarray, hits: np.ndarray, weights: np.ndarray, sums: np.ndarray, length: int, item: np.ndarray, item_weight: float) -> np.ndarray:
+    """Which windows (start, in order, and number of shingles) may have similarity SIMILAR to an item, weighted or plain: at best all shingles of the
+    window that the item holds (at hits, with weights) are common to both. sums are running sums of the weights at all places; no window that reaches it is left out."""
+    lo, hi = np.searchsorted(start, hits - length), np.searchsorted(start, hits, "right")
+    mark = np.zeros(len(start) + 1, np.int64)
+    np.add.at(mark, lo, 1)
+    np.add.at(mark, hi, -1)
+    near = np.flatnonzero(np.cumsum(mark)[:-1])
+    a, b = np.searchsorted(hits, start[near]), np.searchsorted(hits, start[near] + count[near])
+    running = np.append(0.0, np.cumsum(weights))
+    plain = (1 + SIMILAR) * (b - a) >= SIMILAR * (count[near] + len(item)) - 1e-6
+    heavy = (1 + SIMILAR) * (running[b] - running[a]) >= SIMILAR * (sums[start[near] + count[near]] - sums[start[near]] + item_weight) - 1e-6
+    return near[plain | heavy]
+
+
+def similarity(a: np.ndarray, b: np.ndarray, index: Index) -> tuple[float, float]:
+    """Jaccard similarity of two bags of shingles, weighted and plain."""
     x, y = Counter(a.tolist()), Counter(b.tolist())
     every = list(x | y)
+    low, high = (np.array([f(x[s], y[s]) for s in every]) for f in (min, max))
     w = index.weight(np.array(every, _U))
-    low = sum(v * min(x[s], y[s]) for s, v in zip(every, w, strict=True))
-    return low / sum(v * max(x[s], y[s]) for s, v in zip(every, w, strict=True))
+    return float((w * low).sum() / (w * high).sum()), float(low.sum() / high.sum())
 
 
 def leaks_of(words: list[np.ndarray], index: Index) -> list[tuple[int, int, float, int, int]]:
     """(document, item, best similarity, its window's first word, number of windows) of all that reach SIMILAR.
 
     A window without any shingle of an item has similarity 0 to it, so windows are laid, in the item's length, wherever they hold one of its shingles, and
-    nowhere else; nothing is lost by that. A document shorter than the item is one window. Then fingerprints, Hamming blocks and the exact test decide.
+    nowhere else; nothing is lost by that. A document shorter than the item is one window. Fingerprints within RADIUS by Hamming blocks and, as weights may
+    carry a window beyond it, all windows whose common shingles may suffice (reaching) come to the exact test. Where no window reaches SIMILAR by
+    weight, one that reaches it by plain similarity does too: else one foreign shingle would outweigh all that an item shares with others.
     """
     out: dict[tuple[int, int], list] = {}
     sizes = np.array([len(w) for w in words], np.int64)
@@ -134,11 +162,14 @@ def leaks_of(words: list[np.ndarray], index: Index) -> list[tuple[int, int, floa
         k = index.at(shingles)
         hit = np.flatnonzero((k >= 0) & (doc[: len(shingles)] == doc[width - 1 :]))
         laid: dict[int, set[int]] = defaultdict(set)
+        held: dict[int, list[int]] = defaultdict(list)
+        sums = np.append(0.0, np.cumsum(index.weight(shingles))) if len(hit) else np.zeros(1)
         for p in hit.tolist():
             d = int(doc[p])
             for item in index.holders[k[p]]:
                 n, own_width, _ = index.items[item]
                 if own_width == width:
+                    held[item].append(p)
                     last = max(0, int(sizes[d]) - n) + int(offset[d])
                     laid[n].update(range(max(int(offset[d]), min(p - n + width, last)), min(p, last) + 1))
         for n, own in laid.items():
@@ -154,15 +185,23 @@ def leaks_of(words: list[np.ndarray], index: Index) -> list[tuple[int, int, floa
                 under = np.flatnonzero(np.cumsum(used)[:-1])
                 place = np.searchsorted(under, at)
                 prints = simhash(shingles[under], index.weight(shingles[under]), place, place + size)
-                for w, i in zip(*within(prints, index.prints[items], index.masks), strict=True):
-                    s = similarity(shingles[at[w] : at[w] + size[w]], index.items[items[i]][2], index)
-                    if s >= SIMILAR - 1e-9:
-                        d = int(doc[at[w]])
-                        got = out.setdefault((d, int(items[i])), [0.0, 0, 0])
-                        if s > got[0] + 1e-12:
-                            got[:2] = [s, int(at[w] - offset[d])]
-                        got[2] += 1
-    return [(d, i, s, p, n) for (d, i), (s, p, n) in sorted(out.items())]
+                w, i = within(prints, index.prints[items], index.masks)
+                pairs = [w * len(items) + i]
+                for i, item in enumerate(items.tolist()):
+                    if item in held:
+                        own = np.array(held[item], np.int64)
+                        near = reaching(at, size, own, index.weight(shingles[own]), sums, n, index.items[item][2], index.totals[item])
+                        pairs.append(near * len(items) + i)
+                for w, i in zip(*np.divmod(np.unique(np.concatenate(pairs)), len(items)), strict=True):
+                    both = similarity(shingles[at[w] : at[w] + size[w]], index.items[items[i]][2], index)
+                    for kind, s in enumerate(both):
+                        if s >= SIMILAR - 1e-9:
+                            d = int(doc[at[w]])
+                            got = out.setdefault((d, int(items[i])), [[0.0, 0, 0], [0.0, 0, 0]])[kind]
+                            if s > got[0] + 1e-12:
+                                got[:2] = [s, int(at[w] - offset[d])]
+                            got[2] += 1
+    return [(d, i, *(weighted if weighted[2] else plain)) for (d, i), (weighted, plain) in sorted(out.items())]
 
 
 def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> Iterator[tuple[list[int], list[str]]]:

@@ -78,3 +78,36 @@ def test_blocks_find_all_within_the_radius():
     got = set(zip(*(x.tolist() for x in dc.within(prints, items, dc.Index([1], ["a b c"]).masks)), strict=True))
     assert got == {(a, b) for a in range(len(prints)) for b in range(len(items)) if int(prints[a] ^ items[b]).bit_count() <= dc.RADIUS}
     assert len(dc.hashes(["a", "a"], Words())) == 2
+
+
+def repeated_cases():
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    twice, ten, template = ([word() for _ in range(n)] for n in (60, 40, 44))
+    items = [(1, " ".join(twice)), (2, " ".join(twice).upper())] + [(10 + k, " ".join(ten)) for k in range(10)]
+    items += [(30 + k, " ".join(template + [word() for _ in range(6)])) for k in range(10)]
+    docs = [(1, " ".join(twice[:30] + ["new"] + twice[31:])), (2, " ".join(ten[:-1] + ["new"])), (3, " ".join([word() for _ in range(20)] + items[-1][1].split()[:-1] + ["new"])), (4, " ".join(template[:20]))]
+    return docs, items
+
+
+def test_near_copies_of_repeated_and_templated_items(spark):
+    docs, items = repeated_cases()
+    got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(x.doc_id, x.item_id) for x in got}
+    assert {(1, 1), (1, 2), (3, 39)} | {(2, 10 + k) for k in range(10)} <= found and not any(d == 4 for d, _ in found)
+    assert {round(x.similarity, 6) for x in got if x.doc_id == 1} == {round(51 / 61, 6)}
+    assert {round(x.similarity, 6) for x in got if x.doc_id == 2} == {round(35 / 37, 6)}
+
+
+def test_light_shingles_carry_windows_beyond_the_radius():
+    """A foreign shingle of weight 1 among light ones moves the fingerprint farther than RADIUS; the window reaches 0.8 all the same."""
+    r, far = random.Random(1), 0
+    for _ in range(30):
+        words = [f"w{r.randrange(10**9)}" for _ in range(54)]
+        index = dc.Index([k for k in range(10)], [" ".join(words + [f"x{r.randrange(10**9)}"] * (k > 0)) for k in range(10)])
+        own = dc.hashes(words[:-1] + ["foreign"], Words())
+        shingles = dc.windows(own, 5, dc.BASES[0])
+        a = dc.simhash(shingles, index.weight(shingles), np.array([0]), np.array([len(shingles)]))[0]
+        far += int(a ^ index.prints[0]).bit_count() > dc.RADIUS
+        assert (0, 0) in {(d, i) for d, i, *_ in dc.leaks_of([own], index)}
+    assert far
