@@ -204,15 +204,38 @@ def leaks_of(words: list[np.ndarray], index: Index) -> list[tuple[int, int, floa
     return [(d, i, *(weighted if weighted[2] else plain)) for (d, i), (weighted, plain) in sorted(out.items())]
 
 
-def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> Iterator[tuple[list[int], list[str]]]:
-    """The benchmark's ids and texts, at most about BLOCK_BYTES of text at a time; one empty block if there are none."""
+def _shared(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several different texts of the whole benchmark hold, sorted, and their weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        seen = Words()
+        for batch in slabs(batches, "text", 2 << 20):
+            own, texts = [np.zeros(0, _U)], [np.zeros(0, _U)]
+            for text in batch.column("text").to_pylist():
+                h = hashes(words_of(text), seen)
+                if len(h):
+                    own.append(np.unique(windows(h, min(SHINGLE, len(h)), BASES[0])))
+                    texts.append(np.full(len(own[-1]), xxhash.xxh3_64_intdigest(h.tobytes()), _U))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (own, texts)], ["shingle", "text"])
+
+    held = items.select("text").mapInArrow(run, "shingle long, text long").distinct().groupBy("shingle").count().filter("count > 1").toArrow()
+    shingles, count = held.column("shingle").to_numpy().view(_U), held.column("count").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], 1 / count[order]
+
+
+def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> Iterator[tuple[list[int], list[str], tuple[np.ndarray, np.ndarray] | None]]:
+    """The benchmark's ids and texts, at most about BLOCK_BYTES of text at a time, and the weights of shared shingles if there are several blocks; one empty block if there are no items."""
     items = pick(benchmark, item_id=item_id_col, text=item_text_col).selectExpr("cast(item_id as long) item_id", "text").filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
+    shared = None if blocks == 1 else _shared(items)
     for b in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
         got = own.orderBy("item_id", "text").toArrow()
-        yield got.column("item_id").to_pylist(), got.column("text").to_pylist()
+        yield got.column("item_id").to_pylist(), got.column("text").to_pylist(), shared
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -237,8 +260,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, item_id, similarity, start_word and n_windows of every document and benchmark item where a window of the item's length has a weighted
     similarity of 0.8 or more of 5-word shingles (of the whole item if it is shorter).
 
-    Words are runs of letters and digits in lower case. The benchmark is held by each task, in blocks of BLOCK_BYTES of its text (one block here); the documents
-    are scanned once for each block and never moved. Null and empty items and texts match nothing. Rows with equal ids each give their own rows; null ids stay null.
+    Words are runs of letters and digits in lower case. The benchmark is held by each task, in blocks of BLOCK_BYTES of its text (one block here), with the weights of
+    shingles that several items of the whole benchmark share, 16 bytes each; so results don't depend on the blocks. The documents are scanned once for each block and never moved. Null and empty items and texts match nothing. Rows with equal ids each give their own rows; null ids stay null.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "text")
     out = None

@@ -111,3 +111,20 @@ def test_light_shingles_carry_windows_beyond_the_radius():
         far += int(a ^ index.prints[0]).bit_count() > dc.RADIUS
         assert (0, 0) in {(d, i) for d, i, *_ in dc.leaks_of([own], index)}
     assert far
+
+
+def test_figures_do_not_depend_on_the_blocks(spark, monkeypatch):
+    docs, items = repeated_cases()
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    passage = [word() for _ in range(12)]
+    own = [[word() for _ in range(30)] for _ in range(12)]
+    items += [(100 + k, " ".join(w + passage)) for k, w in enumerate(own)]
+    docs += [(100 + k, " ".join([word() for _ in range(9)] + w[k % 5 :] + passage + [word() for _ in range(9)])) for k, w in enumerate(own)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    figures = lambda: sorted((x.doc_id, x.item_id, round(x.similarity, 9), x.start_word, x.n_windows) for x in dc.leaks(d, i).collect())
+    one, left = figures(), sorted(x.doc_id for x in dc.without_leaks(d, i).collect())
+    assert len({x for x in one if x[2] < 1}) > 5
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 1500)
+    assert len(list(dc._blocks(i, "item_id", "text"))) > 3
+    assert figures() == one and sorted(x.doc_id for x in dc.without_leaks(d, i).collect()) == left
