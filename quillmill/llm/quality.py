@@ -17,8 +17,9 @@ SYMBOLS = b"#*$%&|<>"
 CLASSES = 7
 #: A word counts as common from this share of its language's words on; at most so many words can reach the half of it in the counts of the first pass.
 COMMON_SHARE = 1 / 512
-#: Languages with a smaller share of all words use the reference of all documents; at most so many have their own.
+#: A language has a reference of its own from this share of all words or this number of words on; fewer are too few to learn from.
 LANGUAGE_SHARE = 1 / 256
+LEAST_LEARNED = 1000
 POOLED = ""
 
 
@@ -74,12 +75,13 @@ def references(docs: DataFrame, common: int = 40) -> dict[str, tuple[list[bytes]
 
     Two scans, both over all documents. The first finds candidates: a word with COMMON_SHARE of a language's words has at least half that share left
     in the slabs where it is that frequent, so no common word is missed, and at most 2 / COMMON_SHARE words of a language pass. The second counts these.
-    Languages number at most 1 / LANGUAGE_SHARE. So what the driver and the tasks hold doesn't grow with the input.
+    Languages with LANGUAGE_SHARE or LEAST_LEARNED words have a reference. So what the driver and the tasks hold grows with the number of languages
+    (at most 2 / COMMON_SHARE words for each), not with the input.
     """
     heavy = stored(docs.mapInArrow(_heavy, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "heavy-words")
     totals = heavy.filter("word is null").select("lang", F.col("n").alias("total"))
     everything = totals.filter(F.col("lang") == POOLED).first()
-    kept = totals.filter(F.col("total") >= (everything["total"] if everything else 0) * LANGUAGE_SHARE)
+    kept = totals.filter(F.col("total") >= min((everything["total"] if everything else 0) * LANGUAGE_SHARE, LEAST_LEARNED))
     langs = {r["lang"] for r in kept.collect()}
     if not langs:
         return {}
@@ -145,7 +147,8 @@ def judge(
 
     A document of at least least_chars bytes must have class_distance <= class_limit; one of at least least_words words must have
     word_distance <= word_limit + word_slack / sqrt(words), as the histogram of a short text is noisy. Shorter ones pass that test unseen.
-    References are learned from all documents (see references); null and rare languages use that of all documents together.
+    References are learned from all documents (see references). Documents without a language are held against every reference, that of all documents
+    together included, and the smallest distances count. Languages with too few words to learn from pass these tests unseen, with distance 0.
     Null texts count as empty: no words, base_failed, not kept. Rows with equal or null ids stay as they are; other columns are not read.
     """
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).selectExpr("cast(doc_id as long) doc_id", "text", "lang")
@@ -154,15 +157,16 @@ def judge(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, kinds = shared.value, classes()
         width = max([1, *(len(x[1]) for x in known.values())])
+        every = [np.array([*counts[:-1], *[0] * (width - len(counts)), counts[-1]]) for _, counts, _ in known.values()]
         for batch in slabs(batches, "text"):
-            base, hist, reference, parts, class_reference = [], [], [], [], []
+            base, hist, reference, parts, class_reference, nearest = [], [], [], [], [], {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 text = text or ""
                 data = text.encode()
                 words = data.split()
                 lines = [x for x in data.split(b"\n") if x.strip()]
                 base.append((len(words), len(text) - sum(map(text.count, SPACE)), len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated(words)))
-                common, counts, class_counts = known.get(_own(lang, known.keys()), ([], np.zeros(1), np.zeros(CLASSES)))
+                common, counts, class_counts = known.get(lang or POOLED, ([], np.zeros(1), np.zeros(CLASSES)))
                 seen = Counter(data.lower().split())
                 own = [seen[w] for w in common]
                 pad = [0] * (width - len(own) - 1)
@@ -170,9 +174,16 @@ def judge(
                 reference.append([*counts[:-1], *pad, counts[-1]])
                 parts.append(np.bincount(kinds[np.frombuffer(data, np.uint8)], minlength=CLASSES)[:CLASSES])
                 class_reference.append(class_counts)
+                if not lang and len(known) > 1:
+                    found = [[seen[w] for w in x[0]] for x in known.values()]
+                    rows = np.array([[*x, *[0] * (width - len(x) - 1), len(words) - sum(x)] for x in found])
+                    kinds_of = np.array([x[2] for x in known.values()])
+                    nearest[len(base) - 1] = distance(np.tile(parts[-1], (len(known), 1)), kinds_of).min(), distance(rows, np.array(every)).min()
             base, parts = np.array(base, np.int64), np.array(parts)
             n = base[:, 0]
             class_distance, word_distance = distance(parts, np.array(class_reference)), distance(np.array(hist), np.array(reference))
+            for k, both in nearest.items():
+                class_distance[k], word_distance[k] = both
             failed = (n < 50) | (100 * base[:, 4] > 50 * n)
             near = (parts.sum(axis=1) < least_chars) | (class_distance <= class_limit)
             near &= (n < least_words) | (word_distance <= word_limit + word_slack / np.sqrt(np.maximum(n, 1)))

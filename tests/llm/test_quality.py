@@ -52,3 +52,21 @@ def test_distance_is_jensen_shannon():
     m = (p + q) / 2
     want = np.sqrt(((p * np.log2(p / m)).sum() + (q * np.log2(q / m)).sum()) / 2)
     assert quality.distance(np.array([[2, 8]]), np.array([[7, 7]])) == pytest.approx([want])
+
+
+def test_clean_texts_of_rare_or_no_language_are_kept(spark):
+    def words_in(seed, n, common):
+        r = random.Random(seed)
+        return " ".join(r.choice(common) if r.random() < 0.5 else r.choice("bcdfg") + r.choice("aeiou") + r.choice("lmnrst") for _ in range(n)) + "."
+
+    en, fr, fi = "the of and a to in".split(), "le de et une les dans".split(), "ja on ei se oli mutta".split()
+    rows = [(i, words_in(i, 400, en), "en") for i in range(1000)]
+    rows += [(2000 + i, words_in(2000 + i, 100, fr), "fr") for i in range(12)]
+    rows += [(3000 + i, words_in(3000 + i, 100, fr), None if i % 2 else "") for i in range(6)]
+    rows += [(4000 + i, words_in(4000 + i, 100, fi), "fi") for i in range(3)]
+    rows += [(5000 + i, " ".join(f"{w}$$$" for w in words_in(5000 + i, 100, fr).split()), lang) for i, lang in enumerate([None, "fr"])]
+    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(out) == len(rows)
+    assert all(out[i].kept for i, *_ in rows if i < 5000)
+    assert not out[5000].kept and not out[5001].kept
+    assert all(out[4000 + i].word_distance == 0 for i in range(3))
