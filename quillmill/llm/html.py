@@ -147,9 +147,9 @@ def classify(found: list[Block], short: int = 70, long: int = 200, low: float =
 
     First pass. Blocks in parts that are set aside, or mostly links, are out. If the page marks an article, all else outside it is out, and within it
     blocks of some length or with stop words are in. On other pages a long block with many stop words is in, one of middle length or density is nearly in,
-    one without stop words is out, and a short one is undecided (out if it has links or a copyright sign).
-    Second pass. An undecided or nearly decided block takes the label of its nearest decided neighbours: within an article it is in unless both are out
-    (parts set aside are no neighbours there); elsewhere a short one needs both in, a nearly good one or a heading one of them; the page's ends count as out.
+    one without stop words or a short one is undecided (out if short with a copyright sign). If no block shows the stop words of a known language, long
+    ones are in. Second pass. An undecided or nearly decided block takes the label of its nearest decided neighbours: within an article it is in unless both are out
+    (parts set aside are no neighbours there); elsewhere a short one or one without stop words needs both in, a nearly good one or a heading one of them; the page's ends count as out.
     """
     marked = any(b.region and not b.bad for b in found)
     label: list[str] = []
@@ -162,10 +162,13 @@ def classify(found: list[Block], short: int = 70, long: int = 200, low: float =
         elif marked:
             label.append("in" if n >= short or stop_density(b.text) >= low else "short")
         elif n < short:
-            label.append("out" if b.links > 0 or "©" in b.text else "short")
+            label.append("out" if "©" in b.text else "short")
         else:
             density = stop_density(b.text)
-            label.append("in" if density >= high and n >= long else "near" if density >= low else "out")
+            label.append("in" if density >= high and n >= long else "near" if density >= low else "low")
+    if not {"in", "near"} & set(label):
+        # no text in a language of the stop words: length alone tells
+        label = ["in" if x == "low" and len(b.text) >= long else x for b, x in zip(found, label, strict=True)]
     before, last = [], "none"
     for x in label:
         before.append(last)

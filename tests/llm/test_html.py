@@ -30,3 +30,16 @@ def test_columns(spark):
     assert [r.n_chars for r in rows if r.page_id is None] == [0] and len(rows) == 3
     assert all(r.n_chars == len(r.text) for r in rows)
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_undecided_blocks_on_a_page_without_marks():
+    long = "The quality of the text is what it is, and that is not to be changed by any of the rules which are in the book. " * 3
+    table = "Helsinki 1952, Melbourne 1956, Roma 1960, Tokyo 1964, Mexico 1968, Munich 1972"
+    page = f"<body><div><a href='/'>Home</a></div><p>{long}</p><p>Then see <a href='/n'>note</a> for it.</p><p>{long}</p><div>{table}</div><p>{long}</p><div>{table}</div><div>Read <a href='/m'>more</a></div></body>"
+    assert html.main_text(page).split("\n") == [long.strip(), "Then see note for it.", long.strip(), table, long.strip()]
+
+
+def test_other_languages_on_a_page_without_marks():
+    long = "Suomen kieli kuuluu uralilaisiin kieliin ja sen puhujia on noin viisi miljoonaa Suomessa sekä muissa maissa. " * 3
+    page = f"<body><div><a href='/'>Etusivu</a></div><p>{long}</p><p>Lyhyt.</p><p>{long}</p><div><a href='/x'>Haku</a></div></body>"
+    assert html.main_text(page).split("\n") == [long.strip(), "Lyhyt.", long.strip()]
