@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,39 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders written since the outermost open swept() began, or None outside of any.
+_written: list[str] | None = None
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: its lineage is cut, and lost executors lose nothing of it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written is not None:
+        _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what stored() wrote, once no later step reads it."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Working tables written within go at the end, whatever happens; so what is returned from within must not read them any more, but be written elsewhere."""
+    global _written
+    outer, _written = _written, []
+    try:
+        yield
+    finally:
+        made, _written = _written, outer
+        for folder in made:
+            remove(spark, folder)
