@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillmill.plans.working import shared_dir, stored
+from quillmill.plans.working import forget, shared_dir, stored
 
-__all__ = ["SPACE", "forget", "pick", "runs", "sha256_hex", "shared_dir", "slabs", "stored", "table"]
+__all__ = ["SPACE", "forget", "pick", "sha256_hex", "shared_dir", "slabs", "stored", "table", "through"]
 
 #: The separators of words: space and the ASCII controls 09 to 0D. bytes.split() uses exactly these.
 SPACE = " \t\n\x0b\x0c\r"
@@ -23,15 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes what stored() wrote, once no later step reads it."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def slabs(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about `most` bytes of text, so that memory follows the slab, not the batch. A longer text is a slab of its own."""
     for batch in batches:
@@ -55,15 +47,28 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{v}`").alias(k) for k, v in columns.items()])
 
 
-def runs(texts, most: int) -> Iterator[list[str | None]]:  # noqa: ANN001
-    """A pandas Series of texts as lists of about `most` characters; what isn't a string comes as None."""
-    run, held = [], 0
-    for x in texts:
-        x = x if isinstance(x, str) else None
-        if run and held + len(x or "") > most:
-            yield run
-            run, held = [], 0
-        run.append(x)
-        held += len(x or "")
-    if run:
-        yield run
+def through(docs: DataFrame, text_col: str, start: Callable[[], Callable], added: str = "", slab_bytes: int = 1 << 20) -> DataFrame:
+    """docs, with all their columns, in one pass of Arrow slabs. start is called once in each task and gives a function from a slab's texts to three things: which
+    rows stay (None: all), the new texts (None: as they are), and a list of arrays for the columns in added. Columns of docs named in added give way to those.
+
+    All that a task holds is a batch and what a slab of it needs, and one Python worker does all three. Inside, columns go by number, so names can't clash.
+    """
+    text = [x.lower() for x in docs.columns].index(text_col.lower())
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    new = T._parse_datatype_string(added) if added else T.StructType()
+    plain = docs.toDF(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in slabs(batches, names[text], slab_bytes):
+            stay, texts, arrays = work(batch.column(text).to_pylist())
+            columns = list(batch.columns)
+            if texts is not None:
+                columns[text] = pa.array(texts, pa.string())
+            out = pa.RecordBatch.from_arrays([*columns, *arrays], [*names, *(f"n{i}" for i in range(len(arrays)))])
+            yield out if stay is None else out.filter(pa.array(stay, pa.bool_()))
+
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(f"n{i}", f.dataType) for i, f in enumerate(new.fields))])
+    taken = {x.lower() for x in new.names}
+    own = [F.col(k).alias(c) for k, c in zip(names, docs.columns, strict=True) if c.lower() not in taken]
+    return plain.mapInArrow(run, schema).select(*own, *[F.col(f"n{i}").alias(c) for i, c in enumerate(new.names)])

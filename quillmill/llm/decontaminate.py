@@ -8,13 +8,12 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.base import pick, runs, slabs, table
+from quillmill.llm.base import pick, slabs, table, through
 from quillmill.llm.substrings import BASES, Words, windows
 
 SHINGLE = 5
@@ -240,19 +239,21 @@ def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> Itera
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, in which leaks() finds nothing. A filter: no rows meet, so null and repeated ids don't matter. Null texts stay."""
-    def flag(shared: Broadcast) -> Callable[[F.Column], F.Column]:
-        @F.pandas_udf("boolean")
-        def leaky(texts: pd.Series) -> pd.Series:
-            index, seen, out = Index(*shared.value), Words(), []
-            for run in runs(texts, 2 << 20):
-                found = {d for d, *_ in leaks_of([hashes(words_of(x), seen) for x in run], index)} if index.ids else set()
-                out += [d in found for d in range(len(run))]
-            return pd.Series(out, dtype=bool)
 
-        return leaky
+    def flag(shared: Broadcast) -> Callable[[], Callable]:
+        def start() -> Callable:
+            index, seen = Index(*shared.value), Words()
+
+            def clean(texts: list[str | None]) -> tuple:
+                found = {d for d, *_ in leaks_of([hashes(words_of(x), seen) for x in texts], index)} if index.ids else set()
+                return [d not in found for d in range(len(texts))], None, []
+
+            return clean
+
+        return start
 
     for own in _blocks(benchmark, item_id_col, item_text_col):
-        docs = docs.filter(~flag(docs.sparkSession.sparkContext.broadcast(own))(F.col(f"`{text_col}`")))
+        docs = through(docs, text_col, flag(docs.sparkSession.sparkContext.broadcast(own)))
     return docs
 
 

@@ -6,12 +6,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.base import pick, runs, slabs, table
+from quillmill.llm.base import pick, slabs, table, through
 
 BITS = 15
 #: n-grams of one to so many characters.
@@ -106,21 +105,24 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return Model(langs, np.hstack([weights, np.zeros((len(langs), 1))]), np.log(prior / prior.sum()))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (posterior probability). Null texts and texts with no letter: `und`, 0. A column of docs with one of these names is replaced."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", least_score: float | None = None) -> DataFrame:
+    """docs with lang_pred and score (posterior probability). Null texts and texts with no letter: `und`, 0. A column of docs with one of these names is replaced.
+
+    With least_score, documents of language `und` or a lower score go, in the same pass. Repeated rows and null ids are rows like any other.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.prior))
 
-    @F.pandas_udf("struct<lang:string,score:double>")
-    def label(texts: pd.Series) -> pd.DataFrame:
-        model, names, scores = Model(*shared.value), [], []
-        for run in runs(texts, 1 << 20):
-            got = model.score(run)
-            names += got[0]
-            scores.append(got[1])
-        return pd.DataFrame({"lang": names, "score": np.concatenate([np.zeros(0), *scores])})
-
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return docs.select(*kept, label(F.col(f"`{text_col}`")).alias("__label")).select(*kept, F.col("__label.lang").alias("lang_pred"), F.col("__label.score").alias("score"))
+    def start():  # noqa: ANN202
+        model = Model(*shared.value)
+
+        def label(texts: list[str | None]) -> tuple:
+            names, scores = model.score(texts)
+            stay = None if least_score is None else [n != UNKNOWN and s >= least_score for n, s in zip(names, scores.tolist(), strict=True)]
+            return stay, None, [pa.array(names, pa.string()), pa.array(scores)]
+
+        return label
+
+    return through(docs, text_col, start, "lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

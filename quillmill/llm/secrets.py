@@ -9,12 +9,10 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quillmill.llm.base import pick, sha256_hex, slabs, table
+from quillmill.llm.base import pick, sha256_hex, slabs, table, through
 
 BASE = ("assign", "access", "hex")
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -116,20 +114,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each secret in the text replaced by [kind]; overlapping secrets become one, named by the first. Null texts stay null; all other columns and rows stay."""
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
+
+    def start():  # noqa: ANN202
         scanner = Scanner()
-        out = []
-        for text in texts:
+
+        def masked(text: str | None) -> str | None:
             parts, at = [], 0
             for start, kind, end in scanner.spans(text):
                 if start >= at:
                     parts += [text[at:start], f"[{kind}]"]
                 at = max(at, end)
-            out.append("".join([*parts, text[at:]]) if parts else text)
-        return pd.Series(out, dtype=object)
+            return "".join([*parts, text[at:]]) if parts else text
+
+        return lambda texts: (None, list(map(masked, texts)), [])
 
-    return docs.select(*[masked(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return through(docs, text_col, start)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.base import pick, runs, slabs, stored, table
+from quillmill.llm.base import pick, slabs, stored, table, through
 from quillmill.llm.components import components
 
 #: The perfect binary code of length 23: every word lies within 3 flips of exactly one code word. Its generator polynomial is a fixed value.
@@ -229,24 +228,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_a_shingle: int = 3, limit: int = LINK) -> DataFrame:
     """Of each group of near-duplicates the one row that names it, with all its columns. Of repeated rows with that id one stays, whichever;
-    where all ids of a group are null, one of each fingerprint."""
+    where all ids of a group are null, one of each fingerprint. Null texts link as fingerprint zero; an empty table stays empty.
+
+    Ids that stand in one row are judged by id alone. Only rows whose id is null or repeated are told apart by their fingerprints, computed again for them.
+    """
     per_doc = stored(fingerprinted(docs, id_col, text_col, words_a_shingle), "fingerprints")
-    first = stored(per_doc.join(components_of(per_doc, limit), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").count(), "first-documents")
-    # a component's first id may stand in several rows, alike or not; usually it doesn't, and then texts needn't meet
-    alone = first.filter("doc_id is null or count > 1").limit(1).count() == 0 and first.groupBy("doc_id").count().filter("count > 1").limit(1).count() == 0
-    if alone:
-        return docs.join(first.select(F.col("doc_id").alias("__first")), F.col(f"`{id_col}`") == F.col("__first"), "left_semi")
+    named = stored(per_doc.join(components_of(per_doc, limit), "fp"), "named-documents")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = stored(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(first).alias("first")).filter("first"), "first-documents")
     columns = [f"c{i}" for i in range(len(docs.columns))]
+    marked = docs.toDF(*columns)
     own, text = columns[docs.columns.index(id_col)], columns[docs.columns.index(text_col)]
-
-    @F.pandas_udf("long")
-    def print_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.concatenate([np.zeros(0, np.int64), *(fingerprints(run, words_a_shingle).view(np.int64) for run in runs(texts, 4 << 20))]))
-
-    marked = docs.toDF(*columns).withColumn("__fp", print_of(text))
-    kept = marked.join(components_of(per_doc, limit), marked["__fp"] == F.col("fp")).filter(F.col(own).cast("long").eqNullSafe(F.col("component_id")))
-    one = kept.withColumn("fp", F.when(F.col("component_id").isNull(), F.col("fp"))).dropDuplicates(["component_id", "fp"])
-    return one.select(*[F.col(k).alias(c) for k, c in zip(columns, docs.columns, strict=True)])
+    kept = marked.join(ids.filter("doc_id is not null and n = 1").select("doc_id"), F.col(own).cast("long") == F.col("doc_id"), "left_semi")
+    several = ids.filter("doc_id is null or n > 1").select("doc_id")
+    if several.limit(1).count():
+
+        def start():  # noqa: ANN202
+            return lambda texts: (None, None, [pa.array(fingerprints(texts, words_a_shingle).view(np.int64))])
+
+        rows = through(marked.join(several, F.col(own).cast("long").eqNullSafe(F.col("doc_id")), "left_semi"), text, start, "fp long")
+        firsts = named.filter(first).select(F.col("doc_id").alias("first_id"), F.col("fp").alias("first_fp")).distinct()
+        rows = rows.join(firsts, F.col(own).cast("long").eqNullSafe(F.col("first_id")) & (F.col("fp") == F.col("first_fp")))
+        one = rows.withColumn("fp", F.when(F.col("first_id").isNull(), F.col("fp"))).dropDuplicates(["first_id", "fp"])
+        kept = kept.unionByName(one.select(*columns))
+    return kept.select(*[F.col(k).alias(c) for k, c in zip(columns, docs.columns, strict=True)])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

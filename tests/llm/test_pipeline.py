@@ -69,3 +69,35 @@ def test_stages_against_plain_python(spark, folder):
         assert (out[i].n_tokens, out[i].ids_sha256, out[i].decoded_sha256) == (n, bpe.sha256_hex(ids.encode()), bpe.sha256_hex(decoded.encode()))
     assert sorted(map(str, pipeline.run(spark, to).collect())) == sorted(map(str, out.values()))
     assert decontaminate.SIMILAR == 0.8
+
+
+def written(spark, to, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{to}/documents.parquet")
+    spark.createDataFrame([(1, prose("en", 999, 30)), (2, None)], "item_id long, text string").write.parquet(f"{to}/benchmark.parquet")
+    return spark.read.parquet(f"{to}/documents.parquet")
+
+
+def test_empty_table(spark, tmp_path):
+    docs = written(spark, str(tmp_path), [], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_null_and_repeated_ids_and_a_very_long_text(spark, tmp_path):
+    extra = ["__first", "lang_pred", "score", "fp", "c0", "n0", "first_id", "component_id"]
+    texts = {1: prose("en", 1, 90), 2: prose("en", 2, 90), 3: prose("de", 3, 90), 4: prose("en", 4, 400_000), 5: None, 6: ""}
+    rows = [(i, t, None, "s", 1) for i, t in texts.items()] + [(7, texts[1], "en", "s", 1), (3, texts[2], "de", "s", 1), (3, texts[3], "de", "s", 1), (None, prose("de", 8, 70), "de", "s", 1), (None, prose("de", 9, 70), "de", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    docs = written(spark, str(tmp_path), [(*r, *extra) for r in rows], schema)
+    out = docs
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == docs.columns
+    left = out.collect()
+    assert sorted(str(r.doc_id) for r in left) == ["1", "2", "3", "4", "None", "None"]
+    # the row of id 3 that copies document 2 goes with it; the two alike are one
+    assert {r.doc_id: r.text for r in left if r.doc_id} == {i: texts[i] for i in (1, 2, 3, 4)}
+    assert all(r[c] == c for r in left for c in extra)
+    assert pipeline.run(spark, str(tmp_path)).count() == 6
