@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import bpe, decontaminate, language, secrets, simhash
-from quillmill.llm.base import stored, table
+from quillmill.llm.base import table
+from quillmill.plans.working import remove, shared_dir, swept
 
 #: A document stays if its language is known with at least this posterior probability.
 LEAST_SCORE = 0.5
@@ -17,7 +20,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.train(docs.filter(~language.held_out()))
     # the prediction has names of its own, so that columns of the documents with the same names survive
     text, columns = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]
-    judged = language.predict(docs.toDF(*columns), model, f"c{text}").filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    judged = language.predict(docs.toDF(*columns), model, f"c{text}", LEAST_SCORE)
     return judged.select(*[(F.coalesce(k, "lang_pred") if c == "lang" else F.col(k)).alias(c) for k, c in zip(columns, docs.columns, strict=True)])
 
 
@@ -53,9 +56,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, name)
-    return docs
+    """All stages over the documents of sf_dir, in order; doc_id, n_tokens and the digests of ids and decoded text of each document that is left.
+
+    Each stage's result is written to the shared folder and read by the next, so lost executors cost no more than the running stage. Once it
+    is written, the working tables of the stage and the table it read are deleted; the last one read stays, as the result is lazy.
+    An empty table of documents gives no rows. Repeated rows are one document, as are near-duplicates; documents with null ids are kept
+    like others, one for each fingerprint. Other columns, whatever their names, go along up to the last stage.
+    """
+    docs, read = table(spark, sf_dir, "documents"), None
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{shared_dir(spark)}/{k}-{name}-{uuid.uuid4().hex}"
+        with swept(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if read:
+            remove(spark, read)
+        read = path
+    return STAGES[-1][1](spark, docs, sf_dir)
