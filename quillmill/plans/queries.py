@@ -79,7 +79,19 @@ def _plain_hits(words: dict[str, tuple[str, ...]], column: str) -> str:
     return "CASE track " + " ".join(f"WHEN '{t}' THEN {_hits(w, column)}" for t, w in words.items()) + " ELSE 0 END"
 
 
-CUES = triage.Cues()
+# Fixed values, stated for the SQL on their own: words that tell short news, features, low value and commercial senders.
+SQL_NEWS = ("宣布", "發布", "推出", "上線", "修法", "通過", "公告", "罰款", "fined", "launch", "release", "announces")
+SQL_FEATURED = ("研究", "報告", "案例", "白皮書", "指引", "指南", "框架", "dataset", "governance", "standard", "framework")
+SQL_LOW_VALUE = ("抽獎", "優惠", "促銷", "徵才", "人事異動", "交通管制", "交通疏導", "停水", "停電", "天氣", "路況", "工程公告", "報名", "活動時間", "名額")
+SQL_COMMERCIAL = (
+    "mckinsey", "麥肯錫", "deloitte", "勤業眾信", "pwc", "資誠", "kpmg", "安侯",
+    "ernst", "安永", "accenture", "埃森哲", "gartner", "forrester", "bcg", "bain",
+    "google", "microsoft", "amazon", "aws", "ibm", "oracle", "salesforce",
+    "nvidia", "meta", "openai", "anthropic",
+)
+_SQUEEZED = "trim(regexp_replace(regexp_replace(coalesce({0}, ''), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+_EARLY = f"replace(lower(substr({_SQUEEZED.format('summary')}, 1, 200) || ' ' || {_SQUEEZED.format('title')}), 'ß', 'ss')"
+_CONCEPTS = "CASE track " + " ".join(f"WHEN '{t}' THEN {_any((*c.keep, *c.mechanism, *TASTE.themes.get(t, ())), 'early')}" for t, c in CONFIG.items()) + " END"
 EDITORIAL_SQL = (
     TRIAGE_SQL
     + f""",
@@ -89,22 +101,24 @@ EDITORIAL_SQL = (
     drafts AS (SELECT id AS draft, source_id, lang FROM items WHERE outcome = 'collected' ORDER BY captured DESC, id LIMIT 50),
     related AS (SELECT i.id, count(*) AS n FROM items i JOIN drafts d ON i.source_id = d.source_id AND i.lang = d.lang AND i.id <> d.draft GROUP BY i.id),
     scored AS (
-        SELECT t.*, {_per_track("keep", _hits)} AS nk, {_per_track("skip", _hits)} AS ns, {_hits(CUES.low_value)} AS low,
+        SELECT t.*, {_per_track("keep", _hits)} AS nk, {_per_track("skip", _hits)} AS ns, {_hits(SQL_LOW_VALUE)} AS low,
             coalesce(s.c, FALSE)::INT + coalesce(a.c, FALSE)::INT + coalesce(b.c, FALSE)::INT AS prior0, coalesce(s.r, FALSE)::INT + coalesce(a.r, FALSE)::INT + coalesce(b.r, FALSE)::INT AS gone0,
             concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(t.source_id, ''), '', concat_ws(' ', t.source_id, lang)) AS plain,
-            trim(regexp_replace(regexp_replace(coalesce(summary, ''), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS clean, coalesce(n, 0) AS nd
+            trim(regexp_replace(regexp_replace(coalesce(summary, ''), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS clean, coalesce(n, 0) AS nd,
+            replace(lower(concat_ws(' ', coalesce(t.source_id, ''), coalesce(title, ''))), 'ß', 'ss') AS sender, {_EARLY} AS early
         FROM triaged t LEFT JOIN srcn s ON s.value = t.source_id LEFT JOIN tagn a ON a.value = t.source_id LEFT JOIN tagn b ON b.value = t.lang LEFT JOIN related USING (id)),
     points AS (
         SELECT *, nk * 2 - ns * 3 - (recommendation = 'suggest-skip' AND nk = 0)::INT AS keyword_score, least(5, prior0) AS prior_score, least(6, gone0 + (ns > 0)::INT + (low > 0)::INT + ns) AS deletion_score,
             {_plain_hits(TASTE.themes, "plain")} - {_plain_hits(TASTE.avoid, "plain")} + regexp_matches(plain, '{"|".join(TASTE.locality)}')::INT AS taste_score,
-            CASE WHEN outcome = 'collected' THEN 'featured-article' WHEN {_any(CUES.featured)} OR length(clean) >= 700 THEN 'featured-article' WHEN {_any(CUES.news)} OR length(clean) <= 240 THEN 'small-news' ELSE 'needs-review' END AS content_kind
+            CASE WHEN outcome = 'collected' THEN 'featured-article' WHEN {_any(SQL_FEATURED)} OR length(clean) >= 700 THEN 'featured-article' WHEN {_any(SQL_NEWS)} OR length(clean) <= 240 THEN 'small-news' ELSE 'needs-review' END AS content_kind
         FROM scored),
     decided AS (
         SELECT *, CASE WHEN deletion_score >= 3 AND keyword_score <= 2 THEN 'suggest-skip' WHEN keyword_score >= 2 AND deletion_score = 0 AND prior_score >= 1 THEN 'suggest-collect'
             WHEN keyword_score >= 1 AND deletion_score <= 2 THEN 'suggest-review' WHEN prior_score >= 3 AND deletion_score <= 1 THEN 'suggest-review' ELSE 'suggest-skip' END AS base FROM points),
     upgraded AS (
         SELECT *, CASE WHEN base <> 'suggest-skip' THEN '' WHEN taste_score >= 2 AND deletion_score < 3 THEN 'taste' WHEN deletion_score < 4 AND {_any(TASTE.beats)} THEN 'beat' WHEN deletion_score < 4 AND m THEN 'mechanism'
-            WHEN k THEN 'keep' WHEN ns = 0 AND {_any(tuple(x for v in TASTE.tracked.values() for x in v))} THEN 'tracked' WHEN ns = 0 AND nd > 0 THEN 'drafts' ELSE '' END AS upgrade FROM decided),
+            WHEN k THEN 'keep' WHEN ns = 0 AND {_any(tuple(x for v in TASTE.tracked.values() for x in v))} THEN 'tracked'
+            WHEN ns = 0 AND {_any(SQL_COMMERCIAL, "sender")} AND {_CONCEPTS} THEN 'commercial' WHEN ns = 0 AND nd > 0 THEN 'drafts' ELSE '' END AS upgrade FROM decided),
     final AS (
         SELECT *, CASE upgrade WHEN '' THEN base WHEN 'taste' THEN 'suggest-review' WHEN 'drafts' THEN 'suggest-review' ELSE 'suggest-ask' END AS decision,
             CASE WHEN abs(keyword_score) >= 3 THEN 2 WHEN abs(keyword_score) >= 1 THEN 1 ELSE 0 END + (prior_score >= 2)::INT + (deletion_score >= 2)::INT AS p FROM upgraded)
@@ -290,9 +304,11 @@ def extractive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, lower(coalesce(text, '')) AS l, regexp_replace(regexp_replace(lower(coalesce(text, '')), 'cc[-_ ]?by', 'cc by', 'g'), '[-_/]+', ' ', 'g') AS p FROM documents),
     u AS (SELECT *, regexp_extract(l, 'creativecommons\.org/licenses/(by-nc-nd|by-nc-sa|by-nc|by-nd|by-sa|by)/(4\.0|3\.0)(?:/(tw))?', ['c', 'v', 'tw']) AS m,
         CASE WHEN regexp_matches(p, '\b4\.0\b') THEN '4.0' WHEN regexp_matches(p, '\b3\.0\b') AND regexp_matches(p, '\b(tw|taiwan)\b|臺灣|台灣') THEN '3.0 TW' END AS v,
-        CASE WHEN regexp_matches(p, '\battribution\s+noncommercial\s+noderivatives\b|\b(?:cc|creative commons)\s+by\s+nc\s+nd\b') THEN 'BY-NC-ND' WHEN regexp_matches(p, '\battribution\s+noncommercial\s+sharealike\b|\b(?:cc|creative commons)\s+by\s+nc\s+sa\b') THEN 'BY-NC-SA'
-            WHEN regexp_matches(p, '\battribution\s+noncommercial\b|\b(?:cc|creative commons)\s+by\s+nc\b') THEN 'BY-NC' WHEN regexp_matches(p, '\battribution\s+noderivatives\b|\b(?:cc|creative commons)\s+by\s+nd\b') THEN 'BY-ND'
-            WHEN regexp_matches(p, '\battribution\s+sharealike\b|\b(?:cc|creative commons)\s+by\s+sa\b') THEN 'BY-SA' WHEN regexp_matches(p, '\b(?:cc|creative commons)\s+by\b|\battribution\b') THEN 'BY' END AS c FROM t),
+        CASE WHEN regexp_matches(p, '\battribution\s+noncommercial\s+noderivatives\b') THEN 'BY-NC-ND' WHEN regexp_matches(p, '\battribution\s+noncommercial\s+sharealike\b') THEN 'BY-NC-SA'
+            WHEN regexp_matches(p, '\battribution\s+noncommercial\b') THEN 'BY-NC' WHEN regexp_matches(p, '\battribution\s+noderivatives\b') THEN 'BY-ND' WHEN regexp_matches(p, '\battribution\s+sharealike\b') THEN 'BY-SA'
+            WHEN regexp_matches(p, '\b(?:cc|creative commons)\s+by\s+nc\s+nd\b') THEN 'BY-NC-ND' WHEN regexp_matches(p, '\b(?:cc|creative commons)\s+by\s+nc\s+sa\b') THEN 'BY-NC-SA'
+            WHEN regexp_matches(p, '\b(?:cc|creative commons)\s+by\s+nc\b') THEN 'BY-NC' WHEN regexp_matches(p, '\b(?:cc|creative commons)\s+by\s+nd\b') THEN 'BY-ND' WHEN regexp_matches(p, '\b(?:cc|creative commons)\s+by\s+sa\b') THEN 'BY-SA'
+            WHEN regexp_matches(p, '\b(?:cc|creative commons)\s+by\b') THEN 'BY' WHEN regexp_matches(p, '\battribution\b') THEN 'BY' END AS c FROM t),
     n AS (SELECT doc_id, x, l, coalesce(CASE WHEN contains(l, 'creativecommons.org/publicdomain/zero/1.0') THEN 'CC0 1.0' WHEN contains(l, 'creativecommons.org/publicdomain/mark/1.0') THEN 'Public Domain Mark 1.0' WHEN m.v = '4.0' THEN 'CC ' || upper(m.c) || ' 4.0' WHEN m.v = '3.0' AND m.tw = 'tw' THEN 'CC ' || upper(m.c) || ' 3.0 TW' END,
         CASE WHEN regexp_matches(l, '\bcc0\b|public domain dedication|zero 1\.0') THEN 'CC0 1.0' WHEN contains(l, 'public domain mark') THEN 'Public Domain Mark 1.0' WHEN v IS NOT NULL AND c IS NOT NULL THEN 'CC ' || c || ' ' || v END) AS name FROM u)
     SELECT doc_id, CASE WHEN name IS NOT NULL AND regexp_matches(l, 'released under|licensed under|is licensed|creative commons|creativecommons\.org') THEN name WHEN name IS NOT NULL THEN 'unspecified' WHEN contains(l, 'all rights reserved') THEN 'non-CC: copyright' ELSE 'unspecified' END AS license_name FROM n"""

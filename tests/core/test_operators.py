@@ -220,6 +220,18 @@ def test_licences(spark, body, want):
         assert x.license_url == "https://creativecommons.org/licenses/by-sa/3.0/tw/"
 
 
+def test_licence_words_come_before_letters(spark):
+    """Spelled-out words are tried before letters, whatever stands first in the text; no version, or one that runs on into a CJK letter, is no licence."""
+    bodies = {
+        "Attribution-ShareAlike, licensed under CC BY-NC 4.0": "CC BY-SA 4.0", "CC BY-NC-ND 4.0 is licensed, with attribution": "CC BY-NC-ND 4.0", "is licensed: attribution 4.0": "CC BY 4.0",
+        "授權 CC BY-SA 4.0 國際": "CC BY-SA 4.0", "採用 CC BY 4.0授權": "unspecified", "本作品 CC BY 3.0 台灣": "CC BY 3.0 TW", "creative commons": "unspecified",
+        "著作權所有": "non-CC: copyright", "著作權所有,未標示": "unspecified", "Creative Commons Attribution NonCommercial 4.0 or Attribution-NoDerivatives": "CC BY-NC 4.0",
+    }
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    got = {r.body: r.license.name for r in licences.infer_license(df, [("body", F.col("body"), True)]).collect()}
+    assert got == bodies
+
+
 def test_claims(spark):
     df = spark.createDataFrame([("no such thing", "The firm won a prize. It may be that prizes matter. All is well.", "high"), ("a prize was given", "The firm won a prize.", "high")], "source string, out string, confidence string")
     rows = claims.guard_claims(df, "source", "out", "(?i)prize", "(?i)may", "confidence").collect()
