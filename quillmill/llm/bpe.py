@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -18,6 +19,8 @@ END = "</w>"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
 #: Distinct words that a task remembers; beyond it the memory starts anew, so it stays bounded.
 MOST_WORDS = 120_000
+#: Bytes from which a word is merged by a queue of its pairs: the rounds read the rest of a word once for each of its merges, which a word of any length may have thousands of.
+LONG = 512
 
 
 def byte_letters() -> list[str]:
@@ -87,6 +90,40 @@ def merge_rounds(words: list[bytes], v: dict) -> tuple[np.ndarray, np.ndarray]:
     return symbols[order], np.cumsum(np.bincount(owner, minlength=len(words)))
 
 
+def merge_long(word: bytes, v: dict, table: dict[int, tuple[int, int]]) -> list[int]:
+    """The ids of one long word in n log n: the places of all pairs wait in a queue by rank, then place, so each merge looks at its two neighbours alone. table: rank and
+    merged symbol of each pair's key."""
+    data = np.frombuffer(word, np.uint8)
+    first = v["inner"][data].astype(np.int64)
+    first[-1] = v["last"][data[-1]]
+    key = first[:-1] << 32 | first[1:]
+    at = np.minimum(np.searchsorted(v["keys"], key), len(v["keys"]) - 1)
+    hit = v["keys"][at] == key
+    rank = [*np.where(hit, v["ranks"][at], -1).tolist(), -1]
+    symbols, n = first.tolist(), len(first)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    # one number for a rank and a place; an entry is stale once the pair at its place has another rank
+    queue = ((v["ranks"][at].astype(np.int64) << 32) + np.arange(n - 1))[hit].tolist()
+    heapify(queue)
+    while queue:
+        own, i = divmod(heappop(queue), 1 << 32)
+        if rank[i] != own:
+            continue
+        j = after[i]
+        symbols[i], symbols[j] = table[symbols[i] << 32 | symbols[j]][1], -1
+        rank[j], after[i] = -1, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for k in (before[i], i):
+            if k >= 0:
+                nxt = after[k]
+                got = table.get(symbols[k] << 32 | symbols[nxt]) if nxt < n else None
+                rank[k] = got[0] if got else -1
+                if got:
+                    heappush(queue, got[0] << 32 | k)
+    return [x for x in symbols if x >= 0]
+
+
 def lowered(text: str) -> str:
     """Composed (NFC), then lower case character by character: a capital sigma becomes the ordinary small one anywhere."""
     if text.isascii():
@@ -103,7 +140,9 @@ class Encoder:
 
         self.v, self.find = v, regex.compile(WORDS).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, v["special"])) + ")").split if v["special"] else None
-        self.seen: dict[str, tuple[int, str, str]] = {}
+        self.seen: dict[str | int, tuple[int, str, str]] = {}
+        self.table: dict[int, tuple[int, int]] = {}
+        self.long: list[str] = []
 
     def words(self, text: str) -> list[str | int]:
         """The words in order; a special token, which the text spells out, comes as its id."""
@@ -115,6 +154,9 @@ class Encoder:
         return parts
 
     def learn(self, words: set[str | int]) -> None:
+        for w in self.long:  # long words serve one slab, so what is remembered stays bounded in bytes too
+            self.seen.pop(w, None)
+        self.long = []
         if len(self.seen) + len(words) > MOST_WORDS:
             self.seen = {}
         strings = self.v["strings"]
@@ -122,10 +164,17 @@ class Encoder:
         for w in fresh:
             if isinstance(w, int):
                 self.seen[w] = (1, str(w), strings[w])
-        fresh = [w for w in fresh if isinstance(w, str)]
+        data = {w: w.encode("utf-8", "surrogatepass") for w in fresh if isinstance(w, str)}
+        for w in [w for w, x in data.items() if len(x) >= LONG]:
+            if not self.table:
+                self.table = dict(zip(self.v["keys"].tolist(), zip(self.v["ranks"].tolist(), self.v["merged"].tolist(), strict=True), strict=True))
+            own = merge_long(data.pop(w), self.v, self.table)
+            self.long.append(w)
+            self.seen[w] = (len(own), " ".join(map(str, own)), " ".join([strings[i] for i in own]))
+        fresh = list(data)
         for k in range(0, len(fresh), 50_000):
             part = fresh[k : k + 50_000]
-            ids, ends = merge_rounds([w.encode("utf-8", "surrogatepass") for w in part], self.v)
+            ids, ends = merge_rounds([data[w] for w in part], self.v)
             ids, at = ids.tolist(), 0
             for w, end in zip(part, ends.tolist(), strict=True):
                 own = ids[at:end]
@@ -174,6 +223,7 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode() over all documents, without the ids and texts themselves."""
     return encode(table(spark, sf_dir, "documents"), default_path(), outputs=False)
 
 

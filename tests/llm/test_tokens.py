@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from quillmill.llm import bpe, wordpiece
@@ -29,6 +30,20 @@ def test_ids_and_decoding_equal_the_library(tokenizer):
         assert decoded == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_long_words_equal_the_library_and_take_n_log_n(tokenizer):
+    r = random.Random(5)
+    texts = ["".join(r.choices(a, k=n)) for a in ("ab", "abcdefghijklmnopqrstuvwxyz", "thequickbrownfoxjumpsover", "日本語のテキスト", "éüßñ", "$%&!?") for n in (500, 513, 3000, 20_000)] + ["a" * 50_000, "the" * 9000 + " x", "x " + "ab" * 400]
+    encoder = bpe.Encoder(bpe.vocabulary(bpe.default_path()))
+    for text in texts:
+        n, ids, decoded = next(encoder.encode([text]))
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids == " ".join(map(str, want)) and n == len(want) and decoded == tokenizer.decode(want, skip_special_tokens=False)
+    start = time.time()
+    next(encoder.encode(["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))]))
+    assert time.time() - start < 60
+    assert sum(map(len, filter(lambda w: isinstance(w, str), encoder.seen))) < 1_100_000
+
+
 def greedy(word: bytes, vocabulary: set[bytes]) -> int:
     n, most = 0, max(map(len, vocabulary))
     while word:
