@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -18,9 +18,11 @@ from quillmill.llm.substrings import BASES, Words, windows
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: With equal weights, windows of similarity 0.8 differ from the item in about 10 of 64 bits. Unequal ones can lie farther off; reaching() finds those.
-RADIUS = 23
+#: With equal weights, windows of similarity 0.8 differ from the item in about 10 of 64 bits. Those farther off, as unequal weights bring about, reaching() finds.
+RADIUS = 15
 BLOCKS = 4
+#: Items that look up their neighbours at a time, and windows fingerprinted at a time; they bound the arrays.
+ITEMS_AT_ONCE, WINDOWS_AT_ONCE = 1024, 20_000
 #: Benchmark text that the tasks get at a time; a larger benchmark goes in several blocks of items.
 BLOCK_BYTES = 16 << 20
 _TOKEN = re.compile(r"\w+")
@@ -32,32 +34,32 @@ def words_of(text: str | None) -> list[str]:
 
 
 def hashes(words: list[str], seen: Words) -> np.ndarray:
-    return np.array([seen[w.encode("utf-8", "surrogatepass")] for w in words], _U)
+    return np.array(list(map(seen.__getitem__, words)), _U)
 
 
 class Index:
-    """The items of a block: shingles, weights, fingerprints. A shingle weighs 1 / (different item texts of the whole benchmark that hold it), one that no
-    item holds weighs 1. If the block isn't the whole benchmark, shared gives the shingles held by several texts, sorted, and their weights."""
+    """The items of a block by their different texts: shingles, weights, fingerprints. A shingle weighs 1 / (different item texts of the whole benchmark that hold it), one
+    that no item holds weighs 1. If the block isn't the whole benchmark, shared gives the shingles held by several texts, sorted, and their weights.
+
+    Built once, on the driver. state() is what the tasks get: arrays, whose size is that of the block."""
 
     def __init__(self, ids: list[int], texts: list[str | None], shared: tuple[np.ndarray, np.ndarray] | None = None):
         seen = Words()
         self.ids, self.items, self.shared = [], [], shared
-        holders: dict[int, set[int]] = defaultdict(set)
-        different: dict[int, set[bytes]] = defaultdict(set)
+        number: dict[bytes, int] = {}
         for i, text in zip(ids, texts, strict=True):
             h = hashes(words_of(text), seen)
             if not len(h):
                 continue
-            width, text_of = min(SHINGLE, len(h)), h.tobytes()
-            shingles = windows(h, width, BASES[0])
-            for s in shingles.tolist():
-                holders[s].add(len(self.ids))
-                different[s].add(text_of)
-            self.ids.append(i)
-            self.items.append((len(h), width, shingles))
-        self.known = np.array(sorted(holders), _U)
-        self.holders = [sorted(holders[s]) for s in self.known.tolist()]
-        self.weights = np.array([1 / len(different[s]) for s in self.known.tolist()]) if shared is None else self.elsewhere(self.known)
+            key = h.tobytes()
+            if key not in number:
+                number[key] = len(self.items)
+                self.ids.append([])
+                width = min(SHINGLE, len(h))
+                self.items.append((len(h), width, windows(h, width, BASES[0])))
+            self.ids[number[key]].append(i)
+        self.known, held = np.unique(np.concatenate([np.zeros(0, _U), *(np.unique(x[2]) for x in self.items)]), return_counts=True)
+        self.weights = 1 / held if shared is None else self.elsewhere(self.known)
         self.lengths = np.array([x[0] for x in self.items], np.int64)
         self.widths = sorted({x[1] for x in self.items})
         self.bitmap = np.zeros(1 << 20, bool)
@@ -65,6 +67,28 @@ class Index:
         self.prints = np.array([simhash(s, self.weight(s), np.array([0]), np.array([len(s)]))[0] for _, _, s in self.items], _U)
         self.totals = np.array([self.weight(s).sum() for _, _, s in self.items])
         self.masks = np.array([sum(1 << k for k in own) for n in range(RADIUS // BLOCKS + 1) for own in combinations(range(64 // BLOCKS), n)], np.int64)
+        parts = [self.rarest(s) for _, _, s in self.items]
+        shingle, item = np.concatenate([np.zeros(0, np.int64), *parts]), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        order = np.argsort(shingle, kind="stable")
+        self.asked, self.ends = item[order], np.cumsum(np.bincount(shingle, minlength=len(self.known)))
+
+    def state(self) -> dict:
+        return self.__dict__
+
+    @classmethod
+    def of(cls, state: dict) -> Index:
+        index = cls.__new__(cls)
+        index.__dict__.update(state)
+        return index
+
+    def rarest(self, shingles: np.ndarray) -> np.ndarray:
+        """The numbers of an item's rarest shingles, of which a window of similarity SIMILAR, weighted or plain, has one at least: more than the share it may lack, by number and by
+        weight. So a shingle of many items is asked for only by those that have hardly any others."""
+        own, n = np.unique(self.at(shingles), return_counts=True)
+        order = np.lexsort((own, -self.weights[own]))
+        own, n = own[order], n[order]
+        w, lack = np.cumsum(n * self.weights[own]), 1 - SIMILAR + 1e-6
+        return own[: 1 + max(int(np.searchsorted(np.cumsum(n), lack * len(shingles), "right")), int(np.searchsorted(w, lack * w[-1], "right")))]
 
     def at(self, shingles: np.ndarray) -> np.ndarray:
         """The number of each shingle among the known ones, or -1."""
@@ -85,7 +109,7 @@ class Index:
 
     def weight(self, shingles: np.ndarray) -> np.ndarray:
         k = self.at(shingles)
-        return np.where(k >= 0, self.weights[k], self.elsewhere(shingles))
+        return np.where(k >= 0, self.weights[k], self.elsewhere(shingles)) if len(self.weights) else self.elsewhere(shingles)
 
 
 def simhash(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -99,37 +123,48 @@ def within(prints: np.ndarray, items: np.ndarray, masks: np.ndarray) -> tuple[np
     """All pairs (print, item) at most RADIUS bits apart. Of BLOCKS blocks of bits one at least differs in no more than RADIUS // BLOCKS places; so for each
     block the windows are indexed by its value, every item looks up all values so near to its own, and what it meets is compared in full."""
     bits = 64 // BLOCKS
-    found = []
+    found = [np.zeros(0, np.int64)]
     for b in range(BLOCKS):
         value = (prints >> _U(b * bits) & _U((1 << bits) - 1)).astype(np.int64)
         order = np.argsort(value, kind="stable")
         ends = np.cumsum(np.bincount(value, minlength=1 << bits))
-        near = (items >> _U(b * bits) & _U((1 << bits) - 1)).astype(np.int64)[:, None] ^ masks[None, :]
-        size = ends[near] - np.where(near > 0, ends[near - 1], 0)
-        item, k = np.nonzero(size)
-        n = size[item, k]
-        first = ends[near[item, k]] - n
-        rows = order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        item = np.repeat(item, n)
-        good = np.bitwise_count(prints[rows] ^ items[item]) <= RADIUS
-        found.append(rows[good] * len(items) + item[good])
+        for part in range(0, len(items), ITEMS_AT_ONCE):
+            own = items[part : part + ITEMS_AT_ONCE]
+            near = (own >> _U(b * bits) & _U((1 << bits) - 1)).astype(np.int64)[:, None] ^ masks[None, :]
+            size = ends[near] - np.where(near > 0, ends[near - 1], 0)
+            item, k = np.nonzero(size)
+            n = size[item, k]
+            first = ends[near[item, k]] - n
+            # so many at once that the arrays stay bounded, whatever windows share a value
+            cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), 1 << 20), "left").tolist() + [len(n)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                m = n[lo:hi]
+                rows = order[np.repeat(first[lo:hi] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+                whose = np.repeat(item[lo:hi], m)
+                good = np.bitwise_count(prints[rows] ^ own[whose]) <= RADIUS
+                found.append(rows[good] * len(items) + whose[good] + part)
     both = np.unique(np.concatenate(found))
     return both // max(1, len(items)), both % max(1, len(items))
 
 
-def reaching(start: np.ndarray, count: np.ndarray, hits: np.ndarray, weights: np.ndarray, sums: np.ndarray, length: int, item: np.ndarray, item_weight: float) -> np.ndarray:
-    """Which windows (start, in order, and number of shingles) may have similarity SIMILAR to an item, weighted or plain: at best all shingles of the
-    window that the item holds (at hits, with weights) are common to both. sums are running sums of the weights at all places; no window that reaches it is left out."""
-    lo, hi = np.searchsorted(start, hits - length), np.searchsorted(start, hits, "right")
-    mark = np.zeros(len(start) + 1, np.int64)
-    np.add.at(mark, lo, 1)
-    np.add.at(mark, hi, -1)
-    near = np.flatnonzero(np.cumsum(mark)[:-1])
-    a, b = np.searchsorted(hits, start[near]), np.searchsorted(hits, start[near] + count[near])
-    running = np.append(0.0, np.cumsum(weights))
-    plain = (1 + SIMILAR) * (b - a) >= SIMILAR * (count[near] + len(item)) - 1e-6
-    heavy = (1 + SIMILAR) * (running[b] - running[a]) >= SIMILAR * (sums[start[near] + count[near]] - sums[start[near]] + item_weight) - 1e-6
-    return near[plain | heavy]
+def reaching(size: np.ndarray, common: np.ndarray, weights: np.ndarray, item: np.ndarray, item_weight: float) -> np.ndarray:
+    """Which of the windows that start at 0, 1, .. of a stretch of shingles (size: shingles of each) may have similarity SIMILAR to an item, weighted or plain: at best
+    all shingles of the window that the item holds (common) are common to both. No window that reaches it is left out."""
+    start = np.arange(len(size))
+    n, heavy, every = (np.append(0.0, np.cumsum(x)) for x in (common, common * weights, weights))
+    n, heavy, every = (x[start + size] - x[start] for x in (n, heavy, every))
+    plain = (1 + SIMILAR) * n >= SIMILAR * (size + len(item)) - 1e-6
+    return np.flatnonzero(plain | ((1 + SIMILAR) * heavy >= SIMILAR * (every + item_weight) - 1e-6))
+
+
+def joined(key: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (first to last) as few that don't touch, key by key."""
+    order = np.lexsort((first, key))
+    key, first, last = key[order], first[order], last[order]
+    step = int(last.max()) + 2 if len(last) else 1
+    far = np.maximum.accumulate(last + key * step)
+    new = np.flatnonzero(np.append(True, first[1:] + key[1:] * step > far[:-1] + 1)) if len(key) else np.zeros(0, np.int64)
+    return key[new], first[new], far[np.append(new[1:] - 1, len(key) - 1).astype(np.int64)] - key[new] * step if len(key) else last
 
 
 def similarity(a: np.ndarray, b: np.ndarray, index: Index) -> tuple[float, float]:
@@ -142,10 +177,10 @@ def similarity(a: np.ndarray, b: np.ndarray, index: Index) -> tuple[float, float
 
 
 def leaks_of(words: list[np.ndarray], index: Index) -> list[tuple[int, int, float, int, int]]:
-    """(document, item, best similarity, its window's first word, number of windows) of all that reach SIMILAR.
+    """(document, item text, best similarity, its window's first word, number of windows) of all that reach SIMILAR.
 
-    A window without any shingle of an item has similarity 0 to it, so windows are laid, in the item's length, wherever they hold one of its shingles, and
-    nowhere else; nothing is lost by that. A document shorter than the item is one window. Fingerprints within RADIUS by Hamming blocks and, as weights may
+    A window can reach it only with one of the item's rarest shingles (Index.rarest), so windows are laid, in the item's length, wherever they hold one, and nowhere else; nothing is lost by
+    that, and a shingle of many items costs no more than one of few. A document shorter than the item is one window. Fingerprints within RADIUS by Hamming blocks and, as weights may
     carry a window beyond it, all windows whose common shingles may suffice (reaching) come to the exact test. Where no window reaches SIMILAR by
     weight, one that reaches it by plain similarity does too: else one foreign shingle would outweigh all that an item shares with others.
     """
@@ -158,48 +193,47 @@ def leaks_of(words: list[np.ndarray], index: Index) -> list[tuple[int, int, floa
         if len(flat) < width:
             continue
         shingles = windows(flat, width, BASES[0])
-        k = index.at(shingles)
-        hit = np.flatnonzero((k >= 0) & (doc[: len(shingles)] == doc[width - 1 :]))
-        laid: dict[int, set[int]] = defaultdict(set)
-        held: dict[int, list[int]] = defaultdict(list)
-        sums = np.append(0.0, np.cumsum(index.weight(shingles))) if len(hit) else np.zeros(1)
-        for p in hit.tolist():
-            d = int(doc[p])
-            for item in index.holders[k[p]]:
-                n, own_width, _ = index.items[item]
-                if own_width == width:
-                    held[item].append(p)
-                    last = max(0, int(sizes[d]) - n) + int(offset[d])
-                    laid[n].update(range(max(int(offset[d]), min(p - n + width, last)), min(p, last) + 1))
-        for n, own in laid.items():
-            start = np.array(sorted(own), np.int64)
+        k = np.where(doc[: len(shingles)] == doc[width - 1 :], index.at(shingles), -1)
+        hit = np.flatnonzero(k >= 0)
+        n_asked = index.ends[k[hit]] - np.where(k[hit] > 0, index.ends[k[hit] - 1], 0)
+        hit, n_asked = hit[n_asked > 0], n_asked[n_asked > 0]
+        item = index.asked[np.repeat(index.ends[k[hit]] - n_asked - (np.cumsum(n_asked) - n_asked), n_asked) + np.arange(n_asked.sum())]
+        p = np.repeat(hit, n_asked)
+        same = np.array([index.items[i][1] == width for i in item.tolist()], bool)
+        item, p = item[same], p[same]
+        if not len(p):
+            continue
+        n, begin = index.lengths[item], offset[doc[p]]
+        last = begin + np.maximum(0, sizes[doc[p]] - n)
+        item, first, last = joined(item, np.maximum(begin, np.minimum(p - n + width, last)), np.minimum(p, last))
+        for n in np.unique(index.lengths[item]).tolist():
+            own = np.flatnonzero(index.lengths[item] == n)
+            _, lo, hi = joined(np.zeros(len(own), np.int64), first[own], last[own])
+            start = np.repeat(lo - (np.cumsum(hi - lo + 1) - (hi - lo + 1)), hi - lo + 1) + np.arange((hi - lo + 1).sum())
             count = np.minimum(n, sizes[doc[start]]) - width + 1  # shingles of the window
-            items = np.array([i for i, x in enumerate(index.items) if x[0] == n], np.int64)
-            for part in range(0, len(start), 20_000):
-                at, size = start[part : part + 20_000], count[part : part + 20_000]
+            pairs = [np.zeros(0, np.int64)]
+            items = np.flatnonzero(index.lengths == n)
+            for part in range(0, len(start), WINDOWS_AT_ONCE):
+                at, size = start[part : part + WINDOWS_AT_ONCE], count[part : part + WINDOWS_AT_ONCE]
                 # only the shingles under the windows are summed
-                used = np.zeros(len(shingles) + 1, np.int64)
-                np.add.at(used, at, 1)
-                np.add.at(used, at + size, -1)
-                under = np.flatnonzero(np.cumsum(used)[:-1])
+                _, lo, hi = joined(np.zeros(len(at), np.int64), at, at + size - 1)
+                under = np.repeat(lo - (np.cumsum(hi - lo + 1) - (hi - lo + 1)), hi - lo + 1) + np.arange((hi - lo + 1).sum())
                 place = np.searchsorted(under, at)
-                prints = simhash(shingles[under], index.weight(shingles[under]), place, place + size)
-                w, i = within(prints, index.prints[items], index.masks)
-                pairs = [w * len(items) + i]
-                for i, item in enumerate(items.tolist()):
-                    if item in held:
-                        own = np.array(held[item], np.int64)
-                        near = reaching(at, size, own, index.weight(shingles[own]), sums, n, index.items[item][2], index.totals[item])
-                        pairs.append(near * len(items) + i)
-                for w, i in zip(*np.divmod(np.unique(np.concatenate(pairs)), len(items)), strict=True):
-                    both = similarity(shingles[at[w] : at[w] + size[w]], index.items[items[i]][2], index)
-                    for kind, s in enumerate(both):
-                        if s >= SIMILAR - 1e-9:
-                            d = int(doc[at[w]])
-                            got = out.setdefault((d, int(items[i])), [[0.0, 0, 0], [0.0, 0, 0]])[kind]
-                            if s > got[0] + 1e-12:
-                                got[:2] = [s, int(at[w] - offset[d])]
-                            got[2] += 1
+                w, i = within(simhash(shingles[under], index.weight(shingles[under]), place, place + size), index.prints[items], index.masks)
+                pairs.append((w + part) * len(index.items) + items[i])
+            for i, a, b in zip(item[own].tolist(), first[own].tolist(), last[own].tolist(), strict=True):
+                size = count[np.searchsorted(start, a) : np.searchsorted(start, b) + 1]
+                stretch = shingles[a : b + int(size[-1])]
+                near = reaching(size, np.isin(stretch, index.items[i][2]), index.weight(stretch), index.items[i][2], index.totals[i])
+                pairs.append((np.searchsorted(start, a) + near) * len(index.items) + i)
+            for w, i in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(pairs)), len(index.items))), strict=True):
+                for kind, s in enumerate(similarity(shingles[start[w] : start[w] + count[w]], index.items[i][2], index)):
+                    if s >= SIMILAR - 1e-9:
+                        d = int(doc[start[w]])
+                        got = out.setdefault((d, i), [[0.0, 0, 0], [0.0, 0, 0]])[kind]
+                        if s > got[0] + 1e-12:
+                            got[:2] = [s, int(start[w] - offset[d])]
+                        got[2] += 1
     return [(d, i, *(weighted if weighted[2] else plain)) for (d, i), (weighted, plain) in sorted(out.items())]
 
 
@@ -242,7 +276,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     def flag(shared: Broadcast) -> Callable[[], Callable]:
         def start() -> Callable:
-            index, seen = Index(*shared.value), Words()
+            index, seen = Index.of(shared.value), Words()
 
             def clean(texts: list[str | None]) -> tuple:
                 found = {d for d, *_ in leaks_of([hashes(words_of(x), seen) for x in texts], index)} if index.ids else set()
@@ -253,7 +287,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         return start
 
     for own in _blocks(benchmark, item_id_col, item_text_col):
-        docs = through(docs, text_col, flag(docs.sparkSession.sparkContext.broadcast(own)))
+        docs = through(docs, text_col, flag(docs.sparkSession.sparkContext.broadcast(Index(*own).state())))
     return docs
 
 
@@ -267,15 +301,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = pick(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "text")
     out = None
     for own in _blocks(benchmark, item_id_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(own)
+        shared = docs.sparkSession.sparkContext.broadcast(Index(*own).state())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            index, seen = Index(*shared.value), Words()
+            index, seen = Index.of(shared.value), Words()
             for batch in slabs(batches, "text", 2 << 20):
                 found = leaks_of([hashes(words_of(x), seen) for x in batch.column("text").to_pylist()], index) if index.ids else []
+                found = [(d, own, *x) for d, i, *x in found for own in index.ids[i]]
                 ids = batch.column("doc_id").to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[d] for d, *_ in found], pa.int64()), pa.array([index.ids[i] for _, i, *_ in found], pa.int64()), pa.array([x[2] for x in found], pa.float64()), pa.array([x[3] for x in found], pa.int64()), pa.array([x[4] for x in found], pa.int64())],
+                    [pa.array([ids[d] for d, *_ in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.float64()), pa.array([x[3] for x in found], pa.int64()), pa.array([x[4] for x in found], pa.int64())],
                     ["doc_id", "item_id", "similarity", "start_word", "n_windows"],
                 )
 
@@ -285,6 +320,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """leaks() of all documents and the whole benchmark."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("similarity", F.round("similarity", 6))
 
 

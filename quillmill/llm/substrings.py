@@ -34,14 +34,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """64-bit hashes of words, remembered."""
+    """64-bit hashes of words, given as bytes or as str, remembered."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         import xxhash
 
         if len(self) >= MOST_WORDS:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass") if isinstance(word, str) else word)
         return h
 
 

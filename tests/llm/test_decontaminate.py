@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -128,3 +129,40 @@ def test_figures_do_not_depend_on_the_blocks(spark, monkeypatch):
     monkeypatch.setattr(dc, "BLOCK_BYTES", 1500)
     assert len(list(dc._blocks(i, "item_id", "text"))) > 3
     assert figures() == one and sorted(x.doc_id for x in dc.without_leaks(d, i).collect()) == left
+
+
+def test_hot_shingles_and_many_items_of_one_length():
+    """A stem shared by thousands of items, met all over a text, costs no loop over its holders."""
+    r = random.Random(6)
+    stem = [f"s{k}" for k in range(10)]
+    own = [[f"i{k}_{j}" for j in range(25)] for k in range(4000)]
+    index = dc.Index(list(range(4000)), [" ".join(stem + w) for w in own])
+    assert len(index.asked) <= 10 * 4000
+    seen = Words()
+    text = stem * 4000 + stem + own[17] + [f"x{r.random()}" for _ in range(1000)] + stem + own[3999][:-1]
+    start = time.time()
+    got = dc.leaks_of([dc.hashes(text, seen), dc.hashes(stem, seen)], index)
+    assert {(d, i) for d, i, *_ in got} == {(0, 17), (0, 3999)} and time.time() - start < 30
+
+
+def test_random_texts_of_few_words_equal_brute_force():
+    for seed in range(25):
+        r = random.Random(seed)
+        word = lambda: r.choice("abcdefghijklmnopqrstuvwxyz"[: r.choice([6, 26])])
+        items = [(i, " ".join(word() for _ in range(r.choice([3, 6, 9, 9, 14, 21])))) for i in range(12)]
+        docs = [(i, " ".join(x for _ in range(4) for x in [*(word() for _ in range(r.randrange(9))), *r.choice(items)[1].split()])) for i in range(6)]
+        docs += [(9, items[0][1]), (10, " ".join(items[1][1].split()[:-1]))]
+        index, seen = dc.Index(*map(list, zip(*items, strict=True))), Words()
+        got = {(docs[d][0], own): s for d, i, s, _, n in dc.leaks_of([dc.hashes(dc.words_of(t), seen) for _, t in docs], index) for own in index.ids[i] if n}
+        want = brute_by_text(docs, items)
+        # plain similarity counts where no window reaches it by weight, so more may be found than by weight alone
+        assert want.keys() <= got.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), seed
+
+
+def brute_by_text(docs, items):
+    """brute(), with equal texts of items counted as one holder."""
+    first = {}
+    for i, t in items:
+        first.setdefault(t, i)
+    found = brute(docs, [(i, t) for t, i in first.items()])
+    return {(d, j): s for (d, i), s in found.items() for j, t in items if first[t] == i}
