@@ -26,9 +26,18 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
+#: The characters of Unicode's White_Space.
+WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(x: Column) -> Column:
-    """Without white space of any kind at either end; Spark's trim takes only spaces."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at either end; Spark's plain trim takes only spaces. Only the ends are read."""
+    return F.btrim(x, F.lit(WHITE))
+
+
+def blanks(x: Column, of: str) -> Column:
+    """Each run of blanks (of: characters besides the space) as one space. A space alone is no match, so ordinary text is copied in long pieces."""
+    return F.regexp_replace(x, f"[{of}][ {of}]*| [ {of}]+", " ")
 
 
 def rstrip(x: Column) -> Column:
@@ -69,7 +78,7 @@ def unescape(x: Column | str) -> Column:
 def squeeze(x: Column, limit: int | None = None, returns: bool = True) -> Column:
     """Runs of blanks to one space, at most one empty line, nothing at the ends. returns: carriage returns count as blanks, else as line ends."""
     x = x if returns else F.regexp_replace(x, "\r\n?", "\n")
-    x = F.regexp_replace(x, r"[ \t\r\f\x0B]+" if returns else r"[ \t\f\x0B]+", " ")
+    x = blanks(x, r"\t\r\f\x0B" if returns else r"\t\f\x0B")
     return clip(strip(F.regexp_replace(x, "\n{3,}", "\n\n")), limit)
 
 
@@ -87,7 +96,7 @@ def clean_text(x: Column | str, mode: str = "plain", limit: int | None = None) -
         t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
     if mode == "markdown":
         t = F.regexp_replace(F.regexp_replace(t, "\r\n?", "\n"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
-        t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), " *\n *", "\n")
+        t = F.regexp_replace(blanks(t, r"\t"), " *\n *", "\n")
         return clip(strip(F.regexp_replace(t, "\n{3,}", "\n\n")), limit)
     if mode in ("feed", "page", "block"):
         dropped = "script|style|svg|noscript|iframe|form|nav|footer|header" if mode == "block" else "script|style"
@@ -96,8 +105,7 @@ def clean_text(x: Column | str, mode: str = "plain", limit: int | None = None) -
             t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
             t = F.regexp_replace(t, r"(?i)</(p|div|li|h[1-6]|blockquote|section|article)>" if mode == "block" else r"(?i)</p>", "\n")
         t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
-        t = F.regexp_replace(t, r"[ \t\r\f\x0B]+", " ")
-        t = F.regexp_replace(t, r"(?U)\n\s+", "\n")
+        t = F.regexp_replace(blanks(t, r"\t\r\f\x0B"), r"(?U)\n\s+", "\n")
     return squeeze(t, limit, returns=mode != "document")
 
 

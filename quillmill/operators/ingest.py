@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,40 +91,40 @@ def entry_keys(df: DataFrame, id_col: str, url_cols: list[str], guid_col: str |
     return F.array_distinct(F.filter(F.array(*[F.when(v != "", F.concat(F.lit(k + ":"), v)) for k, v in marked]), lambda x: x.isNotNull()))
 
 
-def new_entries(entries: DataFrame, seen: DataFrame, order: list[str], gate: str | None = None, rounds: int = 100) -> DataFrame:
+def new_entries(entries: DataFrame, seen: DataFrame, order: list[str], gate: str | None = None) -> DataFrame:
     """entries (with `keys`) and `entry_outcome`: new, duplicate or, if `gate` (a boolean column) is true, blocked.
 
     As if read one by one in `order`, which must tell all rows apart: an entry is a duplicate if one of its keys is in `seen` (a table of `key`) or belongs to an entry accepted before.
     Blocked entries add no keys. The loop becomes rounds over exploded keys: who holds the least rank of all its keys is accepted, who shares a key with an accepted
-    one is a duplicate, and the rest go on. Chains of keys cost a round per link; beyond `rounds` it is an error, not a guess. Entries without keys are new.
+    one is a duplicate, and the rest go on, with only the keys that are still shared among them. A round accepts at least the first of what is left, so they end; a chain of keys in
+    falling order costs a round a link. Entries without keys are new. A round writes two small tables, which go with the next.
     """
     ranked = stored(entries.withColumn("__rank", F.struct(*order)).withColumn("__gate", F.coalesce(F.col(gate), F.lit(False)) if gate else F.lit(False)), "entries")
     every = ranked.select("__rank", "__gate", F.explode("keys").alias("key"))
     known = every.join(seen.select("key").distinct(), "key", "left_semi").select("__rank").distinct().withColumn("__label", F.lit("duplicate"))
-    labels, pending = stored(known, "labels"), None
-    pending = stored(every.join(labels, "__rank", "left_anti"), "pending")
-    accepted_keys = None
-    for _ in range(rounds):
-        open_ = pending.filter("not __gate")
-        if not open_.limit(1).count():
-            break
-        least = open_.groupBy("key").agg(F.min("__rank").alias("least"))
-        won = open_.join(least, "key").groupBy("__rank").agg(F.bool_and(F.col("least") == F.col("__rank")).alias("won")).filter("won").select("__rank")
-        won = stored(won, "accepted")
-        keys = open_.join(won, "__rank", "left_semi").select("key", F.col("__rank").alias("by"))
-        accepted_keys = stored(keys if accepted_keys is None else accepted_keys.unionByName(keys), "accepted-keys")
-        lost = open_.join(won, "__rank", "left_anti").join(keys.select("key").distinct(), "key", "left_semi").select("__rank").distinct()
-        lost = stored(lost, "lost")
-        labels = stored(labels.unionByName(won.withColumn("__label", F.lit("new"))).unionByName(lost.withColumn("__label", F.lit("duplicate"))), "labels")
-        pending = stored(pending.join(won.unionByName(lost), "__rank", "left_anti"), "pending")
-    else:
-        raise RuntimeError(f"key chains longer than {rounds}")
-    if gate and accepted_keys is not None:
-        first = accepted_keys.groupBy("key").agg(F.min("by").alias("by"))
-        late = pending.join(first, "key").filter(F.col("by") < F.col("__rank")).select("__rank").distinct().withColumn("__label", F.lit("duplicate"))
-        labels = labels.unionByName(late)
-    label = F.coalesce("__label", F.when(F.col("__gate"), "blocked").otherwise("new"))
-    return ranked.join(labels, "__rank", "left").withColumn("entry_outcome", label).drop("__rank", "__gate", "__label")
+    labels = [stored(known, "labels")]
+    rest = stored(every.join(labels[0], "__rank", "left_anti"), "pending")
+    blocked, pending = rest.filter("__gate"), rest.filter("not __gate").select("__rank", "key")
+    while pending.limit(1).count():
+        least = pending.groupBy("key").agg(F.min("__rank").alias("least"))
+        held = pending.join(least, "key").groupBy("__rank").agg(F.bool_and(F.col("least") == F.col("__rank")).alias("won"))
+        marked = pending.join(held, "__rank")
+        taken = marked.filter("won").select("key").distinct().withColumn("taken", F.lit(True))
+        lost = marked.filter("not won").join(taken, "key", "left").groupBy("__rank").agg(F.max("taken").alias("taken"))
+        verdict = held.join(lost, "__rank", "left").select("__rank", F.when(F.col("won"), "new").when(F.col("taken"), "duplicate").alias("__label"))
+        labels.append(stored(verdict.filter("__label is not null"), "labels"))
+        # each label table has the rows of its round alone
+        left = stored(pending.join(labels[-1], "__rank", "left_anti"), "pending")
+        pending = left
+    label = labels[0]
+    for x in labels[1:]:
+        label = label.unionByName(x)
+    if gate:
+        first = every.join(label.filter("__label = 'new'"), "__rank").groupBy("key").agg(F.min("__rank").alias("by"))
+        late = blocked.join(first, "key").filter(F.col("by") < F.col("__rank")).select("__rank").distinct().withColumn("__label", F.lit("duplicate"))
+        label = label.unionByName(late)
+    outcome = F.coalesce("__label", F.when(F.col("__gate"), "blocked").otherwise("new"))
+    return ranked.join(label, "__rank", "left").withColumn("entry_outcome", outcome).drop("__rank", "__gate", "__label")
 
 
 def cap_per_source(entries: DataFrame, order: list[str], most: int = 10) -> DataFrame:
@@ -248,7 +251,23 @@ def plan_chunks(x: DataFrame, id_col: str, text_col: str, most: int = 2400) -> D
     body = clean_text(text_col, "document")
     pieces = cut(cut(F.split(body, r"\n\s*\n"), "\n"), r"(?<=[。！？!?])\s*|(?<=\.)\s+")
     pieces = F.filter(F.transform(pieces, strip), lambda p: p != "")
-    fits = lambda acc, p: (F.size(acc) > 0) & (F.length(F.try_element_at(acc, F.lit(-1))) + F.length(p) + 2 <= most)
-    packed = F.aggregate(pieces, F.array().cast("array<string>"), lambda acc, p: F.when(fits(acc, p), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws("\n\n", F.try_element_at(acc, F.lit(-1)), p)))).otherwise(F.concat(acc, F.array(p))))
-    rows = x.select(F.col(id_col).alias("item_id"), packed.alias("chunks"), F.sha1(body).alias("source_hash"))
-    return rows.select("item_id", "source_hash", F.size("chunks").alias("total"), F.posexplode("chunks").alias("chunk_no", "text"))
+    rows = x.select(F.col(id_col).alias("item_id"), pieces.alias("pieces"), F.sha1(body).alias("source_hash"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each piece goes to the open chunk if it fits, else begins one; what is yielded is a text's chunks at a time."""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunks: list[list[str]] = []
+                held = 0
+                for piece in batch.column(1)[k].as_py() or []:
+                    if chunks and held + len(piece) + 2 <= most:
+                        chunks[-1].append(piece)
+                        held += len(piece) + 2
+                    else:
+                        chunks.append([piece])
+                        held = len(piece)
+                n = len(chunks)
+                own = [pa.array([batch.column(c)[k]] * n, batch.column(c).type) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([own[0], own[1], pa.array([n] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(["\n\n".join(c) for c in chunks], pa.string())], ["item_id", "source_hash", "total", "chunk_no", "text"])
+
+    return rows.mapInArrow(pack, f"item_id {dict(rows.dtypes)['item_id']}, source_hash string, total int, chunk_no int, text string")

@@ -9,34 +9,65 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import CJK_WIDE, clean_text, fold, text
+from quillmill.functions.text import CJK_WIDE, clean_text, fold, let, text
+from quillmill.plans.working import stored
 
 LEAST_SHINGLES = 18
+#: Of the smaller of two texts, the share of shingles that any relation needs.
+LEAST_SHARED = 2 * 0.12 / 1.12
 
 
 def shingles(x: Column | str) -> Column:
     """The distinct shingles of a text: four characters where CJK abounds, else three words, or the words if there are fewer."""
-    t = fold(clean_text(x, "document"))
-    compact = F.regexp_replace(t, rf"(?U)[^\w{CJK_WIDE}]+", "")
-    cjk = F.regexp_count(compact, F.lit(f"[{CJK_WIDE}]"))
-    by_char = F.when(F.length(compact) >= 4, F.transform(F.sequence(F.lit(1), F.greatest(F.length(compact) - 3, F.lit(1))), lambda i: F.substring(compact, i, F.lit(4)))).otherwise(F.array().cast("array<string>"))
-    words = F.regexp_extract_all(t, F.lit(rf"[a-z0-9{CJK_WIDE}]+"), 0)
-    by_word = F.when(F.size(words) < 3, words).otherwise(F.zip_with(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)), F.slice(words, F.lit(3), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
-    return F.array_distinct(F.filter(F.when(cjk >= F.greatest(F.lit(8), F.floor(F.length(compact) / 8)), by_char).otherwise(by_word), lambda s: s.isNotNull()))
+    return let(clean_text(x, "document"), _shingles)
 
 
-def shingle_table(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, shingle) of the texts with enough shingles; n is how many the text has."""
-    s = texts.select(F.col(id_col).alias("id"), shingles(text_col).alias("s")).withColumn("n", F.size("s")).filter(F.col("n") >= LEAST_SHINGLES)
-    return s.select("id", "n", F.explode("s").alias("shingle"))
+def _shingles(clean: Column) -> Column:
+    def of(t: Column) -> Column:
+        by_word = let(F.regexp_extract_all(t, F.lit(rf"[a-z0-9{CJK_WIDE}]+"), 0), triples)
+        # only a text with such letters is read for their share
+        return F.array_distinct(F.when(t.rlike(f"[{CJK_WIDE}]"), let(F.regexp_replace(t, rf"(?U)[^\w{CJK_WIDE}]+", ""), lambda c: F.when(F.regexp_count(c, F.lit(f"[{CJK_WIDE}]")) >= F.greatest(F.lit(8), F.floor(F.length(c) / 8)), fours(c)).otherwise(by_word))).otherwise(by_word))
 
+    def fours(c: Column) -> Column:
+        return F.when(F.length(c) >= 4, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.substring(c, i, F.lit(4)))).otherwise(F.array().cast("array<string>"))
 
-def overlaps(probes: DataFrame, others: DataFrame) -> DataFrame:
-    """(probe, other, n_probe, n_other, n_shared) of shingle tables. One equi-join on the shingle, whose skewed keys the adaptive planner splits, then one count
-    that is combined within each task."""
-    p = probes.select(F.col("id").alias("probe"), F.col("n").alias("n_probe"), "shingle")
-    o = others.select(F.col("id").alias("other"), F.col("n").alias("n_other"), "shingle")
-    return p.join(o, "shingle").filter("probe != other").groupBy("probe", "other", "n_probe", "n_other").agg(F.count(F.lit(1)).alias("n_shared"))
+    def triples(w: Column) -> Column:
+        three = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(F.size(w) < 3, w).otherwise(three)
+
+    return let(fold(clean), of)
+
+
+def shingle_table(texts: DataFrame, id_col: str, text_col: str, least_chars: int = 0) -> DataFrame:
+    """(id, n, shingle) of the texts of least_chars with enough shingles; n is how many the text has. The gates stand within one expression, so that no filter computes the shingles again."""
+    enough = lambda s: F.when(F.size(s) >= LEAST_SHINGLES, F.transform(s, lambda x: F.struct(F.size(s).alias("n"), x.alias("shingle"))))
+    rows = let(clean_text(text_col, "document"), lambda c: F.when(F.length(c) >= least_chars, let(_shingles(c), enough)))
+    return texts.select(F.col(id_col).alias("id"), F.explode(rows).alias("s")).select("id", "s.n", "s.shingle")
+
+
+def overlaps(probes: DataFrame, others: DataFrame, common: int = 1000) -> DataFrame:
+    """(probe, other, n_probe, n_other, n_shared) of shingle tables: every pair that classify can keep, with its exact count.
+
+    A kept pair shares over LEAST_SHARED of the smaller text's shingles (Jaccard 0.12 is 0.12 / 1.12 of both together, so 0.214 of the smaller). Shingles of more than `common` texts would join each
+    of them with each; a text needs no more than its rarest ones beyond that share to meet its partners, so of common shingles the smaller text sends only
+    those few it can't do without, usually none. All others join as they are, and what a pair shares of the common ones is counted from its two small sets.
+    """
+    p, o = (stored(x, "shingles") for x in (probes, others))
+    hot = stored(p.select("shingle").unionAll(o.select("shingle")).groupBy("shingle").count().filter(F.col("count") > common), "common-shingles")
+    p_cold, o_cold = (x.join(hot, "shingle", "left_anti") for x in (p, o))
+    both = lambda a, b: a.select(F.col("id").alias("probe"), F.col("n").alias("n_probe"), "shingle").join(b.select(F.col("id").alias("other"), F.col("n").alias("n_other"), "shingle"), "shingle").filter("probe != other")
+    pair = ["probe", "other", "n_probe", "n_other"]
+    cold = both(p_cold, o_cold).groupBy(*pair).agg(F.count(F.lit(1)).alias("n_shared"))
+    if not hot.limit(1).count():
+        return cold
+    p_hot, o_hot = (stored(x.join(hot, "shingle"), "common-of-texts") for x in (p, o))
+    spare = F.ceil(F.col("n") * LEAST_SHARED) - 1
+    kept = lambda x: x.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("count"), "shingle"))).filter(F.col("rank") > spare)
+    warm = both(kept(p_hot), o_hot).filter("n_probe <= n_other").select(*pair).unionByName(both(p_hot, kept(o_hot)).filter("n_probe > n_other").select(*pair)).distinct()
+    sets = lambda x, name: x.groupBy(F.col("id").alias(name)).agg(F.collect_list("shingle").alias(f"{name}_set"))
+    pairs = cold.unionByName(warm.withColumn("n_shared", F.lit(0).cast("long"))).groupBy(*pair).agg(F.sum("n_shared").alias("n_shared"))
+    pairs = pairs.join(sets(p_hot, "probe"), "probe", "left").join(sets(o_hot, "other"), "other", "left")
+    return pairs.select(*pair, (F.col("n_shared") + F.coalesce(F.size(F.array_intersect("probe_set", "other_set")), F.lit(0))).alias("n_shared"))
 
 
 def classify(pairs: DataFrame) -> DataFrame:
@@ -55,8 +86,7 @@ def classify(pairs: DataFrame) -> DataFrame:
 
 def text_relations(probes: DataFrame, others: DataFrame, id_col: str = "id", text_col: str = "text", most: int | None = 10) -> DataFrame:
     """The relations of each probe text (120 characters or more) to other texts (80 or more), best first: by relation, then score; at most `most` each."""
-    long = lambda df, n: df.filter(F.length(clean_text(text_col, "document")) >= n)
-    found = classify(overlaps(shingle_table(long(probes, 120), id_col, text_col), shingle_table(long(others, 80), id_col, text_col)))
+    found = classify(overlaps(shingle_table(probes, id_col, text_col, 120), shingle_table(others, id_col, text_col, 80)))
     if most is None:
         return found
     order = F.when(F.col("relation") == "full-source", 0).when(F.col("relation") == "subset", 1).otherwise(2)

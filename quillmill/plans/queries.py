@@ -207,6 +207,28 @@ def new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).select("turn", "pos", "entry_outcome")
 
 
+# one entry after another, with the keys accepted so far in a list: the rule as it is told
+HISTORY_SQL = f"""WITH RECURSIVE raw AS (
+        SELECT 0 AS turn, page_id AS pos, 'g' || (page_id % 97) AS guid, url FROM pages UNION ALL
+        SELECT 1, page_id, 'g' || (page_id * 7 % 113), CASE WHEN contains(url, '#') THEN url WHEN contains(url, '?') THEN url || '&utm_source=x' WHEN page_id % 2 = 0 THEN url || '/' ELSE url || '#again' END FROM pages),
+    {URL_SQL}, numbered AS (SELECT turn, pos, pos % 13 = 5 AS blocked, ['guid:' || guid, 'url:' || normalized] AS keys, row_number() OVER (ORDER BY turn, pos) AS k FROM norm),
+    history AS (SELECT list('url:' || normalized) AS keys FROM norm WHERE turn = 0 AND pos % 11 = 3),
+    step AS (
+        SELECT 0::BIGINT AS k, 0 AS turn, 0::BIGINT AS pos, '' AS entry_outcome, keys AS seen FROM history UNION ALL
+        SELECT n.k, n.turn, n.pos, CASE WHEN list_has_any(s.seen, n.keys) THEN 'duplicate' WHEN n.blocked THEN 'blocked' ELSE 'new' END,
+            CASE WHEN list_has_any(s.seen, n.keys) OR n.blocked THEN s.seen ELSE list_concat(s.seen, n.keys) END FROM step s JOIN numbered n ON n.k = s.k + 1)
+    SELECT turn, pos, entry_outcome FROM step WHERE k > 0"""
+
+
+@query(HISTORY_SQL)
+def entries_against_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of two keys each, guid and address, some blocked, against the addresses seen before."""
+    turn, pos = F.col("turn"), F.col("pos")
+    e = entries(spark, sf_dir).withColumns({"guid": F.concat(F.lit("g"), F.when(turn == 0, pos % 97).otherwise(pos * 7 % 113)), "gate": pos % 13 == 5, "none": F.lit(None).cast("string")})
+    seen = table(spark, sf_dir, "pages").filter("page_id % 11 = 3").select(F.concat(F.lit("url:"), normalize_url("url")).alias("key"))
+    return ingest.new_entries(e.withColumn("keys", ingest.entry_keys(e, "none", ["url"], "guid")), seen, ["turn", "pos"], "gate").select("turn", "pos", "entry_outcome")
+
+
 @query(ENTRIES_SQL + " SELECT source_id, count(*) AS entries_seen, count(*) FILTER (entry_outcome = 'new') AS new_items, 0::BIGINT AS skipped_old, count(*) FILTER (entry_outcome = 'duplicate') AS skipped_duplicate_recent, 0::BIGINT AS skipped_source_keywords FROM labelled GROUP BY source_id")
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest_stats(_labelled(spark, sf_dir))
@@ -270,6 +292,20 @@ def text_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.text_relations(probes, others, most=None).select("probe", "other", "n_shared", "relation", F.round("score", 6).alias("score"), "direction")
 
 
+ORACLE_SQL["ranked_relations"] = f"""SELECT probe, other, relation, score, rank::INT AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY probe ORDER BY CASE relation WHEN 'full-source' THEN 0 WHEN 'subset' THEN 1 ELSE 2 END, score DESC, other) AS rank FROM ({ORACLE_SQL["text_relations"]})) WHERE rank <= 10"""
+
+
+def ranked_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best relations of each benchmark text, as the operator ranks them."""
+    probes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    others = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return relations.text_relations(probes, others).select("probe", "other", "relation", F.round("score", 6).alias("score"), "rank")
+
+
+QUERIES["ranked_relations"] = ranked_relations
+
+
 @query()
 def title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = lambda name, key: table(spark, sf_dir, name).select(F.concat(F.lit(name + "-"), F.col(key)).alias("id"), F.substring_index("text", "\n", 1).alias("title"))

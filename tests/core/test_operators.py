@@ -155,6 +155,18 @@ def test_checks(spark):
     assert [(r.row_key, r.detail) for r in checks.unique(df, "t").collect()] == [("1", "2")]
 
 
+def test_common_shingles_lose_no_pair(spark):
+    r = random.Random(9)
+    stock = [f"c{i}" for i in range(40)]
+    texts = [(k, " ".join([*r.sample(stock, r.choice([0, 10, 40])), *(f"w{r.randrange(60)}" for _ in range(r.choice([20, 60])))])) for k in range(24)] + [(30, " ".join(stock)), (31, " ".join(stock + ["end"])), (32, " ".join(stock[:25]))]
+    df = spark.createDataFrame(texts, "id int, text string")
+    t = relations.shingle_table(df, "id", "text")
+    plain = {tuple(x) for x in relations.classify(relations.overlaps(t, t)).select("probe", "other", "n_shared").collect()}
+    assert len(plain) > 4
+    for common in (1, 2, 5):
+        assert {tuple(x) for x in relations.classify(relations.overlaps(t, t, common)).select("probe", "other", "n_shared").collect()} == plain
+
+
 def brute_shingles(t):
     import re
 
