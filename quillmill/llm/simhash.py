@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -135,13 +135,16 @@ def cell_links(fps: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.nda
                 left = left[~near]
 
 
-def links(fps: DataFrame, limit: int = LINK) -> DataFrame:
+def links(fps: DataFrame, limit: int = LINK, large: int = 8192) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints (column fp: long), at most `limit` bits apart, that connect all those so linked.
 
     For x and y within limit some z lies within limit // 2 flips of one and the rest of the other; x and y both go to the anchor in whose cell z lies. So
     it is enough to send each fingerprint to the anchors of the cells that limit - limit // 2 flips reach, all of them within the covering radius
-    plus the threshold. Partitions are sorted by anchor and read as a stream: small cells compare their pairs all at once, large ones one step
+    plus the threshold. Partitions are sorted by anchor and read as a stream: small cells compare their pairs all at once, larger ones one step
     after another (cell_links). A task passes on a link only if its earlier ones don't already connect the two, so its rows stay below its fingerprints.
+
+    Of a cell of over `large` fingerprints no task holds more than those: its members are passed on as they are and meet again by parts of the 18 bits that take no part in the code. These are
+    cut into limit + 1 parts, so two members within limit are equal in one of them.
     """
     flips = limit - limit // 2
     parts = cells(flips)
@@ -154,48 +157,88 @@ def links(fps: DataFrame, limit: int = LINK) -> DataFrame:
                 row, anchor = anchors(own[k : k + 2000], (*shared.value, None), flips)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(own[k : k + 2000][row].view(np.int64))], ["anchor", "fp"])
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        held_anchor, held_fp = [], []
-
-        def news(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            new = [(x, y) for x, y in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True) if forest.join(x, y)]
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([y for _, y in new], pa.int64())], ["a", "b"])
-
-        def compare(anchor: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            starts = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1))
-            sizes = np.diff(np.append(starts, len(anchor)))
-            small = np.flatnonzero((sizes > 1) & (sizes <= 16))
-            for gap in range(1, int(sizes[small].max()) if len(small) else 0):
-                at = starts[small[sizes[small] > gap]]
-                width = sizes[small[sizes[small] > gap]] - gap
-                left = np.repeat(at - (np.cumsum(width) - width), width) + np.arange(width.sum())
-                near = distance(fp[left], fp[left + gap]) <= limit
-                if near.any():
-                    yield news(fp[left[near]], fp[left[near] + gap])
-            for k in np.flatnonzero(sizes > 16):
-                for a, b in cell_links(fp[starts[k] : starts[k] + sizes[k]], limit):
-                    yield news(a, b)
-
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = np.linspace(2 * LENGTH, 64, limit + 2).astype(int).tolist()
         for batch in batches:
-            anchor, fp = batch.column("anchor").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(anchor):
-                continue
-            if held_anchor and held_anchor[0][0] != anchor[-1]:
-                # the last anchor of the batch may go on in the next
-                cut = int(np.searchsorted(anchor, anchor[-1], "left"))
-                yield from compare(np.concatenate([*held_anchor, anchor[:cut]]), np.concatenate([*held_fp, fp[:cut]]))
-                held_anchor, held_fp, anchor, fp = [], [], anchor[cut:], fp[cut:]
-            elif not held_anchor and anchor[0] != anchor[-1]:
-                cut = int(np.searchsorted(anchor, anchor[-1], "left"))
-                yield from compare(anchor[:cut], fp[:cut])
-                anchor, fp = anchor[cut:], fp[cut:]
-            held_anchor.append(anchor)
-            held_fp.append(fp)
-        if held_anchor:
-            yield from compare(np.concatenate(held_anchor), np.concatenate(held_fp))
-
-    return fps.mapInArrow(sent, "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(met, "a long, b long")
+            anchor, fp = batch.column("anchor").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False)
+            for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                part = fp.view(np.uint64) >> np.uint64(lo) & np.uint64((1 << hi - lo) - 1)
+                # the anchor, the number of the part and its value, mixed to one key; cells that it joins by chance only compare more
+                key = (anchor.view(np.uint64) * np.uint64(64 * (limit + 1)) + np.uint64(64 * k) + part) * np.uint64(0x9E3779B97F4A7C15)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("fp")], ["anchor", "fp"])
+
+    def meeting(most: int | None) -> Callable:
+        """What compares a stream sorted by anchor: rows (anchor null, a, b) of links, and (anchor, a, null) of members of cells beyond `most`."""
+
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forest = Forest()
+
+            def rows(anchor: list | np.ndarray, a: list | np.ndarray, b: list | np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (anchor, a, b)], ["anchor", "a", "b"])
+
+            def news(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+                new = [(x, y) for x, y in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True) if forest.join(x, y)]
+                return rows([None] * len(new), [x for x, _ in new], [y for _, y in new])
+
+            def compare(anchor: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+                if not len(anchor):
+                    return
+                starts = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1))
+                sizes = np.diff(np.append(starts, len(anchor)))
+                small = np.flatnonzero((sizes > 1) & (sizes <= 16))
+                for gap in range(1, int(sizes[small].max()) if len(small) else 0):
+                    at = starts[small[sizes[small] > gap]]
+                    width = sizes[small[sizes[small] > gap]] - gap
+                    left = np.repeat(at - (np.cumsum(width) - width), width) + np.arange(width.sum())
+                    near = distance(fp[left], fp[left + gap]) <= limit
+                    if near.any():
+                        yield news(fp[left[near]], fp[left[near] + gap])
+                for k in np.flatnonzero(sizes > 16):
+                    for a, b in cell_links(np.unique(fp[starts[k] : starts[k] + sizes[k]]), limit):
+                        yield news(a, b)
+
+            def passed(anchor: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+                return rows(anchor, fp.view(np.int64), [None] * len(fp))
+
+            held_anchor, held_fp, over = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+            for batch in batches:
+                anchor, fp = batch.column("anchor").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+                if over is not None and len(anchor):
+                    own = int(np.searchsorted(anchor, over, "right"))
+                    yield passed(anchor[:own], fp[:own])
+                    over, anchor, fp = over if own == len(anchor) else None, anchor[own:], fp[own:]
+                if not len(anchor):
+                    continue
+                held_anchor, held_fp = np.concatenate([held_anchor, anchor]), np.concatenate([held_fp, fp])
+                # the last anchor may go on in the next batch
+                cut = int(np.searchsorted(held_anchor, held_anchor[-1], "left"))
+                done_anchor, done_fp, held_anchor, held_fp = held_anchor[:cut], held_fp[:cut], held_anchor[cut:], held_fp[cut:]
+                yield from small_and_large(done_anchor, done_fp, compare, passed, most)
+                if most and len(held_anchor) > most:
+                    yield passed(held_anchor, held_fp)
+                    over, held_anchor, held_fp = int(held_anchor[-1]), held_anchor[:0], held_fp[:0]
+            yield from small_and_large(held_anchor, held_fp, compare, passed, most)
+
+        return met
+
+    schema = "anchor long, a long, b long"
+    dealt = lambda df: df.repartition("anchor").sortWithinPartitions("anchor")
+    found = stored(dealt(fps.mapInArrow(sent, "anchor long, fp long")).mapInArrow(meeting(large), schema), "links")
+    out, left = found.filter("anchor is null").select("a", "b"), found.filter("anchor is not null").selectExpr("anchor", "a as fp")
+    if left.limit(1).count():
+        out = out.unionByName(dealt(left.mapInArrow(again, "anchor long, fp long")).mapInArrow(meeting(None), schema).select("a", "b"))
+    return out
+
+
+def small_and_large(anchor: np.ndarray, fp: np.ndarray, compare: Callable, passed: Callable, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Whole cells, sorted: those of at most `most` members are compared, larger ones passed on."""
+    if most and len(anchor) > most:
+        _, number, sizes = np.unique(anchor, return_inverse=True, return_counts=True)
+        large = sizes[number] > most
+        if large.any():
+            yield passed(anchor[large], fp[large])
+            anchor, fp = anchor[~large], fp[~large]
+    yield from compare(anchor, fp)
 
 
 def fingerprinted(docs: DataFrame, id_col: str, text_col: str, words_a_shingle: int) -> DataFrame:
@@ -255,6 +298,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents, by the contract's shingles and limit."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

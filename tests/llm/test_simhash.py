@@ -74,6 +74,26 @@ def test_links_connect_what_brute_force_connects(spark):
     assert len({next(iter(v)) for v in first.values()}) == len(first)
 
 
+def test_large_cells_meet_again_by_the_bits_outside_the_code(spark):
+    r = random.Random(11)
+    prints = [r.getrandbits(64) for _ in range(30)]
+    for base in prints[:3]:
+        for _ in range(150):
+            prints.append(base ^ sum(1 << b for b in r.sample(range(64), r.choice([1, 2, 3, 5, 6]))))
+    prints = sorted(set(prints))
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = {}
+    for x, w in zip(signed, brute_components(signed, prints), strict=True):
+        want.setdefault(w, set()).add(x)
+    for large in (1, 3, 20):
+        got = {}
+        labels = {x.node: x.root for x in components(simhash.links(frame, large=large)).collect()}
+        for x in signed:
+            got.setdefault(labels.get(x, x), set()).add(x)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())), large
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 299), (301, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
