@@ -1,8 +1,7 @@
-"""Substring dedup by recompression: names of token runs and pairs mark places that equal passages share."""
+"""Substring dedup by recompression: token runs and pairs are named, and names of several symbols in a row that occur twice reveal repeats."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,15 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.base import pick, shared_dir, slabs, stored, table
+from quillmill.llm.base import pick, slabs, stored, table
 
 WINDOW = 20
-ROUNDS = 3
-#: Words of the key at an anchor. Two equal windows of WINDOW words share an anchor at most REACH words after their start: see anchors().
+#: Rounds of pairs, after one of runs.
+ROUNDS = 2
+#: Words of a phrase at least. Equal windows without a run of equal words share a phrase that begins at most EDGE words after their start: see symbols().
 KEY = 9
-REACH = WINDOW - KEY
-#: Words at either end of a window, without runs, whose symbols may reach over it.
-SURE = 8
+EDGE = 4
+#: Bytes of text for each bucket, so that what a bucket gets keeps its size as the input grows.
+BUCKET_BYTES = 8 << 20
 LAST = (1 << 63) - 1
 MOST_WORDS = 300_000
 _U = np.uint64
@@ -56,36 +56,33 @@ def windows(h: np.ndarray, size: int, base: int) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * down[: len(h) - size + 1])
 
 
-def anchors(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words (true) that begin a symbol after ROUNDS rounds or belong to a run of equal words; and the latter alone.
+def symbols(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each symbol starts after one round of runs and ROUNDS of pairs, and its name.
 
     A name is a hash of what it stands for, so every task gives equal runs and pairs equal names without asking another. The first round names runs of
-    equal words; each round then names neighbours (a, b) where a hash bit of a is 0 and that of b is 1, which only these two decide. So equal
-    windows are cut alike but for symbols that reach over their ends: one word by a run, then symbols of 1, 2 and 4 words, 8 words at either end.
-    What is left begins with an anchor. Words in runs are anchors themselves, as a run may be longer than any such bound; up to 3 words
-    of a symbol can lie before the run in it. So the first anchor lies at most REACH = 11 words after the window's start.
+    equal words; each round then names neighbours (a, b) where a hash bit of a is 0 and that of b is 1, which only these two decide, and no two pairs overlap.
+
+    So equal windows are cut alike but near their ends. Take a window without two equal words in a row: its first word may belong to a run that began before it. Of
+    the symbols it starts in, the one that reaches over the start may join its right neighbour in one place and not in another; if it may, that neighbour's bit is
+    1 and it joins nothing to its right, so the neighbour's end is a cut in both places, else its start is. So the first common cut lies at most 1 word in after the runs, 2 after the
+    first round of pairs, and 2 + 2 = EDGE after the second; likewise at the end. In between, where WINDOW - 2 * EDGE = 12 words are left, cuts and names are the same. A symbol there has 4 words
+    at most, so from the first common cut on, symbols of KEY to KEY + 3 = 12 words in all stand in both places.
     """
-    found = np.zeros(len(h), bool)
     name, at, own = h, np.arange(len(h)), doc
+    same = np.append(False, (name[1:] == name[:-1]) & (own[1:] == own[:-1])) if len(h) else np.zeros(0, bool)
+    heads = np.flatnonzero(~same)
+    length = np.diff(np.append(heads, len(name))).astype(_U)
+    name = np.where(length > 1, mix(name[heads] + length * _U(MIX[2])), name[heads])
+    at, own = at[heads], own[heads]
     for k in range(ROUNDS):
-        if k == 0:
-            same = np.append((name[1:] == name[:-1]) & (own[1:] == own[:-1]), False)
-            after = np.append(False, same[:-1])
-            runs = same | after
-            found[runs] = True
-            heads = np.flatnonzero(~after)
-            length = np.diff(np.append(heads, len(name))).astype(_U)
-            name = np.where(length > 1, mix(name[heads] + length * _U(MIX[2])), name[heads])
-            at, own = at[heads], own[heads]
         right = mix(name + _U((k + 1) * MIX[2] % (1 << 64))) >> _U(63) == 1
-        pair = np.append(~right[:-1] & right[1:] & (own[1:] == own[:-1]), False)
+        pair = np.append(~right[:-1] & right[1:] & (own[1:] == own[:-1]), False)[: len(name)]
         name = name.copy()
         where = np.flatnonzero(pair)
         name[where] = mix(name[where] * _U(MIX[0]) + mix(name[where + 1] + _U(k)))
-        keep = np.append(True, ~pair[:-1])
+        keep = np.append(True, ~pair[:-1])[: len(name)]
         name, at, own = name[keep], at[keep], own[keep]
-    found[at] = True
-    return found, runs
+    return at, name
 
 
 class Slab:
@@ -108,22 +105,55 @@ class Slab:
         return np.flatnonzero(self.doc[size - 1 :] == self.doc[: len(self.doc) - size + 1])
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Anchors with KEY words after them, the number of each one's key in the sorted distinct keys, those keys, and how often each occurs."""
-        places, self.runs = self.whole(KEY), np.zeros(len(self.doc), bool)
-        if len(places):
-            at, self.runs = anchors(self.h, self.doc)
-            places = places[at[places]]
-        found, number, counts = np.unique(windows(self.h, KEY, BASES[0])[places], return_inverse=True, return_counts=True)
+        """Phrases: where each starts, the number of its key in the sorted distinct keys, those keys, and how often each occurs. self.ends: the word after each phrase; self.plain: which
+        ones are plain words.
+
+        At every symbol the phrase is the names of it and the next ones up to KEY words. Runs may cut off a window's end, so within them phrases are KEY plain words, those from each of the
+        run's words on and those up to it.
+        """
+        whole = np.zeros(len(self.doc), bool)
+        whole[self.whole(KEY)] = True
+        at, name = symbols(self.h, self.doc)
+        cuts = np.append(at, len(self.doc))
+        first = np.flatnonzero(whole[at])
+        last = np.searchsorted(cuts, at[first] + KEY)  # the cut after the phrase
+        up = np.full(len(name) + 1, BASES[0], _U)
+        up[0] = 1
+        up = np.multiply.accumulate(up)
+        sums = np.append(_U(0), np.add.accumulate(name * up[:-1])) if len(name) else np.zeros(1, _U)
+        down = np.full(len(name) + 1, pow(BASES[0], -1, 1 << 64), _U)
+        down[0] = 1
+        down = np.multiply.accumulate(down)
+        phrases = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(_U) * _U(MIX[1]))
+        twin = np.append((self.h[1:] == self.h[:-1]) & (self.doc[1:] == self.doc[:-1]), False)[: len(self.h)]
+        self.twin = twin
+        runs = np.flatnonzero(twin | np.append(False, twin[:-1])[: len(twin)])
+        plain = np.unique(np.concatenate([runs, runs[runs >= KEY - 1] - (KEY - 1)]))
+        plain = plain[whole[plain]]
+        places = np.concatenate([at[first], plain])
+        self.ends, self.plain = np.concatenate([cuts[last], plain + KEY]), np.arange(len(places)) >= len(first)
+        found, number, counts = np.unique(np.concatenate([phrases, mix(windows(self.h, KEY, BASES[0])[plain] + _U(MIX[2]))]), return_inverse=True, return_counts=True)
         return places, number, found, counts
 
     def candidates(self, places: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        """The starts of windows that may repeat. They have a shared anchor within REACH; and where no run of words disturbs the bounds (see anchors), the
-        words from the 8th on are cut alike in all equal windows, so that none of these may be an anchor that isn't shared."""
-        good, bad, runs = (np.zeros(len(self.doc) + 1, np.int64) for _ in range(3))
-        good[places[shared] + 1], bad[places[~shared] + 1], runs[1:] = 1, 1, self.runs
-        good, bad, runs = np.cumsum(good), np.cumsum(bad), np.cumsum(runs)
+        """The starts of windows that may repeat. Without two equal words in a row they have a shared phrase at most EDGE words after their start, and none that isn't shared
+        between EDGE words from either end, as all those there are cut alike in equal windows. Others have shared plain words from or up to a word of the run."""
+        n = len(self.doc) + 1
+        good, bad, plain, twin = (np.zeros(n, np.int64) for _ in range(4))
+        good[places[shared & ~self.plain] + 1] = 1
+        plain[places[shared & self.plain] + 1] = 1
+        twin[1:] = self.twin
+        # an unshared phrase rules out the windows that start between so many words before its end and so many before its start
+        alone = ~shared & ~self.plain
+        lo, hi = np.maximum(0, self.ends[alone] - (WINDOW - EDGE)), places[alone] - EDGE
+        np.add.at(bad, lo[lo <= hi], 1)
+        np.add.at(bad, hi[lo <= hi] + 1, -1)
+        good, plain, twin = np.cumsum(good), np.cumsum(plain), np.cumsum(twin)
+        bad = np.cumsum(bad)
         at = self.whole(WINDOW)
-        return at[(good[at + REACH + 1] > good[at]) & ((bad[at + REACH + 1] == bad[at + SURE]) | (runs[at + WINDOW] > runs[at]))]
+        run = twin[at + WINDOW - 1] > twin[at]
+        cut = (good[at + EDGE + 1] > good[at]) & (bad[at] == 0)
+        return at[np.where(run, plain[at + WINDOW - KEY + 1] > plain[at], cut)]
 
     def distinct(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the windows at these starts: hashes of 64 and 32 bits of each distinct one, where it is first, the number of each window among them, and
@@ -143,8 +173,8 @@ def packed(bits: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _stored_slabs(docs: DataFrame, id_col: str, text_col: str, slab_bytes: int, buckets: int) -> DataFrame:
-    """The texts in compressed runs of about slab_bytes, as a table bucketed by slab: later joins by slab move only the other side."""
+def _stored_slabs(docs: DataFrame, id_col: str, text_col: str, slab_bytes: int) -> DataFrame:
+    """The texts in compressed runs of about slab_bytes: slab, ids, sizes and data."""
     import zstandard
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +190,8 @@ def _stored_slabs(docs: DataFrame, id_col: str, text_col: str, slab_bytes: int,
             )
             n += 1
 
-    name = f"slabs_{uuid.uuid4().hex}"
     rows = pick(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(cut, "slab long, ids array<long>, sizes array<int>, data binary")
-    rows.write.bucketBy(buckets, "slab").option("path", f"{shared_dir(docs.sparkSession)}/{name}").option("compression", "none").saveAsTable(name)
-    return docs.sparkSession.table(name)
+    return stored(rows, "slabs")
 
 
 def _open(row: dict, seen: Words) -> Slab:
@@ -242,17 +270,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of every document.
 
     Removed is each word in a window of WINDOW words that also starts earlier: in a document with a smaller id, or earlier in the same one; windows are
-    judged on the input. Three scans over the texts, which are stored once in slabs bucketed by slab:
-    1. every slab sends the keys at its recompression anchors, each once, to buckets by hash; a bucket answers each slab with one bit a key: shared or not;
+    judged on the input. Three passes over the texts, which are stored once in compressed slabs:
+    1. every slab names its runs and pairs and sends the keys of its phrases, each once, to buckets by hash; a bucket answers each slab with one bit a key: shared or not;
     2. windows that may repeat by these answers (see Slab.candidates) are sent likewise, by 96-bit hash, each distinct one of a slab once with its first place; the answer is
        one bit a window: starts earlier elsewhere or not;
     3. with both answers each slab removes its words.
-    A key that occurs in many documents reaches its bucket once per slab. Null ids come after all others and count as one document; rows with one id count as
+    A key that occurs in many documents reaches its bucket once per slab. The number of buckets follows the counted bytes of the texts, so what one of them gets does not grow with
+    the input. Null ids come after all others and count as one document; rows with one id count as
     one document, and windows of theirs at the same start are no earlier than each other, so repeated rows stay alike. Null texts have no words.
     """
-    spark = docs.sparkSession
-    n = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = _stored_slabs(docs, id_col, text_col, slab_bytes, n)
+    texts = _stored_slabs(docs, id_col, text_col, slab_bytes)
+    size = texts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    n = buckets or max(16, -(-size // BUCKET_BYTES))
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Slab]]:
         seen = Words()
@@ -308,6 +337,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats() of all documents, with the digest of the words left."""
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -56,3 +56,32 @@ def test_nulls_repeated_rows_and_long_texts(spark):
     docs = [(1, None), (2, ""), (3, passage), (3, passage), (None, passage), (None, passage + " tail"), (4, f"a\x1cb\t{passage}\n\n{passage} é"), (6, long), (5, long + " " + passage)]
     check(spark, docs)
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_repeated_window_is_a_candidate():
+    """Whatever stands around equal windows, and wherever they are cut off, shared phrases reveal them."""
+    seen = substrings.Words()
+    revealed = every = 0
+    for seed in range(300):
+        r = random.Random(seed)
+        letters = [chr(97 + i) for i in range(r.choice([1, 2, 3, 6, 12, 26]))] + [f"w{i}" for i in range(r.choice([0, 0, 200]))]
+        shared = [noise(r, letters, r.choice([20, 20, 21, 24, 40])) if r.random() < 0.5 else r.choices(letters, k=r.choice([20, 20, 22, 45])) for _ in range(3)]
+        docs = [" ".join([*r.choices(letters, k=r.randrange(12)), *r.choice(shared), *noise(r, letters, r.randrange(12)), *r.choice(shared)]).encode() for _ in range(8)]
+        parts = [substrings.Slab(list(range(k, k + 2)), docs[k : k + 2], seen) for k in range(0, 8, 2)]
+        keyed = [x.keys() for x in parts]
+        times, held = {}, {}
+        for _, _, found, counts in keyed:
+            for key, n in zip(found.tolist(), counts.tolist(), strict=True):
+                times[key] = times.get(key, 0) + n
+        for k, part in enumerate(parts):
+            for s in part.whole(20).tolist():
+                held.setdefault(part.h[s : s + 20].tobytes(), []).append((k, s))
+        got = set()
+        for k, (part, (places, number, found, _)) in enumerate(zip(parts, keyed, strict=True)):
+            common = [times[key] > 1 for key in found.tolist()]
+            got |= {(k, s) for s in part.candidates(places, substrings.np.array(common, bool)[number]).tolist()}
+        repeated = {x for v in held.values() if len(v) > 1 for x in v}
+        assert repeated <= got, seed
+        revealed += len(got)
+        every += sum(map(len, held.values()))
+    assert revealed < every
