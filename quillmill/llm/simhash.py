@@ -282,7 +282,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = [f"c{i}" for i in range(len(docs.columns))]
     marked = docs.toDF(*columns)
     own, text = columns[docs.columns.index(id_col)], columns[docs.columns.index(text_col)]
-    kept = marked.join(ids.filter("doc_id is not null and n = 1").select("doc_id"), F.col(own).cast("long") == F.col("doc_id"), "left_semi")
+    # one plan at every size: small tables of ids aren't broadcast, so figures of small inputs tell those of large ones
+    kept = marked.join(ids.filter("doc_id is not null and n = 1").select("doc_id").hint("shuffle_hash"), F.col(own).cast("long") == F.col("doc_id"), "left_semi")
     several = ids.filter("doc_id is null or n > 1").select("doc_id")
     if several.limit(1).count():
 
