@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from quillmill.llm import language, sharding
@@ -63,3 +65,59 @@ def test_scores_in_runs_equal_single_scores(spark):
     together = model.score(texts)
     assert together[0] == [model.score([t])[0][0] for t in texts]
     assert together[1].tolist() == pytest.approx([model.score([t])[1][0] for t in texts])
+
+
+def test_shards_follow_the_sorted_keys(spark):
+    """One sorted list of all rows gives the same order, and no cut of it between two keys is nearer to a wanted boundary, beyond the tolerance."""
+    r = random.Random(8)
+    rows = [(i, "y" * r.randrange(900)) for i in range(2000)] + [(i, "a text of many copies") for i in range(2000, 3500)] + [(3500, "z" * 60_000), (3501, None), (3502, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = {x.doc_id: x for x in sharding.mapped_keys(docs, "doc_id", "text").collect()}
+    out = sorted(sharding.shard_documents(docs, rows_a_run=200).collect(), key=lambda x: (x.shard, x.slot))
+    assert [keyed[x.doc_id].key for x in out] == sorted(x.key for x in keyed.values())
+    total, below, cuts = sum(x.size for x in out), 0, [0]
+    for x, following in zip(out, [*out[1:], None], strict=True):
+        below += x.size
+        if following is None or keyed[following.doc_id].key != keyed[x.doc_id].key:
+            cuts.append(below)
+    for i in range(1, sharding.SHARDS):
+        want, got = total * i // sharding.SHARDS, sum(x.size for x in out if x.shard < i)
+        assert abs(got - want) <= max(min(abs(c - want) for c in cuts), 0.001 * total / sharding.SHARDS)
+
+
+def plain_grams(text):
+    """Buckets of all n-grams of a text, one by one."""
+    cleaned, full = language.letters(text), (1 << 32) - 1
+    for at in range(len(cleaned)):
+        h = 0
+        for n, c in enumerate(cleaned[at : at + language.ORDER], 1):
+            h = (ord(c) * language.MIX[0] if n == 1 else h * language.MIX[1] + ord(c)) & full
+            yield (((h ^ h >> 16) * language.MIX[2] + n) * language.MIX[0] & full) >> 32 - language.BITS
+
+
+def test_query_against_plain_naive_bayes(spark, tmp_path):
+    r = random.Random(4)
+    mixed = [" ".join(prose(lang, i, r.randrange(1, 6)) for lang in r.sample(list(WORDS), r.randrange(1, 4))) for i in range(60)]
+    rows = [(i, prose(lang, i, 12), lang) for i, lang in enumerate(["en", "de", "fr", "en"] * 25)] + [(100 + i, t, None) for i, t in enumerate(mixed)]
+    rows += [(200, None, "en"), (201, "12 %", "de"), (202, "", None), (203, prose("fr", 1, 30_000), "fr"), (0, rows[0][1], "en"), (None, prose("de", 1, 9), "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 0
+    learned = [(t, lang) for i, t, lang in rows if t is not None and lang is not None and not held(i)]
+    share = Counter(lang for _, lang in learned)
+    counts = {lang: Counter(b for t, k in learned if k == lang for b in plain_grams(t)) for lang in share}
+
+    def judged(text):
+        found = Counter(plain_grams(text or ""))
+        if not found:
+            return "und", 0.0
+        x = {}
+        for lang, c in counts.items():
+            whole = sum(c.values()) + 0.5 * (1 << language.BITS)
+            x[lang] = math.log(share[lang] / len(learned)) + sum(n * math.log((c[b] + 0.5) / whole) for b, n in found.items())
+        best = max(x, key=x.get)
+        return best, 1 / sum(math.exp(v - x[best]) for v in x.values())
+
+    got = sorted(language.op8_language_id(spark, str(tmp_path)).collect(), key=lambda x: str(x.doc_id))
+    want = sorted(((i, held(i), *judged(t)) for i, t, _ in rows), key=lambda x: str(x[0]))
+    assert [tuple(x)[:3] for x in got] == [x[:3] for x in want]
+    assert [x.score for x in got] == pytest.approx([x[3] for x in want], abs=1e-6)
