@@ -58,6 +58,20 @@ def shapes(raw: DataFrame, name: str, json_col: str, expected: dict[str, str], k
     return _violations(rows, name, F.col("__key"), "shape", F.col("__field"))
 
 
+def licence_records(raw: DataFrame, name: str, json_col: str, names: list[str], prefix: str, key: str = "id") -> DataFrame:
+    """Licences of raw JSON records that are no object, bear a name neither listed nor with the free prefix, or have evidence or provenance that is no object
+    or an attribution table that is no list; these three may be left out, but not be null. No licence, null or an empty object is no violation."""
+    record = F.try_parse_json(json_col)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(record, path, "variant"))
+    parts = [("license", "OBJECT"), ("license.evidence", "OBJECT"), ("license.attribution_table", "ARRAY"), ("license.provenance", "OBJECT")]
+    rows = raw.select(F.col(key).alias("__key"), F.trim(F.try_variant_get(record, "$.license.name", "string")).alias("__name"), *[kind(f"$.{f}").alias(f"__{i}") for i, (f, _) in enumerate(parts)])
+    rows = rows.filter("__0 is not null and __0 not in ('VOID', 'OBJECT<>')")
+    wrong = F.array(*[F.when(~F.startswith(F.col(f"__{i}"), F.lit(k)), F.lit(f)) for i, (f, k) in enumerate(parts)])
+    shaped = rows.select("__key", F.explode(F.filter(wrong, lambda f: f.isNotNull())).alias("__field"))
+    named = vocabulary(rows.filter("__name != ''"), name, "__name", names, "__key", prefix)
+    return _violations(shaped, name, F.col("__key"), "shape", F.col("__field")).unionByName(named.withColumn("rule", F.lit("vocabulary:license.name")))
+
+
 def link_symmetry(links: DataFrame) -> DataFrame:
     """Edges without their mirror image: same relation, ends swapped, direction turned."""
     turned = F.when(F.col("direction") == "inbound", "outbound").otherwise("inbound")

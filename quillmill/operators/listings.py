@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.dates import first_date
-from quillmill.functions.text import strip_markdown, text
+from quillmill.functions.text import clean_text, let, strip, strip_markdown, text
 from quillmill.functions.urls import loose_url_key
 from quillmill.operators.triage import is_reader_item
 from quillmill.plans.working import stored
@@ -86,13 +86,32 @@ def public_listing(items: DataFrame, track: str) -> DataFrame:
     return with_neighbours(positions(public_items(timed, track), reader_order()))
 
 
-def topic_listing(pages: DataFrame, items: DataFrame, most: int = 180) -> DataFrame:
-    """Published topic pages with their items: by tag, or by source. Items meet pages over one join on (type, key); pages are few, but no size is assumed."""
+def _topic_items(pages: DataFrame, items: DataFrame) -> DataFrame:
+    """Published topic pages with all their items: by tag, or by source. Items meet pages over one join on (type, key); pages are few, but no size is assumed."""
     shown = pages.filter("published").select("slug", "type", "key")
     none = F.array().cast("array<string>")
     facts = F.array_distinct(F.concat(F.transform(F.coalesce("tags", none), lambda t: F.struct(F.lit("tag").alias("type"), t.alias("key"))), F.array(F.struct(F.lit("source").alias("type"), text("source_id").alias("key")))))
     keyed = items.select("id", "title", "kind", "time", F.explode(facts).alias("f")).select("id", "title", "kind", "time", "f.type", "f.key")
-    return sections(keyed.join(shown, ["type", "key"]), "slug", most, reader_order())
+    return keyed.join(shown, ["type", "key"])
+
+
+def topic_listing(pages: DataFrame, items: DataFrame, most: int = 180) -> DataFrame:
+    """The first items of each published topic page."""
+    return sections(_topic_items(pages, items), "slug", most, reader_order())
+
+
+def topic_counts(pages: DataFrame, items: DataFrame) -> DataFrame:
+    """(slug, n_items, n_primary, n_small_news, n_other) of published topic pages, over all their items; pages without items count none."""
+    kind = F.coalesce("kind", F.lit(""))
+    primary, small = kind.isin("featured-article", "needs-review"), kind == "small-news"
+    many = lambda test: F.count(F.when(test, 1))
+    found = _topic_items(pages, items).groupBy("slug").agg(F.count(F.lit(1)).alias("n_items"), many(primary).alias("n_primary"), many(small).alias("n_small_news"), many(~primary & ~small).alias("n_other"))
+    return pages.filter("published").select("slug").distinct().join(found, "slug", "left").fillna(0, ["n_items", "n_primary", "n_small_news", "n_other"])
+
+
+def published_articles(articles: DataFrame) -> DataFrame:
+    """Articles of status `published`, the last changed first; ties by id."""
+    return articles.filter(strip(text("status")) == "published").orderBy(F.desc(text("updated_at")), "id")
 
 
 def article_bridge(articles: DataFrame, items: DataFrame) -> DataFrame:
@@ -135,6 +154,25 @@ def new_recommendations(recommendations: DataFrame, inputs: DataFrame) -> DataFr
     return keyed(recommendations).join(keyed(inputs).select("__k"), "__k", "left_anti").drop("__k")
 
 
+def title_fields(chain: str, reviewers: list[str]) -> list[str]:
+    """Where a record's title stands, in order of trust, for one of its uses: `record`, `relation` (titles to be compared), `translation`, or `review` (with display_title). Reviewers are named in their order;
+    the first of them is the primary one."""
+    reviews = [f"editorial_triage.{r}_review.zh_title" for r in reviewers]
+    edited, translated = "editorial_triage.zh_title", "reading_metadata.translated_zh_title"
+    return {
+        "record": ["editorial_title", "reading_metadata.editorial_title", *reviews, edited, *[f"editorial_triage.{r}_zh_title" for r in reviewers[:1]], translated, "title", "url", "id"],
+        "relation": ["editorial_title", "reading_metadata.editorial_title", edited, translated, "title", "url"],
+        "translation": ["editorial_title", *reviews[:1], edited, translated, "reading_metadata.title", "title"],
+        "review": [*reviews, edited],
+    }[chain]
+
+
+def first_title(columns: list[str], limit: int = 320, markdown: bool = False) -> Column:
+    """The first of several title columns that has text, cleaned; empty if none has. With markdown, its marks go."""
+    tidy = (lambda c: strip_markdown(c, limit)) if markdown else (lambda c: clean_text(c, limit=limit))
+    return F.coalesce(*[let(tidy(c), lambda v: F.when(v != "", v)) for c in columns], F.lit(""))
+
+
 def display_title(columns: list[str], limit: int = 320) -> Column:
     """The first of several title columns, in order of trust, that has text and is no placeholder."""
     clean = [strip_markdown(c, limit) for c in columns]

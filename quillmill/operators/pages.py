@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape as decode
 
 import pandas as pd
@@ -28,6 +28,14 @@ META = {
 }
 
 
+# The fields of structured data for each piece of metadata, and those that name an object.
+LD_FIELDS = {
+    "author": ("author", "creator"), "datePublished": ("datePublished",), "dateCreated": ("dateCreated",), "uploadDate": ("uploadDate",),
+    "license": ("license", "copyrightNotice", "copyrightHolder"), "inLanguage": ("inLanguage",),
+}
+LD_NAMES = ("name", "headline", "@id", "url")
+
+
 def _attribute(tag: Column, name: str) -> Column:
     """An attribute's value in either kind of quotes, as written; empty if it isn't there."""
     return F.trim(F.regexp_extract(tag, rf"""(?is)(?:^|[\s"'])(?:{name})\s*=\s*(["'])(.*?)\1""", 2))
@@ -58,35 +66,76 @@ def discover_feed_links(pages: DataFrame, id_col: str = "page_id", url_col: str
     return pages.select(F.col(id_col).alias("id"), join_url(url_col, unescape(_attribute(F.get(good, F.lit(0)), "href"))).alias("feed_url"), F.size(good).alias("n")).filter("n > 0").drop("n")
 
 
+def _nodes(data: object) -> Iterator[dict]:
+    """All objects of a JSON document, each before what it holds, later members first."""
+    todo = [data]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            yield x
+            todo += x.values()
+        elif isinstance(x, list):
+            todo += x
+
+
+def _said(value: object) -> str:
+    """A field's words: its own, those of an object's name, or of the first entry of a list that has some."""
+    if isinstance(value, list):
+        return next(filter(None, map(_said, value)), "")
+    if isinstance(value, dict):
+        return next((v.strip() for k in LD_NAMES if isinstance(v := value.get(k), str) and v.strip()), "")
+    return value.strip() if isinstance(value, str) else ""
+
+
+def _documents(scripts: Iterable[str]) -> Iterator[object]:
+    for raw in scripts:
+        try:
+            yield json.loads(decode(raw).strip())
+        except (ValueError, RecursionError):
+            continue
+
+
+def _structured(scripts: pd.Series) -> pd.DataFrame:
+    """Per page the first value of each field in any object of any script; unreadable scripts are passed over."""
+    rows = []
+    for own in scripts:
+        nodes = [n for d in _documents([] if own is None else own) for n in _nodes(d)]
+        rows.append([next((v for n in nodes for f in fields if (v := _said(n.get(f)))), "") for fields in LD_FIELDS.values()])
+    return pd.DataFrame(rows, columns=list(LD_FIELDS), dtype=object)
+
+
 def page_metadata(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page its title, excerpt, author, date, licence, language and images, each with where it was found; one projection of built-in expressions.
+    """Per page its title, excerpt, author, date, licence, language and images, each with where it was found; one projection.
 
-    Structured data are read from the fields of the page's first JSON-LD script; deeper nodes are left to article_text. Null pages have empty fields.
+    Structured data are read in an Arrow batch from the objects at any depth of all JSON-LD scripts; only the scripts go to Python, all else is built-in
+    expressions. Null pages have empty fields.
     """
     html = F.col("__html")
     staged = pages.select(F.col(id_col).alias("id"), text(url_col).alias("url"), text(html_col).alias("__html"))
-    script = F.regexp_extract(html, r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>""", 1)
-    staged = staged.withColumn("__metas", meta_table(html)).withColumn("__ld", script).withColumn("__plain", clean_text(html, "page"))
-    ld = lambda *fields: F.coalesce(*[F.when(F.length(v) > 0, F.struct(clean_text(v, "page", 1200).alias("value"), F.lit("json-ld").alias("source"))) for f in fields for v in (F.coalesce(F.get_json_object("__ld", f"$.{f}.name"), F.get_json_object("__ld", f"$.{f}")),)])
+    scripts = F.regexp_extract_all(html, F.lit(_LD.pattern), 1)
+    staged = staged.withColumn("__metas", meta_table(html)).withColumn("__plain", clean_text(html, "page"))
+    staged = staged.withColumn("__ld", F.pandas_udf(_structured, ", ".join(f"{f} string" for f in LD_FIELDS))(scripts))
+    ld = lambda field: let(clean_text(F.col("__ld")[field], "page", 500), lambda v: F.when(v != "", F.struct(v.alias("value"), F.lit("json-ld").alias("source"))))
     meta = lambda kind: first_meta(F.col("__metas"), *META[kind])
     where = lambda value, source: let(value, lambda v: F.when(v != "", F.struct(v.alias("value"), F.lit(source).alias("source"))))
     byline = clean_text(F.regexp_extract(html, r"""(?is)<[^>]+class=["'][^"']*(?:author|byline)[^"']*["'][^>]*>(.*?)</""", 1), "page", 240)
-    time_tag = F.regexp_extract(html, r"(?is)<time\b[^>]*>", 0)
+    told = lambda tag: F.coalesce(F.nullif(_attribute(tag, "datetime"), F.lit("")), _attribute(tag, "content"))
+    times = F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<time\b[^>]*>"), 0), lambda t: parse_page_date(told(t))), lambda d: d.isNotNull())
     dated = lambda s: let(s, lambda m: let(parse_page_date(m["value"]), lambda d: F.when(d.isNotNull(), F.struct(d.alias("value"), m["source"].alias("source")))))
     dates = F.coalesce(
         *[dated(first_meta(F.col("__metas"), n)) for n in META["published"]], *[dated(ld(f)) for f in ("datePublished", "dateCreated", "uploadDate")],
-        dated(where(_attribute(time_tag, "datetime"), "time")), let(date_in_path(path("url")), lambda d: F.when(d.isNotNull(), F.struct(d.alias("value"), F.lit("url").alias("source")))),
+        let(F.get(times, F.lit(0)), lambda d: F.when(d.isNotNull(), F.struct(d.alias("value"), F.lit("time").alias("source")))), let(date_in_path(path("url")), lambda d: F.when(d.isNotNull(), F.struct(d.alias("value"), F.lit("url").alias("source")))),
     )
     plain = F.lower("__plain")
     stated = F.when(plain.rlike(r"\bcc[- ]?by(?:[- ](?:sa|nc|nd))*\b|creative commons"), "Creative Commons").when(plain.rlike("all rights reserved|版權所有|著作權所有"), "copyright").otherwise("")
     paragraphs = F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), 1), lambda p: clean_text(p, "page", 500)), lambda p: F.length(p) >= 40)
     lang_tag = normalize_language(_attribute(F.regexp_extract(html, r"(?is)<html\b([^>]*)>", 1), "lang|xml:lang"))
     tag_title = clean_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), "page", 300)
-    language = F.coalesce(where(lang_tag, "html lang"), F.transform(F.array(meta("language")), lambda m: F.when(m.isNotNull(), F.struct(normalize_language(m["value"]).alias("value"), m["source"].alias("source"))))[0], let(infer_language("__plain"), lambda v: where(v, "inferred")))
+    language = F.coalesce(where(lang_tag, "html lang"), F.transform(F.array(meta("language")), lambda m: F.when(m.isNotNull(), F.struct(normalize_language(m["value"]).alias("value"), m["source"].alias("source"))))[0], let(normalize_language(F.col("__ld")["inLanguage"]), lambda v: where(v, "json-ld")), let(infer_language("__plain"), lambda v: where(v, "inferred")))
     return staged.select(
         "id", "url", F.coalesce(meta("title")["value"], tag_title).alias("title"), clean_text(F.array_join(F.slice(paragraphs, 1, 3), "\n\n"), limit=1200).alias("excerpt"),
-        F.coalesce(meta("author"), ld("author", "creator"), where(byline, "byline")).alias("author"), dates.alias("published"),
-        F.coalesce(where(join_url("url", F.nullif(first_link(html, "license"), F.lit(""))), "rel=license"), meta("license"), ld("license", "copyrightNotice", "copyrightHolder"), where(stated, "inferred")).alias("license"),
+        F.coalesce(meta("author"), ld("author"), where(byline, "byline")).alias("author"), dates.alias("published"),
+        F.coalesce(let(first_link(html, "license"), lambda k: where(F.when(k != "", join_url("url", k)), "rel=license")), meta("license"), ld("license"), where(stated, "inferred")).alias("license"),
         language.alias("language"), meta("image")["value"].alias("image_url"), meta("description")["value"].alias("description"), first_link(html, "canonical").alias("canonical_url"),
     )
 
@@ -119,25 +168,10 @@ def _paragraphs(block: str) -> list[str]:
     return out
 
 
-def _bodies(node: object) -> Iterator[str]:
-    todo = [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, dict):
-            yield from (v for k in ("articleBody", "text") if isinstance(v := x.get(k), str))
-            todo += x.values()
-        elif isinstance(x, list):
-            todo += x
-
-
 def _choose(html: str) -> tuple[str, str, str]:
     """(text, block, method): structured data's body, else the candidate block with most paragraph text (300 characters or more), else the whole page."""
-    found: list[str] = []
-    for raw in _LD.findall(html):
-        try:
-            found += [t for b in _bodies(json.loads(decode(raw))) if len(t := _plain(b)) >= 300]
-        except ValueError:
-            continue
+    bodies = (v for d in _documents(_LD.findall(html)) for n in _nodes(d) for k in ("articleBody", "text") if isinstance(v := n.get(k), str))
+    found = [t for b in bodies if len(t := _plain(b)) >= 300]
     if found:
         body = max(found, key=len)
         return body, "", "jsonld"

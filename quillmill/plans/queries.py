@@ -429,6 +429,13 @@ def time_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topic page for each language and each source of the documents."""
+    d = table(spark, sf_dir, "documents")
+    topics = d.select(F.lit("tag").alias("type"), F.col("lang").alias("key")).distinct().unionByName(d.select(F.lit("source").alias("type"), F.col("source").alias("key")).distinct())
+    return topics.withColumn("slug", F.concat_ws("-", "type", "key")).withColumn("published", F.lit(True))
+
+
 @query(
     LISTED_SQL
     + """, facts AS (SELECT id, title, kind, time, unnest(list_distinct([{'type': 'tag', 'key': source_id}, {'type': 'tag', 'key': lang}, {'type': 'source', 'key': source_id}])) AS f FROM kinds),
@@ -437,9 +444,19 @@ def time_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT slug, id, rank::INT AS rank FROM r WHERE rank <= 180"""
 )
 def topic_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    topics = d.select(F.lit("tag").alias("type"), F.col("lang").alias("key")).distinct().unionByName(d.select(F.lit("source").alias("type"), F.col("source").alias("key")).distinct())
-    return listings.topic_listing(topics.withColumn("slug", F.concat_ws("-", "type", "key")).withColumn("published", F.lit(True)), _kinds(spark, sf_dir)).select("slug", "id", "rank")
+    return listings.topic_listing(_topics(spark, sf_dir), _kinds(spark, sf_dir)).select("slug", "id", "rank")
+
+
+@query(
+    LISTED_SQL
+    + """, facts AS (SELECT id, kind, unnest(list_distinct([{'type': 'tag', 'key': source_id}, {'type': 'tag', 'key': lang}, {'type': 'source', 'key': source_id}])) AS f FROM kinds),
+    topics AS (SELECT DISTINCT 'tag' AS type, lang AS key, 'tag-' || lang AS slug FROM documents UNION ALL SELECT DISTINCT 'source', source, 'source-' || source FROM documents)
+    SELECT slug, count(id) AS n_items, count(*) FILTER (WHERE kind IN ('featured-article', 'needs-review')) AS n_primary, count(*) FILTER (WHERE kind = 'small-news') AS n_small_news,
+        count(*) FILTER (WHERE kind NOT IN ('featured-article', 'needs-review', 'small-news')) AS n_other
+    FROM topics t LEFT JOIN facts ON f.type = t.type AND f.key = t.key GROUP BY slug"""
+)
+def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.topic_counts(_topics(spark, sf_dir), _kinds(spark, sf_dir))
 
 
 @query(

@@ -344,3 +344,40 @@ def test_candidates_of_both_kinds(spark):
     titles = spark.createDataFrame([("a", "b", 0.7), ("a", "b", 0.9)], "probe string, other string, similarity double")
     texts = spark.createDataFrame([("a", "b", 0.8, "subset")], "probe string, other string, score double, relation string")
     assert sorted(tuple(r) for r in relations.relation_candidates(titles, texts).collect()) == [("a", "b", "content", 0.8, "subset"), ("a", "b", "title", 0.9, None)]
+
+
+def test_structured_data_of_all_scripts(spark):
+    script = '<script type="application/ld+json">%s</script>'
+    deep = '{"@graph": [{"@type": "WebPage"}, {"author": [{"name": " "}, {"headline": "Deep <b>Writer</b>"}], "license": {"url": "https://a.org/terms"}, "mainEntity": {"dateCreated": "2023-05-06T01:00:00Z", "inLanguage": "de"}}]}'
+    rows = [(1, script % "{broken" + script % deep), (2, script % '[{"creator": {"@id": "x"}}, {"author": "Later"}]'), (3, script % ("[" * 30_000)), (4, '<time class="x">now</time><time content="2022-03-04">then</time>'), (5, None)]
+    df = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id int, url string, html string")
+    m = {r.id: r for r in pages.page_metadata(df).collect()}
+    assert (m[1].author.value, m[1].author.source, m[1].license.value, str(m[1].published.value), m[1].published.source, m[1].language.value) == ("Deep Writer", "json-ld", "https://a.org/terms", "2023-05-06", "json-ld", "de")
+    assert m[2].author.value == "Later" and m[3].author is None and m[5].author is None
+    assert (str(m[4].published.value), m[4].published.source) == ("2022-03-04", "time")
+
+
+def test_licence_records(spark):
+    rows = ["{}", '{"license": null}', '{"license": {}}', '{"license": []}', '{"license": {"name": " CC0 1.0 ", "evidence": {}, "attribution_table": [], "provenance": {"a": 1}}}', '{"license": {"name": "free: own", "evidence": null}}', '{"license": {"name": "odd", "attribution_table": "[", "provenance": "{"}}', "no json", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, j string")
+    got = sorted((r.row_key, r.rule, r.detail) for r in checks.licence_records(df, "t", "j", ["CC0 1.0"], "free:").collect())
+    assert got == [("3", "shape", "license"), ("5", "shape", "license.evidence"), ("6", "shape", "license.attribution_table"), ("6", "shape", "license.provenance"), ("6", "vocabulary:license.name", "odd")]
+
+
+def test_titles_by_their_use(spark):
+    schema = "id string, editorial_title string, title string, url string, reading_metadata struct<editorial_title:string,translated_zh_title:string,title:string>, editorial_triage struct<zh_title:string,p_zh_title:string,p_review:struct<zh_title:string>,q_review:struct<zh_title:string>>"
+    rows = [("1", " ", "own", "u", ("", "translated", "page"), (None, "early", ("",), ("second",))), ("2", None, None, "u", None, None), ("3", "**bold**", "own", "u", None, ("edited", None, None, None)), ("4", None, "own", "u", (None, None, "page"), None)]
+    df = spark.createDataFrame(rows, schema)
+    of = lambda chain, markdown=False: [r.v for r in df.orderBy("id").select(listings.first_title(listings.title_fields(chain, ["p", "q"]), markdown=markdown).alias("v")).collect()]
+    assert of("record") == ["second", "u", "**bold**", "own"]
+    assert of("relation", True) == ["translated", "u", "bold", "own"]
+    assert of("translation") == ["translated", "", "**bold**", "page"]
+    assert of("review") == ["second", "", "edited", ""]
+
+
+def test_topic_counts_and_published_articles(spark):
+    shown = spark.createDataFrame([("t", "tag", "a", True), ("s", "source", "x", True), ("none", "tag", "z", True), ("off", "tag", "a", False)], "slug string, type string, key string, published boolean")
+    its = spark.createDataFrame([("1", "one", "featured-article", None, ["a", "a"], "x"), ("2", None, "small-news", None, None, "x"), ("3", "three", None, None, ["a"], None)], "id string, title string, kind string, time timestamp, tags array<string>, source_id string")
+    assert sorted(tuple(r) for r in listings.topic_counts(shown, its).collect()) == [("none", 0, 0, 0, 0), ("s", 2, 1, 1, 0), ("t", 2, 1, 0, 1)]
+    arts = spark.createDataFrame([("a", "published", "2024-01-01"), ("b", " published ", "2024-02-01"), ("c", "draft", "2024-03-01"), ("d", None, None), ("e", "published", None)], "id string, status string, updated_at string")
+    assert [r.id for r in listings.published_articles(arts).collect()] == ["b", "a", "e"]
