@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.text import strip, text
 
+# The range of spreadsheet day numbers that count as dates.
 SERIAL_LEAST, SERIAL_MOST = 20000, 60000
 
 

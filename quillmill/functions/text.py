@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -204,15 +205,21 @@ def title_terms(x: Column | str) -> Column:
     return F.when(has_cjk(t), cjk).otherwise(F.transform(F.regexp_extract_all(t, F.lit("[A-Za-z][A-Za-z0-9-]{3,}"), 0), F.lower))
 
 
+# What program code among prose is known by, in lower case.
+CODE_WORDS = ("function(", "function (", "=>", "var ", "let ", "const ", "window.", "document.", "__next_data__", "webpack", "gtag(", "datalayer")
+CODE_LINE = r"[{}();=<>]{2,}|^\s*(var|let|const|function|import|export)\b"
+
+
 def is_code_like(x: Column | str) -> Column:
     """Whether text looks like program code: typical words with many symbols, many code-like lines, or dense brackets."""
 
     def judged(t: Column) -> Column:
         n = F.length(t)
         symbols = n - F.length(F.translate(t, "{}[]();=<>", ""))
-        words = F.lower(t).rlike(r"function ?\(|=>|\bvar |\blet |\bconst |window\.|document\.|__next_data__|webpack|gtag\(|datalayer")
+        low = F.lower(t)
+        words = reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in CODE_WORDS])
         lines = F.filter(F.transform(F.split(t, "\n"), strip), lambda s: s != "")
-        code = F.filter(lines, lambda s: s.rlike(r"[{}();=<>]{2,}|^\s*(var|let|const|function|import|export)\b"))
+        code = F.filter(lines, lambda s: s.rlike(CODE_LINE))
         compact = F.regexp_replace(t, r"(?U)\s+", "")
         brackets = F.length(compact) - F.length(F.translate(compact, "{}[]:,", ""))
         return (n >= 20) & (
@@ -224,6 +231,7 @@ def is_code_like(x: Column | str) -> Column:
     return let(clean_text(x, "page", 2400), judged)
 
 
+# Fixed value: what pages say that only ask for scripts to be switched on.
 PROMPT = r"(?is)please enable (?:js|javascript).{0,120}(?:disable|turn off).{0,80}ad blocker|enable javascript and cookies to continue|just a moment.{0,240}enable javascript"
 
 

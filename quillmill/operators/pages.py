@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.dates import date_in_path, parse_page_date
-from quillmill.functions.text import PROMPT, clean_text, fold, infer_language, is_access_prompt, let, normalize_language, text, unescape
+from quillmill.functions.text import CODE_LINE, CODE_WORDS, PROMPT, clean_text, fold, infer_language, is_access_prompt, let, normalize_language, text, unescape
 from quillmill.functions.urls import host, join_url, path
 from quillmill.operators.summaries import BOILERPLATE
 
@@ -144,9 +144,10 @@ def page_metadata(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 _PARAGRAPH = re.compile(r"(?is)<(h[1-6]|p|li|blockquote)\b[^>]*>(.*?)</\1>")
 _LD = re.compile(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>""")
+# Class and id words of divisions that hold articles.
 _AREA = re.compile(r"""(?is)<div\b[^>]*(?:class|id)=["'][^"']*(?:article|body|content|entry|post|story|main)[^"']*["'][^>]*>.*?</div>""")
 _WYSIWYG = re.compile(r"""(?is)<div\b[^>]*(?:class|id)=["'][^"']*\bwysiwyg\b[^"']*["'][^>]*>.*?</div>""")
-_CODE = re.compile(r"function ?\(|=>|\bvar |\blet |\bconst |window\.|document\.|__next_data__|webpack|gtag\(|datalayer")
+_CODE_LINE = re.compile(CODE_LINE)
 _FURNITURE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 
 
@@ -156,14 +157,23 @@ def _plain(fragment: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n\s+", "\n", t)).strip()
 
 
+def _code_like(t: str) -> bool:
+    """The tests of is_code_like for one paragraph."""
+    t = t[:2400]
+    compact, lines = "".join(t.split()), [x for x in map(str.strip, t.split("\n")) if x]
+    symbols, brackets = sum(map(t.count, "{}[]();=<>")), sum(map(compact.count, "{}[]:,"))
+    worded = any(w in t.casefold() for w in CODE_WORDS) and (symbols >= max(12, len(t) // 22) or (len(t) < 120 and symbols >= 5))
+    listed = len(lines) >= 3 and sum(bool(_CODE_LINE.search(x)) for x in lines) >= 0.45 * len(lines)
+    return len(t) >= 20 and (worded or listed or (len(compact) >= 180 and brackets >= 0.18 * len(compact)))
+
+
 def _paragraphs(block: str) -> list[str]:
     """Paragraphs of 28 characters or more that are neither furniture nor code."""
     out = []
     for _, inner in _PARAGRAPH.findall(block):
         t = _plain(inner)
         low = t.casefold()
-        code = _CODE.search(low) and sum(map(t.count, "{}[]();=<>")) >= max(5, len(t) // 22)
-        if len(t) >= 28 and not _FURNITURE.search(low) and not code and len(re.sub(r"\W+", "", t)) >= 20:
+        if len(t) >= 28 and not _FURNITURE.search(low) and not _code_like(t) and len(re.sub(r"\W+", "", t)) >= 20:
             out.append(t)
     return out
 

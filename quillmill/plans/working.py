@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -21,16 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Folders written since the outermost open swept() began, or None outside of any.
-_written: list[str] | None = None
+class _Open(threading.local):
+    """Folders that this thread has written since its innermost open swept() began; None outside of any. Batches of a stream run in threads of their own."""
+
+    written: list[str] | None = None
+
+
+_open = _Open()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: its lineage is cut, and lost executors lose nothing of it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _written is not None:
-        _written.append(path)
+    if _open.written is not None:
+        _open.written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,11 +55,10 @@ def forget(df: DataFrame) -> None:
 @contextmanager
 def swept(spark: SparkSession) -> Iterator[None]:
     """Working tables written within go at the end, whatever happens; so what is returned from within must not read them any more, but be written elsewhere."""
-    global _written
-    outer, _written = _written, []
+    outer, _open.written = _open.written, []
     try:
         yield
     finally:
-        made, _written = _written, outer
+        made, _open.written = _open.written, outer
         for folder in made:
             remove(spark, folder)

@@ -381,3 +381,15 @@ def test_topic_counts_and_published_articles(spark):
     assert sorted(tuple(r) for r in listings.topic_counts(shown, its).collect()) == [("none", 0, 0, 0, 0), ("s", 2, 1, 1, 0), ("t", 2, 1, 0, 1)]
     arts = spark.createDataFrame([("a", "published", "2024-01-01"), ("b", " published ", "2024-02-01"), ("c", "draft", "2024-03-01"), ("d", None, None), ("e", "published", None)], "id string, status string, updated_at string")
     assert [r.id for r in listings.published_articles(arts).collect()] == ["b", "a", "e"]
+
+
+def test_code_among_paragraphs(spark):
+    from quillmill.functions.text import is_code_like
+
+    bracketed = "[" + ", ".join(f"{{a{i}: [1, 2]}}" for i in range(30)) + "]"
+    texts = ["const a = load(x); b(); c();", "The outlet had a long history in the house of the river.", bracketed, "import a\n}) => {{\nvar b = 1", "let us go (now) and see (all) of the [long] list; it is = good", "short =>"]
+    got = [r.c for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(is_code_like("t").alias("c")).collect()]
+    assert got == [pages._code_like(t) for t in texts] == [True, False, True, True, True, False]
+    html = f"<article><p>{bracketed}</p><p>{'A plain paragraph of the article. ' * 12}</p></article>"
+    x = pages.article_text(spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string")).first()
+    assert "a1" not in x.article_text and x.article_text.startswith("A plain")

@@ -87,3 +87,19 @@ def test_cooldown(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/in")
     out = drain(jobs.cooled_down(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")), "cooled")
     assert sorted((r.id, str(r.at)[:10], r.attempt) for r in out.collect()) == [("a", "2024-01-01", 1), ("a", "2024-01-09", 2), ("b", "2024-01-02", 1)]
+
+
+def test_entries_by_all_keys_against_earlier_batches(spark, tmp_path):
+    batches = [
+        [("a", ["id:1", "url:x"], "2024-01-01"), ("b", ["url:x", "guid:2"], "2024-01-02"), ("n", [], "2024-01-02")],
+        [("c", ["guid:2"], "2024-01-03"), ("d", ["id:1", "url:y"], "2024-01-03"), ("f", None, "2024-01-03"), ("g", ["url:y"], "2024-01-04")],
+        [("e", ["id:1"], "2024-09-01"), ("h", ["guid:2", "id:1"], "2024-09-02")],
+    ]
+    want = [{"a", "n"}, {"a", "n", "c", "f", "g"}, {"a", "n", "c", "f", "g", "e"}]
+    for rows, found in zip(batches, want, strict=True):
+        df = spark.createDataFrame(rows, "name string, keys array<string>, at string").withColumn("at", F.col("at").cast("timestamp"))
+        df.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        query = jobs.dedup_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/cp", ["at", "name"])
+        assert query.awaitTermination(120)
+        assert {r.name for r in spark.read.parquet(f"{tmp_path}/out").collect()} == found
