@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmill.llm import bpe, decontaminate, html, language, quality, secrets, sharding, simhash, substrings, wordpiece
+from quillmill.llm import bpe, decontaminate, html, language, periods, quality, secrets, sharding, simhash, substrings, wordpiece
 
-MODULES = [quality, html, bpe, secrets, decontaminate, wordpiece, sharding, language, simhash, substrings]
+MODULES = [quality, html, bpe, secrets, decontaminate, wordpiece, sharding, language, simhash, substrings, periods]
 
 
 def queries() -> dict:
