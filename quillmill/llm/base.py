@@ -8,13 +8,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.plans.working import forget, shared_dir, stored
 
-__all__ = ["SPACE", "forget", "pick", "sha256_hex", "shared_dir", "slabs", "stored", "table", "through"]
+__all__ = ["SPACE", "beside", "forget", "pick", "sha256_hex", "shared_dir", "slabs", "stored", "table", "through"]
 
 #: The separators of words: space and the ASCII controls 09 to 0D. bytes.split() uses exactly these.
 SPACE = " \t\n\x0b\x0c\r"
@@ -72,3 +72,18 @@ def through(docs: DataFrame, text_col: str, start: Callable[[], Callable], added
     taken = {x.lower() for x in new.names}
     own = [F.col(k).alias(c) for k, c in zip(names, docs.columns, strict=True) if c.lower() not in taken]
     return plain.mapInArrow(run, schema).select(*own, *[F.col(f"n{i}").alias(c) for i, c in enumerate(new.names)])
+
+
+def beside(rows: DataFrame, key: str, value: Column, name: str, share: int = 1000) -> DataFrame:
+    """rows, with the aggregate `value` of all rows of their key beside each; null keys are one group. rows is read several times, so it should be a stored table.
+
+    Keys that hold over 1 / share of all rows are fewer than share, so they are broadcast and their rows stay where they are; only the others' rows move, and none of
+    those groups is large.
+    """
+    groups = stored(rows.groupBy(key).agg(value.alias(name), F.count(F.lit(1)).alias("group_rows")).withColumnRenamed(key, "group_key"), "groups")
+    many = (groups.agg(F.sum("group_rows")).first()[0] or 0) / share
+    same = F.col(key).eqNullSafe(F.col("group_key"))
+    large, small = (groups.filter(x).drop("group_rows") for x in (F.col("group_rows") > many, F.col("group_rows") <= many))
+    near = rows.join(F.broadcast(large), same)
+    far = rows.join(F.broadcast(large.select("group_key")), same, "left_anti").join(small, same)
+    return near.unionByName(far).drop("group_key")
