@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmill.llm import bpe, decontaminate, html, language, periods, quality, secrets, sharding, simhash, substrings, vector_codes, wordpiece
+from quillmill.llm import bpe, decontaminate, html, language, periods, quality, secrets, sharding, simhash, substrings, vector_codes, warc, wordpiece
 
-MODULES = [quality, html, bpe, secrets, decontaminate, wordpiece, sharding, language, simhash, substrings, vector_codes, periods]
+MODULES = [quality, html, bpe, secrets, decontaminate, wordpiece, sharding, language, simhash, substrings, warc, vector_codes, periods]
 
 
 def queries() -> dict:
