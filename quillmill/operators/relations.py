@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,33 +93,83 @@ def text_relations(probes: DataFrame, others: DataFrame, id_col: str = "id", tex
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("probe").orderBy(order, F.desc("score"), "other"))).filter(F.col("rank") <= most)
 
 
-def title_matches(probes: DataFrame, others: DataFrame, id_col: str = "id", title_col: str = "title", least: float = 0.6, most: int = 6) -> DataFrame:
-    """(probe, other, similarity, rank): titles whose matching-blocks ratio is at least `least`, the best few for each probe.
+def _longest_common(masks: dict[str, int], full: int, b: str) -> int:
+    """Characters of the longest common subsequence of a title and b; masks has a bit for each place of a character in the title."""
+    open_ = full
+    for c in b:
+        hit = masks.get(c)
+        if hit is not None:
+            u = open_ & hit
+            open_ = (open_ + u | open_ - u) & full
+    return (full ^ open_).bit_count()
 
-    A ratio of r needs 2 * shared characters >= r * (length + length); so lengths must lie within a band and the bags of characters must share enough. The band is
-    an equi-join on a bucket of length (a title is sent to all buckets its partners can be in), the bags a filter; what is left is measured exactly, in batches.
+
+def _bags(titles: list[str], letters: np.ndarray) -> np.ndarray:
+    """How often each of the letters is in each title."""
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in titles]
+    return np.stack([np.bincount(np.searchsorted(letters, x), minlength=len(letters)) for x in points]).astype(np.int16 if max(map(len, titles)) < 1 << 15 else np.int32)
+
+
+def alike(probes: list[str], others: list[str], least: float) -> tuple[list[tuple[int, int, float]], int]:
+    """(number of the probe, number of the other, ratio) of all pairs of titles with a ratio of at least `least`, and for how many pairs it was computed.
+
+    Matching blocks never cross, so what they hold is a common subsequence; a ratio of r needs one of r * (length + length) / 2 characters, and as many characters of
+    the same kinds. Bags are compared in numpy, subsequences 64 characters at a time in the bits of an integer; only pairs that pass both are matched block by block.
     """
-    folded = lambda df, name: df.select(F.col(id_col).alias(name), fold(text(title_col)).alias(f"{name}_title")).filter(F.length(f"{name}_title") > 0)
-    p, o = folded(probes, "probe"), folded(others, "other")
-    low, high = least / (2 - least), (2 - least) / least
+    out, computed = [], 0
+    letters = np.unique(np.frombuffer("".join(probes + others).encode("utf-32-le", "surrogatepass"), np.uint32))
+    mine, theirs, size = _bags(probes, letters), _bags(others, letters), np.array([len(x) for x in others])
+    for i, a in enumerate(probes):
+        need = least * (len(a) + size) - 1e-9
+        near = np.flatnonzero(2 * np.minimum(size, len(a)) >= need)
+        near = near[2 * np.minimum(theirs[near], mine[i]).sum(axis=1, dtype=np.int64) >= need[near]]
+        masks: dict[str, int] = {}
+        for k, c in enumerate(a if len(near) else ""):
+            masks[c] = masks.get(c, 0) | 1 << k
+        for j in near.tolist():
+            if 2 * _longest_common(masks, (1 << len(a)) - 1, others[j]) >= need[j]:
+                computed += 1
+                ratio = SequenceMatcher(None, a, others[j]).ratio()
+                if ratio >= least:
+                    out.append((i, j, ratio))
+    return out, computed
+
+
+def title_matches(probes: DataFrame, others: DataFrame, id_col: str = "id", title_col: str = "title", least: float = 0.6, most: int = 6, block: int = 512) -> DataFrame:
+    """(probe, other, similarity, rank): titles whose matching-blocks ratio is at least `least`, the best few for each probe (ties: by the other's id).
+
+    Equal titles are compared once, whoever has them. A ratio of r needs lengths within a band, so titles are dealt to buckets of length, those of a bucket to blocks of about `block` titles,
+    and each block of probes meets the blocks of its band: a task compares two blocks at a time, however many titles a bucket has. See `alike` for how. Null and empty titles match nothing.
+    """
+    folded = lambda df, name: df.select(F.col(id_col).alias(name), fold(text(title_col)).alias("title")).filter("title != ''")
+    p, o = stored(folded(probes, "probe"), "titles"), folded(others, "other")
+    # more ids than a probe's list is long can't be wanted of one title, but for the probe's own
+    first = F.row_number().over(Window.partitionBy("title").orderBy("other"))
+    o = stored(o.withColumn("n", first).filter(F.col("n") <= most + 1).drop("n"), "titles")
     bucket = lambda n: F.floor(F.log(n) / 0.2)
-    n = F.length("probe_title")
-    p = p.withColumn("bucket", F.explode(F.sequence(bucket(F.greatest(n * low, F.lit(1.0))), bucket(n * high))))
-    o = o.withColumn("bucket", bucket(F.length("other_title")))
-    m = F.length("other_title")
-    pairs = p.join(o, "bucket").filter((F.col("probe") != F.col("other")) & (m >= F.floor(n * low)) & (m <= F.ceil(n * high))).select("probe", "other", "probe_title", "other_title")
-    # characters of one title that the other lacks can't match
-    lacking = lambda a, b: F.length(F.call_function("translate", F.col(a), F.col(b), F.lit("")))
-    lost = lacking("probe_title", "other_title") + lacking("other_title", "probe_title")
-    pairs = pairs.filter((n + m - lost) >= least * (n + m))
-
-    def ratio(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["similarity"] = [SequenceMatcher(None, a, b).ratio() for a, b in zip(f["probe_title"], f["other_title"], strict=True)]
-            yield f[f["similarity"] >= least][["probe", "other", "similarity"]]
-
-    kinds = dict(pairs.dtypes)
-    found = pairs.mapInPandas(ratio, f"probe {kinds['probe']}, other {kinds['other']}, similarity double")
+    low, high = least / (2 - least), (2 - least) / least
+
+    def dealt(titles: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Distinct titles with bucket and block, and the number of blocks of each bucket: a row for each fifth of a power of e of a title's length."""
+        t = titles.select("title").distinct().withColumn(f"{name}_bucket", bucket(F.length("title")))
+        n = t.groupBy(f"{name}_bucket").agg(F.ceil(F.count(F.lit(1)) / block).alias(f"{name}_blocks"))
+        return t.join(F.broadcast(n), f"{name}_bucket").withColumn(f"{name}_block", F.pmod(F.xxhash64("title"), f"{name}_blocks")).drop(f"{name}_blocks"), n
+
+    (pt, pn), (ot, on) = dealt(p, "p"), dealt(o, "o")
+    reach = F.sequence(bucket(F.greatest(F.exp(F.col("p_bucket") * 0.2) * low * 0.999, F.lit(1.0))), bucket(F.exp((F.col("p_bucket") + 1) * 0.2) * high * 1.001))
+    meet = F.broadcast(stored(pn.withColumn("o_bucket", F.explode(reach)).join(on, "o_bucket"), "title-buckets"))
+    key = ["p_bucket", "p_block", "o_bucket", "o_block"]
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = pt.join(meet, "p_bucket").withColumn("o_block", every("o_blocks")).select(*key, "title")
+    right = ot.join(meet, "o_bucket").withColumn("p_block", every("p_blocks")).select(*key, "title")
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a["title"].to_pylist(), b["title"].to_pylist()
+        found = alike(a, b, least)[0] if a and b else []
+        return pa.table({"title": [a[i] for i, _, _ in found], "other_title": [b[j] for _, j, _ in found], "similarity": [x for _, _, x in found]}, pa.schema([("title", pa.string()), ("other_title", pa.string()), ("similarity", pa.float64())]))
+
+    pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "title string, other_title string, similarity double")
+    found = p.join(pairs, "title").join(o.withColumnRenamed("title", "other_title"), "other_title").filter("probe != other").select("probe", "other", "similarity")
     rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("similarity"), "other"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= most)
 

@@ -200,6 +200,34 @@ def test_titles_equal_all_pairs(spark):
     assert got == {(i, j) for i, a in enumerate(titles) for j, b in enumerate(titles) if i != j and SequenceMatcher(None, a, b).ratio() >= 0.6}
 
 
+def test_title_bounds_leave_few_to_match():
+    """No pair is lost to the bounds, and few that they pass are below the ratio."""
+    from difflib import SequenceMatcher
+
+    r = random.Random(6)
+    words = ["".join(r.choices("etaoinshrdlucmfwypvbgkqjxz", range(26, 0, -1), k=r.randrange(2, 9))) for _ in range(300)]
+    titles = [" ".join(r.choices(words, k=r.randrange(1, 30))) for _ in range(120)] + ["開放資料", "é", "a", "aa", "x" * 400]
+    others = ["".join(c for c in t if r.random() < 0.85) for t in titles[:60]] + [" ".join(r.choices(words, k=r.randrange(1, 30))) for _ in range(80)] + ["開放資", "a"]
+    got, computed = relations.alike(titles, others, 0.6)
+    want = [(i, j, SequenceMatcher(None, a, b).ratio()) for i, a in enumerate(titles) for j, b in enumerate(others)]
+    assert got == [x for x in want if x[2] >= 0.6]
+    assert computed < 0.05 * len(want)
+
+
+def test_titles_of_many_copies_and_blocks(spark):
+    from difflib import SequenceMatcher
+
+    r = random.Random(7)
+    titles = [" ".join(r.choices(["open", "data", "law", "house", "river"], k=r.randrange(1, 5))) for _ in range(60)] + ["open data law"] * 30 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(titles)), "id int, title string")
+    rows = [(i, j, SequenceMatcher(None, a, b).ratio()) for i, a in enumerate(titles) for j, b in enumerate(titles) if a and b and i != j]
+    want = set()
+    for i in range(len(titles)):
+        best = sorted((x for x in rows if x[0] == i and x[2] >= 0.6), key=lambda x: (-x[2], x[1]))[:6]
+        want |= {(*x, k) for k, x in enumerate(best, 1)}
+    assert {tuple(x) for x in relations.title_matches(df, df, block=7).collect()} == want
+
+
 def test_votes(spark):
     v = spark.createDataFrame([("a", "b", "p1", "same"), ("a", "b", "p2", "same"), ("a", "b", "p3", "other")], "probe string, other string, provider string, label string")
     x = relations.relation_votes(v).first()
