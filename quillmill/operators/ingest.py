@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from quillmill.functions.dates import first_date
 from quillmill.functions.text import clean_text, fold, haystack, match_terms, stable_id, strip, text
 from quillmill.functions.urls import normalize_url, unwrap_redirect
-from quillmill.plans.working import stored
+from quillmill.plans.working import forget, stored
 from quillmill.schemas import READER_ACTIONS
 
 # The names of fetch frequencies, and the hours between fetches.
@@ -91,44 +92,120 @@ def entry_keys(df: DataFrame, id_col: str, url_cols: list[str], guid_col: str |
     return F.array_distinct(F.filter(F.array(*[F.when(v != "", F.concat(F.lit(k + ":"), v)) for k, v in marked]), lambda x: x.isNotNull()))
 
 
+def _opened(entries: DataFrame, seen: DataFrame, order: list[str], gate: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entries with rank and gate, all their keys, and the ranks of those that have a key of seen."""
+    ranked = stored(entries.withColumn("__rank", F.struct(*order)).withColumn("__gate", F.coalesce(F.col(gate), F.lit(False)) if gate else F.lit(False)), "entries")
+    every = ranked.select("__rank", "__gate", F.explode("keys").alias("key"))
+    return ranked, every, stored(every.join(seen.select("key").distinct(), "key", "left_semi").select("__rank").distinct(), "known")
+
+
+def _hidden_late(every: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The ranks of blocked entries that share a key with one accepted before them."""
+    first = every.join(accepted.select("__rank"), "__rank").groupBy("key").agg(F.min("__rank").alias("by"))
+    return every.filter("__gate").join(first, "key").filter(F.col("by") < F.col("__rank")).select("__rank").distinct()
+
+
+def _to_ends(links: DataFrame) -> DataFrame:
+    """links (__rank, to, odd) with `to` at the end of its chain, and odd telling whether the steps to it are odd in number: each pass doubles the steps."""
+    while True:
+        following = links.select(F.col("__rank").alias("to"), F.col("to").alias("further"), F.col("odd").alias("more"))
+        doubled = links.join(following, "to", "left").select(
+            "__rank", F.coalesce("further", "to").alias("to"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd"), F.col("further").isNotNull().alias("moved")
+        )
+        longer = stored(doubled, "links")
+        forget(links)
+        links = longer.drop("moved")
+        if not longer.filter("moved").limit(1).count():
+            return links
+
+
 def new_entries(entries: DataFrame, seen: DataFrame, order: list[str], gate: str | None = None) -> DataFrame:
     """entries (with `keys`) and `entry_outcome`: new, duplicate or, if `gate` (a boolean column) is true, blocked.
 
     As if read one by one in `order`, which must tell all rows apart: an entry is a duplicate if one of its keys is in `seen` (a table of `key`) or belongs to an entry accepted before.
-    Blocked entries add no keys. The loop becomes rounds over exploded keys: who holds the least rank of all its keys is accepted, who shares a key with an accepted
-    one is a duplicate, and the rest go on, with only the keys that are still shared among them. A round accepts at least the first of what is left, so they end; a chain of keys in
-    falling order costs a round a link. Entries without keys are new. A round writes two small tables, which go with the next.
+    Blocked entries add no keys. The loop becomes rounds over exploded keys: who holds the least rank of all its keys is accepted. An entry of which all keys but those it is first in
+    have the same entry before it, and no other, is new if that one is a duplicate and the other way round; so chains of such entries are followed to their ends by doubling, and every
+    second one of a chain from an accepted entry is new. Who shares a key with an accepted one is a duplicate, and the rest go on, with only the keys that are still shared among them.
+    A round accepts at least the first of what is left, so they end. Entries without keys are new. Working tables of a round go with the next; entries and labels stay, as the result is lazy.
     """
-    ranked = stored(entries.withColumn("__rank", F.struct(*order)).withColumn("__gate", F.coalesce(F.col(gate), F.lit(False)) if gate else F.lit(False)), "entries")
-    every = ranked.select("__rank", "__gate", F.explode("keys").alias("key"))
-    known = every.join(seen.select("key").distinct(), "key", "left_semi").select("__rank").distinct().withColumn("__label", F.lit("duplicate"))
-    labels = [stored(known, "labels")]
-    rest = stored(every.join(labels[0], "__rank", "left_anti"), "pending")
-    blocked, pending = rest.filter("__gate"), rest.filter("not __gate").select("__rank", "key")
+    ranked, every, known = _opened(entries, seen, order, gate)
+    labels = [known.withColumn("__label", F.lit("duplicate"))]
+    pending = stored(every.filter("not __gate").join(known, "__rank", "left_anti").select("__rank", "key"), "pending")
     while pending.limit(1).count():
-        least = pending.groupBy("key").agg(F.min("__rank").alias("least"))
-        held = pending.join(least, "key").groupBy("__rank").agg(F.bool_and(F.col("least") == F.col("__rank")).alias("won"))
-        marked = pending.join(held, "__rank")
-        taken = marked.filter("won").select("key").distinct().withColumn("taken", F.lit(True))
-        lost = marked.filter("not won").join(taken, "key", "left").groupBy("__rank").agg(F.max("taken").alias("taken"))
-        verdict = held.join(lost, "__rank", "left").select("__rank", F.when(F.col("won"), "new").when(F.col("taken"), "duplicate").alias("__label"))
-        labels.append(stored(verdict.filter("__label is not null"), "labels"))
-        # each label table has the rows of its round alone
-        left = stored(pending.join(labels[-1], "__rank", "left_anti"), "pending")
+        marked = pending.join(pending.groupBy("key").agg(F.min("__rank").alias("least")), "key")
+        behind = F.col("__rank") != F.col("least")
+        second = marked.filter(behind).groupBy("key").agg(F.min("__rank").alias("second"))
+        before = F.when(behind, F.col("least"))
+        states = marked.join(second, "key", "left").groupBy("__rank").agg(
+            F.bool_and(~behind).alias("won"), F.min(before).alias("to"), (F.bool_and(~behind | (F.col("__rank") == F.col("second"))) & (F.min(before) == F.max(before))).alias("single")
+        )
+        states = stored(states, "states")
+        won = states.filter("won").select("__rank")
+        links = _to_ends(stored(states.filter("not won and single").select("__rank", "to", F.lit(True).alias("odd")), "links"))
+        ended = links.join(won.select(F.col("__rank").alias("to")), "to").select("__rank", F.when(F.col("odd"), "duplicate").otherwise("new").alias("__label"))
+        decided = stored(won.withColumn("__label", F.lit("new")).unionByName(ended), "labels")
+        taken = pending.join(decided.filter("__label = 'new'"), "__rank", "left_semi").select("key").distinct()
+        lost = pending.join(taken, "key", "left_semi").select("__rank").distinct().join(decided, "__rank", "left_anti").withColumn("__label", F.lit("duplicate"))
+        labels += [decided, stored(lost, "labels")]
+        left = stored(pending.join(labels[-2], "__rank", "left_anti").join(labels[-1], "__rank", "left_anti"), "pending")
+        for df in (pending, states, links):
+            forget(df)
         pending = left
-    label = labels[0]
-    for x in labels[1:]:
-        label = label.unionByName(x)
+        if len(labels) > 8:  # else the plan grows by two branches a round
+            whole = stored(reduce(DataFrame.unionByName, labels), "labels")
+            for df in labels[1:]:
+                forget(df)
+            labels = [whole]
+    forget(pending)
+    label = reduce(DataFrame.unionByName, labels)
     if gate:
-        first = every.join(label.filter("__label = 'new'"), "__rank").groupBy("key").agg(F.min("__rank").alias("by"))
-        late = blocked.join(first, "key").filter(F.col("by") < F.col("__rank")).select("__rank").distinct().withColumn("__label", F.lit("duplicate"))
-        label = label.unionByName(late)
+        label = label.unionByName(_hidden_late(every, label.filter("__label = 'new'")).join(known, "__rank", "left_anti").withColumn("__label", F.lit("duplicate")))
     outcome = F.coalesce("__label", F.when(F.col("__gate"), "blocked").otherwise("new"))
     return ranked.join(label, "__rank", "left").withColumn("entry_outcome", outcome).drop("__rank", "__gate", "__label")
 
 
+def new_entries_capped(entries: DataFrame, seen: DataFrame, order: list[str], gate: str | None = None, most: int = 10) -> DataFrame:
+    """As new_entries, but a source is left once `most` of its entries are new: later ones of it are `unseen`, and hide nothing with their keys.
+
+    Who is a duplicate depends on who was accepted, and that on how many of its source were before; so rounds settle both together. Of each source the first `most` of what is accepted or
+    still open are within the cap, whatever becomes of the open ones. Of these, who holds the least rank of all its keys is accepted; who shares a key with an accepted one
+    is a duplicate, and what follows a source's last one is unseen. The first open entry is always settled, so rounds end. Needs a column source_id; a null source is one source.
+    """
+    ranked, every, known = _opened(entries, seen, order, gate)
+    source = F.coalesce(F.to_json(F.struct("source_id")), F.lit("")).alias("source")
+    mine = ranked.filter("not __gate").join(known, "__rank", "left_anti")
+    still = stored(mine.select("__rank", source), "open")
+    keys = stored(every.filter("not __gate").join(known, "__rank", "left_anti").select("__rank", "key"), "open-keys")
+    accepted = stored(still.limit(0), "accepted")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("__rank"))
+    while still.limit(1).count():
+        both = accepted.withColumn("is_open", F.lit(False)).unionByName(still.withColumn("is_open", F.lit(True)))
+        within = both.withColumn("place", place).filter(F.col("place") <= most).filter("is_open").select("__rank", "source")
+        least = keys.groupBy("key").agg(F.min("__rank").alias("least"))
+        later = keys.join(least, "key").filter("__rank != least").select("__rank").distinct()
+        taken_up = within.join(later, "__rank", "left_anti")
+        wider = stored(accepted.unionByName(taken_up), "accepted")
+        full = wider.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("__rank").alias("last")).filter(F.col("n") == most)
+        held = keys.join(wider, "__rank", "left_semi").select("key").distinct()
+        hidden = keys.join(held, "key", "left_semi").select("__rank").distinct()
+        left = still.join(wider, "__rank", "left_anti").join(hidden, "__rank", "left_anti").join(full, "source", "left")
+        now_open = stored(left.filter(F.col("last").isNull() | (F.col("__rank") <= F.col("last"))).select("__rank", "source"), "open")
+        now_keys = stored(keys.join(now_open, "__rank", "left_semi"), "open-keys")
+        for df in (accepted, still, keys):
+            forget(df)
+        accepted, still, keys = wider, now_open, now_keys
+    forget(still)
+    forget(keys)
+    full = accepted.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("__rank").alias("last")).filter(F.col("n") == most).select("source", "last")
+    told = ranked.withColumn("source", source).join(full, "source", "left").join(accepted.select("__rank", F.lit(True).alias("is_new")), "__rank", "left")
+    late = known.unionByName(_hidden_late(every, accepted)).distinct().withColumn("hidden", F.lit(True))
+    told = told.join(late, "__rank", "left")
+    outcome = F.when(F.col("__rank") > F.col("last"), "unseen").when(F.col("is_new"), "new").when(F.col("__gate") & F.col("hidden").isNull(), "blocked").otherwise("duplicate")
+    return told.withColumn("entry_outcome", outcome).drop("__rank", "__gate", "source", "last", "is_new", "hidden")
+
+
 def cap_per_source(entries: DataFrame, order: list[str], most: int = 10) -> DataFrame:
-    """The first `most` new entries of each source. The cap comes after dedup: an entry beyond it still hides later ones with its keys."""
+    """The first `most` new entries of each source. The cap comes after dedup: an entry beyond it still hides later ones with its keys; see new_entries_capped for the other way."""
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(*order))
     return entries.filter("entry_outcome = 'new'").withColumn("__n", rank).filter(F.col("__n") <= most).drop("__n")
 

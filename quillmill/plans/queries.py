@@ -223,10 +223,35 @@ HISTORY_SQL = f"""WITH RECURSIVE raw AS (
 @query(HISTORY_SQL)
 def entries_against_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of two keys each, guid and address, some blocked, against the addresses seen before."""
+    e, seen = _two_keys(spark, sf_dir)
+    return ingest.new_entries(e, seen, ["turn", "pos"], "gate").select("turn", "pos", "entry_outcome")
+
+
+def _two_keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     turn, pos = F.col("turn"), F.col("pos")
     e = entries(spark, sf_dir).withColumns({"guid": F.concat(F.lit("g"), F.when(turn == 0, pos % 97).otherwise(pos * 7 % 113)), "gate": pos % 13 == 5, "none": F.lit(None).cast("string")})
     seen = table(spark, sf_dir, "pages").filter("page_id % 11 = 3").select(F.concat(F.lit("url:"), normalize_url("url")).alias("key"))
-    return ingest.new_entries(e.withColumn("keys", ingest.entry_keys(e, "none", ["url"], "guid")), seen, ["turn", "pos"], "gate").select("turn", "pos", "entry_outcome")
+    return e.withColumn("keys", ingest.entry_keys(e, "none", ["url"], "guid")), seen
+
+
+# a source after another; each step knows the keys accepted so far, the source it is in, and how many of it were
+CAPPED_SQL = f"""{HISTORY_SQL.split("numbered AS")[0]}
+    numbered AS (SELECT turn, pos, source_id, pos % 13 = 5 AS blocked, ['guid:' || guid, 'url:' || normalized] AS keys, row_number() OVER (ORDER BY source_id, turn, pos) AS k
+        FROM (SELECT *, CASE turn WHEN 0 THEN regexp_extract(url, '^[a-z]+://([^/]+)', 1) ELSE 'reposts' END AS source_id FROM norm)),
+    history AS (SELECT list('url:' || normalized) AS keys FROM norm WHERE turn = 0 AND pos % 11 = 3),
+    step AS (
+        SELECT 0::BIGINT AS k, 0 AS turn, 0::BIGINT AS pos, '' AS source_id, '' AS entry_outcome, keys AS seen, 0 AS n FROM history UNION ALL
+        SELECT k, turn, pos, source_id, outcome, CASE WHEN outcome = 'new' THEN list_concat(seen, keys) ELSE seen END, before + (outcome = 'new')::INT FROM (
+            SELECT *, CASE WHEN before = 4 THEN 'unseen' WHEN list_has_any(seen, keys) THEN 'duplicate' WHEN blocked THEN 'blocked' ELSE 'new' END AS outcome FROM (
+                SELECT n.*, s.seen, CASE WHEN n.source_id = s.source_id THEN s.n ELSE 0 END AS before FROM step s JOIN numbered n ON n.k = s.k + 1)))
+    SELECT turn, pos, entry_outcome FROM step WHERE k > 0"""
+
+
+@query(CAPPED_SQL)
+def entries_under_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As entries_against_history, a source after another; each is left after its fourth new entry."""
+    e, seen = _two_keys(spark, sf_dir)
+    return ingest.new_entries_capped(e, seen, ["source_id", "turn", "pos"], "gate", 4).select("turn", "pos", "entry_outcome")
 
 
 @query(ENTRIES_SQL + " SELECT source_id, count(*) AS entries_seen, count(*) FILTER (entry_outcome = 'new') AS new_items, 0::BIGINT AS skipped_old, count(*) FILTER (entry_outcome = 'duplicate') AS skipped_duplicate_recent, 0::BIGINT AS skipped_source_keywords FROM labelled GROUP BY source_id")

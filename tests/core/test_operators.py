@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -91,6 +92,62 @@ def test_chain_of_keys(spark):
     assert got == {1: "new", 2: "duplicate", 3: "new", 4: "new"}
 
 
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """10,000 entries, each sharing a key with the next: every second one is new."""
+    calls = []
+    monkeypatch.setattr(ingest, "stored", lambda df, name, f=ingest.stored: (calls.append(name), f(df, name))[1])
+    df = spark.range(10_000).selectExpr("cast(id as int) pos", "array(concat('k', id), concat('k', id + 1)) keys")
+    out = ingest.new_entries(df, spark.createDataFrame([], "key string"), ["pos"])
+    assert {(x.pos % 2, x.entry_outcome) for x in out.select("pos", "entry_outcome").distinct().collect()} == {(0, "new"), (1, "duplicate")}
+    assert calls.count("pending") <= 4 and calls.count("links") < 20
+
+
+def test_rounds_leave_no_working_tables(spark):
+    from quillmill.plans.working import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    df = spark.createDataFrame([(i, [f"k{i // 3}", f"k{i % 7}"]) for i in range(30)], "pos int, keys array<string>")
+    ingest.new_entries(df, spark.createDataFrame([], "key string"), ["pos"]).collect()
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} <= {"entries", "known", "labels"}
+
+
+def capped(rows, seen, most):
+    seen, out, n = set(seen), {}, {}
+    for source, pos, keys, blocked in sorted(rows):
+        if n.get(source, 0) == most:
+            out[pos] = "unseen"
+        elif set(keys) & seen:
+            out[pos] = "duplicate"
+        elif blocked:
+            out[pos] = "blocked"
+        else:
+            out[pos] = "new"
+            seen |= set(keys)
+            n[source] = n.get(source, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_capped_entries_equal_a_sequential_pass(spark, seed):
+    """The cap within the pass: what a full source still has hides nothing. Sources in a row, and mixed."""
+    r = random.Random(seed)
+    rows = [(r.randrange(5) if seed < 2 else i % 3, i, r.sample([f"k{j}" for j in range(25)], r.randrange(0, 4)), r.random() < 0.2) for i in range(70)]
+    order = ["source_id", "pos"] if seed < 2 else ["pos"]
+    df = spark.createDataFrame([(f"s{a}", i, k, b) for a, i, k, b in rows], "source_id string, pos int, keys array<string>, gate boolean")
+    got = {x.pos: x.entry_outcome for x in ingest.new_entries_capped(df, spark.createDataFrame([("k0",)], "key string"), order, "gate", 3).collect()}
+    if seed < 2:
+        assert got == capped(rows, ["k0"], 3)
+    else:
+        seen, n, want = {"k0"}, {}, {}
+        for source, pos, keys, blocked in rows:
+            want[pos] = "unseen" if n.get(source, 0) == 3 else "duplicate" if set(keys) & seen else "blocked" if blocked else "new"
+            if want[pos] == "new":
+                seen |= set(keys)
+                n[source] = n.get(source, 0) + 1
+        assert got == want
+
+
 def test_due_and_fetchable(spark):
     s = spark.createDataFrame(
         [("new", "daily", None, "active", "rss", "open", "https://a/f"), ("soon", "weekly", "2024-01-30", "active", "rss", "open", "https://a/f"), ("late", "6h", "2024-01-30T12:00:00Z", "active", "rss", "open", "https://a/f"), ("off", "paused", None, "active", "rss", "open", "https://a/f"),
