@@ -2,66 +2,86 @@
 
 from __future__ import annotations
 
-from itertools import groupby
+import re
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import extract_links, text
+from quillmill.functions.text import extract_links, let, strip, text
 
-_MARKS = (("list", ("- ", "* ", "+ ")), ("quote", (">",)), ("table", ("|",)))
+# What lines of lists and tables look like, and what opens and closes code.
+LIST = r"^([-*+]|\d+[.)])\s"
+TABLE = r"^\|.*\|$|^\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?$"
+FENCE = r"^(```|~~~)"
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 
-def _kind(line: str) -> str:
-    if line[:1].isdigit() and line.lstrip("0123456789")[:2] in (". ", ") "):
-        return "list"
-    return next((k for k, starts in _MARKS if line.startswith(starts)), "text")
+def _clean(body: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "\r\n?", "\n"), CONTROLS, " "), r"[ \t]+", " ")
 
 
 def rewrite(body: str) -> str:
-    """One empty line between blocks; lines of one list, quote or table stay together, and so does all between code fences."""
-    blocks: list[list[str]] = []
-    fenced, last = False, ""
-    for fence, lines in groupby(body.split("\n"), key=lambda x: x.lstrip().startswith("```")):
-        for line in lines:
-            if fence:
-                if fenced:
-                    blocks[-1].append(line)
-                else:
-                    blocks.append([line])
-                fenced, last = not fenced, "fence"
-            elif fenced:
-                blocks[-1].append(line)
-            elif line.strip():
-                kind = _kind(line.strip())
-                if kind != "text" and kind == last:
-                    blocks[-1].append(line.rstrip())
-                else:
-                    blocks.append([line.rstrip()])
-                last = kind
-            elif last != "list":
-                last = ""
-    return "\n\n".join("\n".join(b) for b in blocks)
-
-
-def needs_rewrite(body: str) -> F.Column:
+    """One text in plain Python, line by line; `rewritten` says the same in columns and is what records go through."""
+    out: list[str] = []
+    last, fenced = "", False
+    for line in re.sub(r"[ \t]+", " ", re.sub(CONTROLS, " ", re.sub("\r\n?", "\n", body))).split("\n"):
+        line = line.strip()
+        fence, kind = re.match(FENCE, line) is not None, "list" if re.match(LIST, line) else "quote" if line.startswith(">") else "table" if re.match(TABLE, line) else "text"
+        if not line:
+            last = ""
+            continue
+        together = last != "" if fenced else not fence and kind == last and kind != "text"
+        out += ["\n" if together else "\n\n", line]
+        last = "text" if fence and fenced else "code" if fence or fenced else kind
+        fenced = fenced != fence
+    return "".join(out).strip()
+
+
+def rewritten(body: Column) -> Column:
+    """A text with one empty line between blocks; lines of one list, quote or table stay together, and so does all between fences of code but for empty lines. All in the JVM.
+
+    The text is cut where lines of fences begin, so pieces in turn lie outside and within code: no state runs along the lines. In a piece, what comes before a line follows from it and the one
+    before it alone, so runs need no numbers either; each line is joined with what precedes it.
+    """
+    # \x01, which no cleaned text has, begins every fence
+    cut = lambda t: F.split(F.array_join(F.transform(F.split(t, "\n"), lambda x: let(strip(x), lambda y: F.when(y.rlike(FENCE), F.concat(F.lit("\x01"), y)).otherwise(y))), "\n"), "\x01")
+
+    def kind(line: Column) -> Column:
+        return F.when(line.rlike(f"(?U){LIST}"), "list").when(F.startswith(line, F.lit(">")), "quote").when(line.rlike(f"(?U){TABLE}"), "table")
+
+    def told(pieces: Column) -> Column:
+        def piece(p: Column, k: Column) -> Column:
+            fenced = k % 2 == 1
+            # the line end before the next fence ends the piece, so its last line is empty
+            lines = let(F.split(p, "\n"), lambda a: F.when(k < F.size(pieces) - 1, F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a))
+
+            def line(x: Column, i: Column, own: Column) -> Column:
+                before = F.get(own, i - 1)
+                closing = (k > 0) & ~fenced & (i == 0)
+                open_end = F.endswith(F.get(pieces, k - 1), F.lit("\n\n"))
+                after_fence = (k > 0) & ~fenced & (i == 1)
+                outside = F.when(closing, ~open_end).when((i == 0) | after_fence | (before == ""), F.lit(False)).otherwise(F.coalesce(kind(before) == kind(x), F.lit(False)))
+                together = F.when(fenced, (i > 0) & (before != "")).otherwise(outside)
+                return F.when(x == "", "").otherwise(F.concat(F.when(together, "\n").otherwise("\n\n"), x))
+
+            return let(lines, lambda own: F.array_join(F.transform(own, lambda x, i: line(x, i, own)), ""))
+
+        return F.array_join(F.transform(pieces, piece), "")
+
+    return strip(let(cut(_clean(body)), told))
+
+
+def needs_rewrite(body: str) -> Column:
     """A text without any empty line and with five line ends or more."""
-    t = text(body)
-    return ~t.rlike(r"\n\s*\n") & (F.regexp_count(t, F.lit("\n")) >= 5)
+    t = F.regexp_replace(text(body), "\r\n?", "\n")
+    return ~t.rlike(r"\n[ \t]*\n") & (F.regexp_count(t, F.lit(r"\n")) >= 5) & (strip(t) != "")
 
 
 def normalize_paragraphs(records: DataFrame, body_col: str, chars_col: str | None = None) -> DataFrame:
-    """records with body_col rewritten where it needs it, `changed`, and the count of characters brought up to date. Only texts that need it go to Python."""
-
-    @F.pandas_udf("string")
-    def fixed(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: rewrite(b) if isinstance(b, str) else b)
-
-    todo = records.filter(needs_rewrite(body_col)).withColumn(body_col, fixed(F.col(body_col))).withColumn("changed", F.lit(True))
-    rest = records.filter(~needs_rewrite(body_col)).withColumn("changed", F.lit(False))
-    both = rest.unionByName(todo)
-    return both.withColumn(chars_col, F.when(F.col("changed"), F.length(body_col)).otherwise(F.col(chars_col))) if chars_col else both
+    """records with body_col rewritten where it needs it, `changed` (whether that made a difference), and the count of characters brought up to date. One pass; null texts stay."""
+    new = records.withColumn("__new", F.when(needs_rewrite(body_col), rewritten(F.col(body_col))).otherwise(F.col(body_col)))
+    new = new.withColumn("changed", ~F.col("__new").eqNullSafe(F.col(body_col))).withColumn(body_col, F.col("__new")).drop("__new")
+    return new.withColumn(chars_col, F.when(F.col("changed"), F.length(body_col)).otherwise(F.col(chars_col))) if chars_col else new
 
 
 def changed_fields(before: DataFrame, after: DataFrame, fields: list[str], key: str = "id") -> DataFrame:

@@ -355,7 +355,18 @@ def sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.score_sentences(d, "doc_id", "text", "title").select("id", "index", F.length("sentence").alias("n_chars"), F.round("score", 6).alias("score"))
 
 
-@query()
+# the five best in their order, taken one by one while they fit
+SUMMARIES_SQL = f"""WITH RECURSIVE {_SENTENCES},
+    best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY index) AS k FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, index DESC) <= 5)),
+    clipped AS (SELECT doc_id, k, CASE WHEN length(sentence) > 240 THEN rtrim(substr(sentence, 1, 240)) || '...' ELSE sentence END AS s FROM best),
+    step AS (SELECT doc_id, 0::BIGINT AS k, []::VARCHAR[] AS sentences, 0 AS n FROM (SELECT DISTINCT doc_id FROM best) UNION ALL
+        SELECT doc_id, k, CASE WHEN fits THEN list_append(sentences, s) ELSE sentences END, CASE WHEN fits THEN n + length(s) ELSE n END FROM (
+            SELECT c.doc_id, c.k, t.sentences, t.n, c.s, len(t.sentences) < 3 AND t.n < 520 AND (t.n + length(c.s) <= 520 OR t.n = 0) AND len(list_filter(t.sentences, lambda x : contains(x, c.s) OR contains(c.s, x))) = 0 AS fits
+            FROM step t JOIN clipped c ON c.doc_id = t.doc_id AND c.k = t.k + 1))
+    SELECT doc_id AS id, sentences, array_to_string(sentences, ' ') AS summary FROM step QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1"""
+
+
+@query(SUMMARIES_SQL)
 def extractive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("title", F.substring_index("text", "\n", 1))
     return summaries.summarize(d, "doc_id", "text", "title", first=None)
@@ -532,7 +543,21 @@ def chunk_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.assemble_chunks(chunks).select("item_id", F.length(F.regexp_replace("body", r"\s+", "")).alias("n_letters"))
 
 
-@query()
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8195) || chr(12288)"
+# line by line: fences counted so far tell what is code, and the line before what stays together
+PARAGRAPHS_SQL = rf"""WITH t AS (SELECT doc_id, text, n_chars, regexp_replace(text, '\r\n?', chr(10), 'g') AS x FROM documents),
+    need AS (SELECT *, coalesce(NOT regexp_matches(x, '\n[ \t]*\n') AND length(x) - length(replace(x, chr(10), '')) >= 5 AND trim(x, {_BLANK}) <> '', false) AS need FROM t),
+    lines AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(x, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g'), '[ \t]+', ' ', 'g'), chr(10))) AS raw, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM need WHERE need),
+    told AS (SELECT doc_id, i, trim(raw, {_BLANK}) AS line FROM lines),
+    kinds AS (SELECT *, regexp_matches(line, '^(```|~~~)') AS fence, CASE WHEN regexp_matches(line, '^([-*+]|\d+[.)])\s') THEN 'list' WHEN line LIKE '>%' THEN 'quote'
+        WHEN regexp_matches(line, '^\|.*\|$|^\|?\s*:?-{{3,}}:?\s*(?:\|\s*:?-{{3,}}:?\s*)+\|?$') THEN 'table' END AS kind FROM told),
+    placed AS (SELECT *, (sum(fence::INT) OVER w - fence::INT) % 2 = 1 AS inside, lag(line) OVER w AS before, lag(kind) OVER w AS kind_before, coalesce(lag(fence) OVER w, false) AS after_fence FROM kinds WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    parted AS (SELECT *, CASE WHEN line = '' THEN '' WHEN coalesce(before, '') = '' THEN chr(10) || chr(10) WHEN inside THEN chr(10) WHEN NOT fence AND NOT after_fence AND kind = kind_before THEN chr(10) ELSE chr(10) || chr(10) END || line AS part FROM placed),
+    joined AS (SELECT doc_id, trim(string_agg(part, '' ORDER BY i), {_BLANK}) AS new FROM parted GROUP BY doc_id)
+    SELECT doc_id, coalesce(new <> text, false) AS changed, CASE WHEN new <> text THEN length(new) ELSE n_chars END AS n_chars, sha256(coalesce(new, text)) AS text_sha256 FROM need LEFT JOIN joined USING (doc_id)"""
+
+
+@query(PARAGRAPHS_SQL)
 def normalized_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     return markdown.normalize_paragraphs(d, "text", "n_chars").select("doc_id", "changed", "n_chars", F.sha2("text", 256).alias("text_sha256"))

@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -352,6 +353,21 @@ def test_markdown(spark):
     assert {(r.title, r.skip_reason) for r in links.collect()} == {("S", "index page"), ("C", None), ("A", "author page")}
 
 
+def test_rewritten_columns_equal_the_plain_version(spark):
+    r = random.Random(9)
+    lines = ["- a", "* b  b", "1. one", "12) x", "-nolist", "> q", ">q2", "| x | y |", "|---|:-:|", "--- | ---", "|open", "```", "```python", "~~~", "text of a line", "  indented", "\t", "", "# Head", "-----", "![i](u)", "a\x07b", "\u3000wide\u3000", "`c`"]
+    rows = [(i, r.choice(["\n", "\n", "\r\n"]).join(r.choices(lines, k=r.randrange(0, 14)))) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, b string")
+    got = {x.id: x.v for x in df.select("id", markdown.rewritten(F.col("b")).alias("v")).collect()}
+    assert got == {i: markdown.rewrite(b) for i, b in rows}
+    kept = {x.id: (x.b, x.changed) for x in markdown.normalize_paragraphs(df, "b").collect()}
+    for i, b in rows:
+        t = b.replace("\r\n", "\n")
+        needs = t.strip() and not re.search(r"\n[ \t]*\n", t) and t.count("\n") >= 5
+        want = markdown.rewrite(b) if needs else b
+        assert kept[i] == (want, want != b)
+
+
 PAGE = """<html lang="zh-TW"><head><title>Plain &amp; title</title><meta property="og:title" content="Card &quot;title&quot;"><meta name="author" content="A. Writer"><meta content="2024-02-03T01:00:00Z" property="article:published_time">
 <link rel="alternate" type="application/rss+xml" href="/feed.xml"><link rel="license" href="https://creativecommons.org/licenses/by/4.0/"></head><body><article><p>card text that is long enough to count as a paragraph here.</p></article>
 <div class="wysiwyg"><p>%s</p></div><div class="x wysiwyg"><h2>Head</h2><p>%s</p><ul><li>an entry of the list that is long</li></ul></div></body></html>"""
