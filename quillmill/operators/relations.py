@@ -38,15 +38,29 @@ def _shingles(clean: Column) -> Column:
     return let(fold(clean), of)
 
 
-def shingle_table(texts: DataFrame, id_col: str, text_col: str, least_chars: int = 0) -> DataFrame:
-    """(id, n, shingle) of the texts of least_chars with enough shingles; n is how many the text has. The gates stand within one expression, so that no filter computes the shingles again."""
-    enough = lambda s: F.when(F.size(s) >= LEAST_SHINGLES, F.transform(s, lambda x: F.struct(F.size(s).alias("n"), x.alias("shingle"))))
+def shingle_sets(texts: DataFrame, id_col: str, text_col: str, least_chars: int = 0) -> DataFrame:
+    """(id, set_id, shingles) of the texts of least_chars with enough shingles; equal sets have equal set_id. The gates stand within one expression, so that no filter computes the shingles again."""
+    enough = lambda s: F.when(F.size(s) >= LEAST_SHINGLES, F.array_sort(s))
     rows = let(clean_text(text_col, "document"), lambda c: F.when(F.length(c) >= least_chars, let(_shingles(c), enough)))
-    return texts.select(F.col(id_col).alias("id"), F.explode(rows).alias("s")).select("id", "s.n", "s.shingle")
+    sets = texts.select(F.col(id_col).alias("id"), rows.alias("shingles")).withColumn("set_id", F.sha1(F.array_join("shingles", "\n").cast("binary")))
+    return sets.filter("shingles is not null").select("id", "set_id", "shingles")
+
+
+def shingle_table(texts: DataFrame, id_col: str, text_col: str, least_chars: int = 0) -> DataFrame:
+    """(id, n, shingle) of the texts of least_chars with enough shingles; n is how many the text has."""
+    return shingle_sets(texts, id_col, text_col, least_chars).select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+
 
+def shingle_classes(texts: DataFrame, id_col: str, text_col: str, least_chars: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Texts folded by equal shingle sets: members (id, set_id), a row for each text, and sets (id, n, shingle), where id is the set's."""
+    whole = stored(shingle_sets(texts, id_col, text_col, least_chars), "shingle-sets")
+    one = whole.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+    sets = one.select(F.col("set_id").alias("id"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    return whole.select("id", "set_id"), sets
 
-def overlaps(probes: DataFrame, others: DataFrame, common: int = 1000) -> DataFrame:
-    """(probe, other, n_probe, n_other, n_shared) of shingle tables: every pair that classify can keep, with its exact count.
+
+def overlaps(probes: DataFrame, others: DataFrame, common: int = 100, own: bool = False) -> DataFrame:
+    """(probe, other, n_probe, n_other, n_shared) of shingle tables: every pair that classify can keep, with its exact count; those of an id with itself only if `own`.
 
     A kept pair shares over LEAST_SHARED of the smaller text's shingles (Jaccard 0.12 is 0.12 / 1.12 of both together, so 0.214 of the smaller). Shingles of more than `common` texts would join each
     of them with each; a text needs no more than its rarest ones beyond that share to meet its partners, so of common shingles the smaller text sends only
@@ -55,7 +69,7 @@ def overlaps(probes: DataFrame, others: DataFrame, common: int = 1000) -> DataFr
     p, o = (stored(x, "shingles") for x in (probes, others))
     hot = stored(p.select("shingle").unionAll(o.select("shingle")).groupBy("shingle").count().filter(F.col("count") > common), "common-shingles")
     p_cold, o_cold = (x.join(hot, "shingle", "left_anti") for x in (p, o))
-    both = lambda a, b: a.select(F.col("id").alias("probe"), F.col("n").alias("n_probe"), "shingle").join(b.select(F.col("id").alias("other"), F.col("n").alias("n_other"), "shingle"), "shingle").filter("probe != other")
+    both = lambda a, b: a.select(F.col("id").alias("probe"), F.col("n").alias("n_probe"), "shingle").join(b.select(F.col("id").alias("other"), F.col("n").alias("n_other"), "shingle"), "shingle").filter(F.lit(own) | (F.col("probe") != F.col("other")))
     pair = ["probe", "other", "n_probe", "n_other"]
     cold = both(p_cold, o_cold).groupBy(*pair).agg(F.count(F.lit(1)).alias("n_shared"))
     if not hot.limit(1).count():
@@ -84,13 +98,31 @@ def classify(pairs: DataFrame) -> DataFrame:
     return s.withColumn("score", score).withColumn("confidence", F.when(F.col("score") >= 0.78, "high").when(F.col("score") >= 0.48, "medium").otherwise("low")).withColumn("direction", direction)
 
 
+def related_classes(probes: DataFrame, others: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Relations without copies: pairs of sets (probe, other: set_id, as classify gives them), and the members of both sides (id, set_id). Thousands of equal texts are one
+    set, that meets itself once; their pairs are what members say, and are not made."""
+    p_members, p_sets = shingle_classes(probes, id_col, text_col, 120)
+    o_members, o_sets = shingle_classes(others, id_col, text_col, 80)
+    return classify(overlaps(p_sets, o_sets, own=True)), p_members, o_members
+
+
 def text_relations(probes: DataFrame, others: DataFrame, id_col: str = "id", text_col: str = "text", most: int | None = 10) -> DataFrame:
-    """The relations of each probe text (120 characters or more) to other texts (80 or more), best first: by relation, then score; at most `most` each."""
-    found = classify(overlaps(shingle_table(probes, id_col, text_col, 120), shingle_table(others, id_col, text_col, 80)))
-    if most is None:
-        return found
+    """The relations of each probe text (120 characters or more) to other texts (80 or more), best first: by relation, then score, then the other's id; at most `most` each.
+
+    Equal sets of shingles are compared once. With `most`, only so many members of a set can be wanted of it, and one more, as a text is not its own; without, all pairs of texts are made,
+    those of copies too: see related_classes for a result that doesn't.
+    """
+    found, p_members, o_members = related_classes(probes, others, id_col, text_col)
     order = F.when(F.col("relation") == "full-source", 0).when(F.col("relation") == "subset", 1).otherwise(2)
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("probe").orderBy(order, F.desc("score"), "other"))).filter(F.col("rank") <= most)
+    best = [order, F.desc("score"), "other"]
+    row = F.row_number()
+    if most is not None:
+        o_members = o_members.withColumn("n", row.over(Window.partitionBy("set_id").orderBy("id"))).filter(F.col("n") <= most + 1).drop("n")
+    pairs = found.withColumnRenamed("other", "o_set").join(o_members.select(F.col("set_id").alias("o_set"), F.col("id").alias("other")), "o_set")
+    if most is not None:
+        pairs = pairs.withColumn("rank", row.over(Window.partitionBy("probe").orderBy(*best))).filter(F.col("rank") <= most + 1)
+    pairs = pairs.withColumnRenamed("probe", "p_set").join(p_members.select(F.col("set_id").alias("p_set"), F.col("id").alias("probe")), "p_set").filter("probe != other").drop("p_set", "o_set")
+    return pairs if most is None else pairs.withColumn("rank", row.over(Window.partitionBy("probe").orderBy(*best))).filter(F.col("rank") <= most)
 
 
 def _longest_common(masks: dict[str, int], full: int, b: str) -> int:

@@ -331,6 +331,19 @@ def ranked_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["ranked_relations"] = ranked_relations
 
 
+@query(
+    f"""WITH {_shingled("o", "doc_id", "documents", 80)}, keyed AS (SELECT id, list_sort(s) AS k, len(s) AS n_shingles FROM o_s WHERE len(s) >= 18)
+    SELECT id, min(id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS n_members, n_shingles FROM keyed"""
+)
+def shingle_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with equal sets of shingles, folded: of each document its class, the class's size and how many shingles it has."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    members, sets = relations.shingle_classes(texts, "id", "text", 80)
+    classes = members.groupBy("set_id").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
+    sizes = sets.groupBy(F.col("id").alias("set_id")).agg(F.count(F.lit(1)).alias("n_shingles"))
+    return members.join(classes.join(sizes, "set_id"), "set_id").select("id", "class_id", "n_members", "n_shingles")
+
+
 @query()
 def title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = lambda name, key: table(spark, sf_dir, name).select(F.concat(F.lit(name + "-"), F.col(key)).alias("id"), F.substring_index("text", "\n", 1).alias("title"))

@@ -248,6 +248,26 @@ def test_relations(spark):
     assert cjk[0] == "開放資料" and len(cjk) == 10
 
 
+def test_copies_are_members_and_no_pairs(spark):
+    """5,000 equal texts: 5,000 rows of membership, one pair of their set with itself, one each way with a near copy; ranked lists are as those of all pairs."""
+    words = [f"word{i}" for i in range(60)]
+    same, near = " ".join(words), " ".join(words[:50] + ["other"] * 3)
+    rows = [(i, same) for i in range(5000)] + [(5000, near), (5001, "  " + same + " ")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    pairs, members, _ = relations.related_classes(df, df)
+    assert pairs.count() == 4 and members.count() == 5002 and members.select("set_id").distinct().count() == 2
+    few = spark.createDataFrame(rows[4990:], "id int, text string")
+    ranked = {(x.probe, x.other, x.rank) for x in relations.text_relations(few, few, most=3).collect()}
+    every = relations.text_relations(few, few, most=None).collect()
+    order = {"full-source": 0, "subset": 1, "related": 2}
+    want = set()
+    for probe in range(4990, 5002):
+        best = sorted((x for x in every if x.probe == probe), key=lambda x: (order[x.relation], -x.score, x.other))
+        assert len(best) == 11
+        want |= {(probe, x.other, k) for k, x in enumerate(best[:3], 1)}
+    assert ranked == want
+
+
 def test_titles_equal_all_pairs(spark):
     from difflib import SequenceMatcher
 
