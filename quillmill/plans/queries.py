@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from quillmill.functions.dates import first_date
 from quillmill.functions.text import extract_identifiers, infer_language, stable_id
 from quillmill.functions.urls import loose_url_key, normalize_url
-from quillmill.operators import checks, claims, health, ingest, licences, listings, markdown, pages, relations, summaries, triage
+from quillmill.operators import checks, claims, health, history, ingest, licences, listings, markdown, pages, relations, summaries, triage
 from quillmill.plans.views import CONFIG, ITEMS_SQL, NOW, OUTCOMES_SQL, SOURCES_SQL, TASTE, TODAY, entries, items, outcomes, sources, table
+from quillmill.plans.working import shared_dir
 from quillmill.sources.feeds import explode_feeds
 from quillmill.streaming.jobs import rolling_outcomes
 
@@ -605,6 +607,86 @@ def homepage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.homepage_order(groups, listings.reader_order()).select("id", "group_no")
 
 
+ORACLE_SQL["rolling_from_daily"] = ORACLE_SQL["rolling_source_outcomes"]
+
+
+def rolling_from_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of rolling_source_outcomes from counts by day, as two batches left them; the second has what came late."""
+    path, o = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}", outcomes(spark, sf_dir)
+    late = F.pmod(F.xxhash64("source_id", "at"), F.lit(10)) == 0
+    history.add_daily(o.filter(~late), path, 0)
+    history.add_daily(o.filter(late), path, 1)
+    return history.rolling_from_daily(spark.read.parquet(path))
+
+
+QUERIES["rolling_from_daily"] = rolling_from_daily
+
+
+@query(
+    f"""WITH raw AS (SELECT page_id, url FROM pages), {URL_SQL}, old AS (SELECT 'url:' || normalized AS key, DATE '{TODAY}' - (page_id % 60)::INT AS day FROM norm WHERE page_id % 3 = 0),
+    asked AS (SELECT DISTINCT 'url:' || normalized AS key FROM norm WHERE page_id % 2 = 0) SELECT key FROM asked WHERE key IN (SELECT key FROM old WHERE day >= DATE '{TODAY}' - 30)"""
+)
+def keys_in_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which addresses of every second page are in the history of the last thirty days, which every third page went into by day; found by the filters of its days."""
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    p = table(spark, sf_dir, "pages").select("page_id", F.array(F.concat(F.lit("url:"), normalize_url("url"))).alias("keys"))
+    old = p.filter("page_id % 3 = 0").withColumn("at", F.date_sub(F.lit(TODAY).cast("date"), (F.col("page_id") % 60).cast("int")).cast("timestamp"))
+    history.add_to_history(old, path, 0)
+    since = F.date_sub(F.lit(TODAY).cast("date"), 30).cast("timestamp")
+    return history.known_keys(spark, path, history.history_schema(old), p.filter("page_id % 2 = 0").select(F.explode("keys").alias("key")), since)
+
+
+@query(
+    """WITH lab AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)
+    SELECT d.doc_id AS id, CASE WHEN lab.doc_id IS NULL THEN source ELSE 'labelled-' || quality END AS part, lang FROM documents d LEFT JOIN lab ON d.doc_id = lab.doc_id"""
+)
+def upserted_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in partitions by source; labelled ones move to partitions of their quality, and only touched partitions are written. Done twice, which changes nothing."""
+    path = f"{shared_dir(spark)}/upserted-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("part"), "lang")
+    d.repartition("part").write.partitionBy("part").parquet(path)
+    lab = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
+    changes = d.drop("part").join(lab, "id").select("id", F.concat(F.lit("labelled-"), "quality").alias("part"), "lang")
+    for _ in range(2):
+        history.upsert_partitions(spark, path, changes)
+    return spark.read.schema(changes.schema).parquet(path)
+
+
+@query(
+    f"""WITH {ITEMS_SQL} SELECT id, CASE WHEN outcome = 'rejected' THEN 'archived' ELSE 'kept' END AS goes_to, CASE WHEN outcome = 'rejected' THEN 'parked' ELSE status END AS status,
+        CASE WHEN outcome = 'rejected' THEN '{NOW}' END AS archived_at FROM items"""
+)
+def archived_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items decided as rejected, moved to the archive."""
+    kept, archived = ingest.archive_split(items(spark, sf_dir), NOW)
+    both = kept.withColumn("goes_to", F.lit("kept")).withColumn("archived_at", F.lit(None).cast("string")).unionByName(archived.withColumn("goes_to", F.lit("archived")), allowMissingColumns=True)
+    return both.select("id", "goes_to", "status", "archived_at")
+
+
+@query(
+    """WITH lab AS (SELECT doc_id FROM labels GROUP BY doc_id), there AS (SELECT doc_id AS id, doc_id AS place, 'there' AS source FROM documents WHERE doc_id % 2 = 0), moved AS (SELECT doc_id AS id, doc_id * 10 AS place, 'moved' AS source FROM lab)
+    SELECT coalesce(m.id, t.id) AS id, coalesce(t.place, m.place) AS place, coalesce(m.source, t.source) AS source FROM there t FULL JOIN moved m ON t.id = m.id"""
+)
+def merged_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of every second document, with all labelled ones moved in: they replace those of their id, at the place these had."""
+    there = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("place"), F.lit("there").alias("source"))
+    moved = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct().select("id", (F.col("id") * 10).alias("place"), F.lit("moved").alias("source"))
+    return ingest.merge_first_seen(there, moved, "place").select("id", "place", "source")
+
+
+@query(
+    TRIAGE_SQL
+    + """, again AS (SELECT *, doc_id % 5 = 0 AND track = 'open' AND NOT contains(hay, 'standing') AS changed FROM triaged), told AS (SELECT *, k OR changed AS k2 FROM again)
+    SELECT id, changed, CASE WHEN changed THEN 't2' ELSE 't1' END AS generated_at,
+        CASE WHEN s AND m AND NOT k2 THEN 'suggest-ask' WHEN s THEN 'suggest-skip' WHEN k2 THEN 'suggest-keep' WHEN m THEN 'suggest-ask' ELSE 'suggest-skip' END AS recommendation FROM told"""
+)
+def retriaged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items triaged, then once more after every fifth got a wanted word in its title: who had it already keeps the time of before."""
+    first = triage.retriage(items(spark, sf_dir), CONFIG, "t1").drop("changed")
+    renamed = first.withColumn("title", F.when(F.col("doc_id") % 5 == 0, F.concat_ws(" ", F.lit("standing"), "title")).otherwise(F.col("title")))
+    return triage.retriage(renamed, CONFIG, "t2").select("id", "changed", "triage.generated_at", "triage.recommendation")
+
+
 @query("SELECT DISTINCT unnest([source, lang]) AS tag FROM documents")
 def tag_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.tag_union(items(spark, sf_dir))

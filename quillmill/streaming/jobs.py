@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
 
+from quillmill.operators.history import FILTERS, add_daily, add_to_history, history_schema, known_keys
 from quillmill.operators.ingest import new_entries
 from quillmill.operators.triage import Keywords, triage
 from quillmill.plans.working import swept
@@ -23,23 +23,30 @@ def dedup_stream(entries: DataFrame, key: str = "key", at: str = "at", lookback:
 def dedup_to_table(entries: DataFrame, path: str, checkpoint: str, order: list[str], at: str = "at", days: int = 90):  # noqa: ANN201
     """Starts a query that adds the new ones of a stream of entries to a table, by all their keys (a column `keys`, see entry_keys).
 
-    A batch is held against itself, in `order`, and against what earlier batches added within so many days before its newest entry. The batch id
-    is a partition: a batch that runs again is not held against what it added before, and overwrites it. The table is read once a batch.
+    A batch is held against itself, in `order`, and against what earlier batches added within so many days before its newest entry. The table is partitioned by batch and day: a
+    batch that runs again is not held against what it added before, and overwrites it. Of the table a batch reads the days whose filters some of its keys pass (see add_to_history).
     """
-    schema = StructType([*entries.schema.fields, StructField("batch", LongType())])
-    entries.sparkSession.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(path)
+    schema = history_schema(entries)
+    spark = entries.sparkSession
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("batch", "day").parquet(path)
+    spark.createDataFrame([], "bitmap int, bits binary, batch long, day date").write.mode("append").partitionBy("batch", "day").parquet(f"{path}/{FILTERS}")
 
     def save(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         newest = batch.agg(F.max(at)).first()[0]
-        known = spark.read.schema(schema).parquet(path).filter((F.col("batch") < number) & (F.col(at) >= F.lit(newest) - F.expr(f"interval {int(days)} days")))
-        with swept(spark):
-            new = new_entries(batch, known.select(F.explode("keys").alias("key")), order).filter("entry_outcome = 'new'").drop("entry_outcome")
-            new.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        since = F.lit(newest) - F.expr(f"interval {int(days)} days")
+        with swept(batch.sparkSession):
+            known = known_keys(batch.sparkSession, path, schema, batch.select(F.explode("keys").alias("key")), since, number, at)
+            new = new_entries(batch, known, order).filter("entry_outcome = 'new'").drop("entry_outcome")
+            add_to_history(new, path, number, at)
 
     return entries.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def daily_to_table(facts: DataFrame, path: str, checkpoint: str, at: str = "at"):  # noqa: ANN201
+    """Starts a query that adds the counts by day of a stream of facts to a table (see add_daily and rolling_from_daily), with no state and no watermark."""
+    return facts.writeStream.foreachBatch(lambda batch, number: add_daily(batch, path, number, at)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def rolling_outcomes(facts: DataFrame, at: str = "at", length: str = "30 days", step: str = "1 day", late: str = "2 days") -> DataFrame:
     """Accepted, rejected and pending records by source in sliding windows; works on streams and, without the watermark's effect, on tables."""
     count = lambda o: F.count_if(F.col("outcome") == o).alias(o)
