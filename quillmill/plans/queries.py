@@ -12,25 +12,12 @@ from quillmill.functions.dates import first_date
 from quillmill.functions.text import extract_identifiers, infer_language, stable_id
 from quillmill.functions.urls import loose_url_key, normalize_url
 from quillmill.operators import checks, claims, health, history, ingest, licences, listings, markdown, pages, relations, summaries, triage
+from quillmill.plans.registry import ORACLE_SQL, QUERIES, query
 from quillmill.plans.views import CONFIG, ITEMS_SQL, NOW, OUTCOMES_SQL, SOURCES_SQL, TASTE, TODAY, entries, items, outcomes, sources, table
 from quillmill.plans.working import shared_dir
 from quillmill.sources.feeds import explode_feeds
 from quillmill.streaming.jobs import rolling_outcomes
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _any(terms: tuple[str, ...], column: str = "hay") -> str:
     return "(" + " OR ".join(f"contains({column}, '{t}')" for t in terms) + ")" if terms else "FALSE"
 
