@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import clean_text, fold, split_sentences, strip, text, title_terms
+from quillmill.functions.text import clean_text, fold, let, split_sentences, strip, text, title_terms
+from quillmill.plans.working import stored
 
 # Phrases of page furniture, and words that mark sentences of substance.
 BOILERPLATE = (
@@ -80,6 +81,44 @@ def best_text(fields: list[tuple[str, str]], least: int = 1) -> Column:
     return F.coalesce(*picked, F.struct(F.lit("").alias("text"), F.lit("none").alias("basis")))
 
 
+def existing_text(fields: list[Column], without: str | None = None, most: int = 12_000) -> Column:
+    """What several fields say, one after another with an empty line between: each cleaned and clipped to 4,000 characters, those that begin like an earlier one (500 characters, without case)
+    left out, as are those that hold the phrase `without`. Nulls count as empty."""
+    good = lambda v: (v != "") & (~F.contains(v, F.lit(without)) if without else F.lit(True))
+    values = F.filter(F.array(*[clean_text(c, limit=4000) for c in fields]), good)
+
+    def unlike(own: Column) -> Column:
+        keys = F.transform(own, lambda v: fold(clean_text(F.substring(v, 1, 500))))
+        return let(keys, lambda k: F.filter(own, lambda v, i: (F.get(k, i) != "") & (F.array_position(k, F.get(k, i)) == i + 1)))
+
+    return clean_text(F.array_join(let(values, unlike), "\n\n"), limit=most)
+
+
+def enrich(items: DataFrame, page_texts: DataFrame, fields: list[Column], now: str, id_col: str = "id", title_col: str = "title", url_col: str = "url", keywords_col: str | None = None, least: int = 280) -> DataFrame:
+    """items with `article_enrichment`: status, fetched_at, source_url, final_url, text_chars, used_original_url_text, extraction_method, summary_sentences, error.
+
+    page_texts (id, article_text, method, final_url, error) is what fetched pages gave, a row for each at most. A text of `least` characters that doesn't begin with a login is used; else what the
+    item's own fields say. status tells why: ok, fallback-short-extraction, fallback-fetch-error (no page, or one with an error), fallback-existing-summary (no address). Ids of items are unique.
+    """
+    p = page_texts.select(F.col("id").alias("__id"), F.struct(text("article_text").alias("article_text"), "method", text("final_url").alias("final_url"), text("error").alias("error")).alias("__page"))
+    s = items.join(p, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    linked, failed = text(url_col).rlike("^https?://"), F.col("__page").isNull() | (F.col("__page.error") != "")
+    body = F.col("__page.article_text")
+    whole = (F.length(body) >= least) & ~F.contains(fold(F.substring(body, 1, 400)), F.lit("login"))
+    status = F.when(~linked, "fallback-existing-summary").when(failed, "fallback-fetch-error").when(whole, "ok").otherwise("fallback-short-extraction")
+    s = stored(s.withColumn("__status", status).withColumn("__text", F.when(F.col("__status") == "ok", body).otherwise(existing_text(fields))), "enrichment")
+    best = summarize(s, id_col, "__text", title_col, keywords_col).select(F.col("id").alias("__id"), "sentences")
+    s = s.join(best, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    fetched = linked & ~failed
+    error = F.when(~linked, "no address to fetch").when(failed, F.coalesce(F.nullif("__page.error", F.lit("")), F.lit("not fetched"))).when(F.col("__status") == "ok", "").otherwise("the page gives too little text")
+    record = F.struct(
+        F.col("__status").alias("status"), F.lit(now).alias("fetched_at"), text(url_col).alias("source_url"), F.when(fetched, F.col("__page.final_url")).otherwise("").alias("final_url"), F.length("__text").alias("text_chars"),
+        (F.col("__status") == "ok").alias("used_original_url_text"), F.when(fetched, F.col("__page.method")).otherwise("existing-summary").alias("extraction_method"),
+        F.coalesce("sentences", F.array().cast("array<string>")).alias("summary_sentences"), error.alias("error"),
+    )
+    return s.withColumn("article_enrichment", record).select(*items.columns, "article_enrichment")
+
+
 def reading_reasons(sentences_col: str, keywords: Column, topic: Column) -> Column:
     """Always three reasons: from the summary's sentences, then the matched keywords, then the topic."""
     labels = F.array(F.lit("subject"), F.lit("context"), F.lit("value"))

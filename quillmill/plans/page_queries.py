@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.operators import pages
-from quillmill.plans.registry import query
-from quillmill.plans.views import TODAY, table
+from quillmill.operators import pages, summaries
+from quillmill.plans.registry import ORACLE_SQL, query
+from quillmill.plans.views import NOW, TODAY, table
 from quillmill.sources.feeds import explode_feeds
 
 _BLOCK = "|".join(f"<{t}\\b[^>]*>.*?</{t}>" for t in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote"))
@@ -108,3 +108,26 @@ def feed_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = F.array_join(F.transform("entries", lambda e: e["entry"]), "")
     docs = feeds.select("source_id", F.when(F.col("source_id") % 2 == 0, _xml("feed", inside)).otherwise(_xml("rdf:RDF", inside)).alias("xml"))
     return explode_feeds(docs).select("source_id", "pos", "title", "url", "guid", "author", "published_at", F.get("tags", F.lit(0)).alias("tag"))
+
+
+_OWN = r"trim(regexp_replace(regexp_replace(coalesce(%s, ''), '[ \t\r\f\x0B]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+@query(
+    f"""WITH bodies AS ({ORACLE_SQL["article_bodies"]}), d AS (SELECT doc_id, {_OWN % "split_part(text, chr(10), 1)"} AS a0, {_OWN % "text"} AS b0 FROM documents),
+    c AS (SELECT doc_id, CASE WHEN length(a0) > 4000 THEN rtrim(substr(a0, 1, 4000)) || '...' ELSE a0 END AS a, CASE WHEN length(b0) > 4000 THEN rtrim(substr(b0, 1, 4000)) || '...' ELSE b0 END AS b FROM d),
+    own AS (SELECT doc_id, CASE WHEN a = '' OR lower({_OWN % "substr(a, 1, 500)"}) = lower({_OWN % "substr(b, 1, 500)"}) THEN CASE WHEN a = '' THEN b ELSE a END WHEN b = '' THEN a ELSE a || chr(10) || chr(10) || b END AS t FROM c),
+    s AS (SELECT o.doc_id, t, article_text, method, CASE WHEN o.doc_id % 11 = 0 THEN 'fallback-existing-summary' WHEN id IS NULL OR id % 7 = 0 THEN 'fallback-fetch-error'
+        WHEN length(article_text) >= 280 AND NOT contains(lower(substr(article_text, 1, 400)), 'login') THEN 'ok' ELSE 'fallback-short-extraction' END AS status FROM own o LEFT JOIN bodies ON id = o.doc_id)
+    SELECT doc_id AS id, status, status = 'ok' AS used_original_url_text, CASE WHEN status IN ('ok', 'fallback-short-extraction') THEN method ELSE 'existing-summary' END AS extraction_method,
+        CASE WHEN status = 'ok' THEN length(article_text) ELSE length(t) END::INT AS text_chars,
+        CASE status WHEN 'ok' THEN '' WHEN 'fallback-existing-summary' THEN 'no address to fetch' WHEN 'fallback-short-extraction' THEN 'the page gives too little text' ELSE CASE WHEN article_text IS NULL THEN 'not fetched' ELSE 'HTTP 404' END END AS error FROM s"""
+)
+def enriched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with the texts of the pages of their number: some have no address, some no page, and every seventh page failed."""
+    title = F.substring_index("text", "\n", 1)
+    url = F.when(F.col("doc_id") % 11 == 0, "by mail").otherwise(F.concat(F.lit("https://example.org/"), "doc_id"))
+    d = table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), F.col("text").alias("summary"), url.alias("url"))
+    p = pages.article_text(table(spark, sf_dir, "pages")).select("id", "article_text", "method", F.concat(F.lit("https://example.org/"), "id").alias("final_url"), F.when(F.col("id") % 7 == 0, "HTTP 404").alias("error"))
+    out = summaries.enrich(d, p, [F.col("title"), F.col("summary")], NOW, "doc_id")
+    return out.select(F.col("doc_id").alias("id"), *[f"article_enrichment.{c}" for c in ("status", "used_original_url_text", "extraction_method", "text_chars", "error")])

@@ -123,6 +123,23 @@ def editorial_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", *[f"editorial_triage.{c}" for c in ("recommendation", "confidence", "content_kind", "keyword_score", "prior_score", "deletion_score", "taste_score", "upgrade")])
 
 
+@query(
+    EDITORIAL_SQL.rpartition("SELECT id, decision")[0]
+    + f"""SELECT id, CASE decision WHEN 'suggest-collect' THEN 'collect' WHEN 'suggest-review' THEN 'have a look' WHEN 'suggest-skip' THEN 'skip' ELSE 'ask first: a beat or a mechanism' END AS recommendation_label,
+        CASE content_kind WHEN 'featured-article' THEN 'a featured article' WHEN 'small-news' THEN 'plain news' ELSE 'for a person to judge' END AS content_kind_label,
+        CASE WHEN nk > 0 THEN array_to_string(({_per_track("keep", lambda terms: f"list_filter({list(terms)}, lambda x : contains(hay, x))")})[1:4], ', ') ELSE concat_ws(', ', source_id, lang) END AS topic,
+        CASE WHEN decision = 'suggest-skip' AND deletion_score > 0 THEN 'like what was turned down before' WHEN decision = 'suggest-skip' THEN 'too few terms and too unlike what was collected'
+            WHEN content_kind = 'small-news' THEN 'fits the track or the collection; may be small news' ELSE 'fits the track or the collection; may be featured' END AS summary_reason,
+        CASE WHEN decision = 'suggest-skip' THEN 'turn it down and note why, unless someone adds a view' WHEN content_kind = 'small-news' THEN 'check the facts; if it is only short news, send it in' ELSE 'look at it; if it is worth it, find an angle and edit' END AS next_step
+    FROM final"""
+)
+def explained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Editorial decisions in words: what an item is about, why, and what to do next."""
+    own = triage.triage(items(spark, sf_dir), CONFIG)
+    out = triage.editorial_triage(own, triage.history_profile(own), CONFIG, TASTE, drafts=own.filter(triage.outcome() == "collected"), today=TODAY)
+    return triage.explained(out).select("id", *[f"explanation.{c}" for c in ("recommendation_label", "content_kind_label", "topic", "summary_reason", "next_step")])
+
+
 @query(TRIAGE_SQL + " SELECT source_id, recommendation, outcome, count(*) AS n_items FROM triaged WHERE (recommendation = 'suggest-keep' AND outcome = 'rejected') OR (recommendation = 'suggest-skip' AND outcome = 'collected') GROUP BY ALL")
 def decision_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.decision_divergence(triage.triage(items(spark, sf_dir), CONFIG), "source_id")

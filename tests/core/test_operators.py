@@ -373,6 +373,35 @@ def test_markdown(spark):
     assert {(r.title, r.skip_reason) for r in links.collect()} == {("S", "index page"), ("C", None), ("A", "author page")}
 
 
+def test_existing_texts_are_merged_once(spark):
+    long = "x y " * 200
+    df = spark.createDataFrame([("Title", " title ", long + "a", long + "b", "not available: none"), (None, "", None, "b", None)], "a string, b string, c string, d string, e string")
+    got = [x.v for x in df.select(summaries.existing_text([F.col(c) for c in "abcde"], "not available").alias("v")).collect()]
+    assert got == ["Title\n\n" + long + "a", "b"]
+
+
+def test_enrichment_tells_where_a_text_is_from(spark):
+    body = " ".join(f"Sentence number {i} of the body tells about open data in the city." for i in range(9))
+    items = spark.createDataFrame([(1, "T", "own summary", "https://a"), (2, "T", "own summary", "https://b"), (3, "T", "own summary", "https://c"), (4, "T", "own summary", "ftp:d"), (5, "T", "own summary", "https://e"), (6, None, None, None)], "id int, title string, summary string, url string")
+    pages_ = spark.createDataFrame([(1, body, "semantic-block", "https://a/x", None), (2, "short", "all-paragraphs", "https://b", ""), (3, "", "none", "", "timeout"), (5, "Login here. " + body, "semantic-block", "https://e", "")], "id int, article_text string, method string, final_url string, error string")
+    out = {x.id: x.article_enrichment for x in summaries.enrich(items, pages_, [F.col("title"), F.col("summary")], "now").collect()}
+    assert {i: x.status for i, x in out.items()} == {1: "ok", 2: "fallback-short-extraction", 3: "fallback-fetch-error", 4: "fallback-existing-summary", 5: "fallback-short-extraction", 6: "fallback-existing-summary"}
+    assert out[1].used_original_url_text and out[1].text_chars == len(body) and len(out[1].summary_sentences) == 3 and out[1].final_url == "https://a/x"
+    assert out[2].text_chars == len("T\n\nown summary") and out[2].extraction_method == "all-paragraphs" and out[3].error == "timeout" and out[3].extraction_method == "existing-summary"
+    assert out[6].text_chars == 0 and out[6].summary_sentences == []
+
+
+def test_explanations(spark):
+    t = "struct<matched_keywords: array<string>>"
+    e = "struct<content_kind: string, recommendation: string, deletion_score: int>"
+    rows = [("1", "open", "Title", "First one. Second one.", None, (["a", "b", "c", "d", "e"],), ("small-news", "suggest-review", 0)), ("2", "x", "標題", "English only. More.", ["t1", "t2", "t3", "t4"], ([],), ("needs-review", "suggest-skip", 2)), ("3", "open", None, "第一句。第二句！第三句。", [], ([],), ("featured-article", "suggest-skip", 0))]
+    df = spark.createDataFrame(rows, f"id string, track string, title string, summary string, tags array<string>, triage {t}, editorial_triage {e}")
+    got = {x.id: x.explanation for x in triage.explained(df, {"open": "Open things"}).collect()}
+    assert [got[k].topic for k in "123"] == ["a, b, c, d", "t1, t2, t3", "Open things"]
+    assert got["1"].summary_text == "Title\nabout a, b, c, d; it seems plain news. First clue: First one." and got["2"].summary_text.startswith("標題\nabout t1, t2, t3; it seems for a person to judge. Its summary is not")
+    assert got["3"].summary_text == "untitled\n第一句。第二句！" and got["2"].summary_reason.startswith("like") and got["3"].summary_reason.startswith("too few") and got["1"].next_step.startswith("check")
+
+
 def test_rewritten_columns_equal_the_plain_version(spark):
     r = random.Random(9)
     lines = ["- a", "* b  b", "1. one", "12) x", "-nolist", "> q", ">q2", "| x | y |", "|---|:-:|", "--- | ---", "|open", "```", "```python", "~~~", "text of a line", "  indented", "\t", "", "# Head", "-----", "![i](u)", "a\x07b", "\u3000wide\u3000", "`c`"]
