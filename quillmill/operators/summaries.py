@@ -2,35 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import clean_text, fold, let, split_sentences, strip, text, title_terms
+from quillmill.functions.text import blanks, clean_text, clip, fold, has_cjk, let, squeeze, strip, text, title_terms
 from quillmill.plans.working import stored
 
-# Phrases of page furniture, and words that mark sentences of substance.
+# Phrases of page furniture, signs of addresses, of notes and of source lines, and words that mark sentences of substance.
 BOILERPLATE = (
     "cookie", "privacy policy", "terms of use", "subscribe", "newsletter", "advertisement", "recommended", "related posts", "share this", "all rights reserved",
     "登入", "註冊", "訂閱", "廣告", "推薦閱讀", "相關文章", "分享此文", "版權所有", "隱私權", "圖片來源", "資料來源", "延伸閱讀",
 )
+ADDRESSES = ("http://", "https://", "www.")
+NOTE, NUMBERED, SOURCE = r"^[(（]?(註|注)\s*\d*", r"^\d+[.、]\s*", "歌詞|頁|出版|來源|ISBN|作者|譯者"
 CUES = ("open source", "open data", "governance", "privacy", "security", "dataset", "research", "report")
 
 
 def is_low_value(sentence: Column) -> Column:
-    """Page furniture, addresses, notes and source lines."""
+    """Page furniture, addresses, notes and source lines. Plain phrases are looked for one by one, which is cheaper than one pattern of them all."""
     low = fold(sentence)
+    phrases = [F.contains(low, F.lit(x)) for x in (*BOILERPLATE, *ADDRESSES)]
     colons = F.length(sentence) - F.length(F.translate(sentence, "：", ""))
-    return (
-        low.rlike("|".join(BOILERPLATE))
-        | sentence.rlike(r"(?i)https?://|www\.")
-        | sentence.rlike(r"^[(（]?(註|注)\s*\d*")
-        | (sentence.rlike(r"^\d+[.、]\s*") & sentence.rlike("歌詞|頁|出版|來源|ISBN|作者|譯者"))
-        | ((colons >= 4) & (F.length(sentence) > 180))
-    )
+    return reduce(Column.__or__, phrases) | sentence.rlike(NOTE) | (sentence.rlike(NUMBERED) & sentence.rlike(SOURCE)) | ((F.length(sentence) > 180) & (colons >= 4))
 
 
 def sentences(x: Column | str) -> Column:
-    return F.filter(split_sentences(clean_text(x, "block"), 30, 700), lambda s: ~is_low_value(s))
+    """The sentences of a text of 30 characters or more that are of some value, at most 700 of each. The text is cleaned once, and only as far as it has references or tags; what is cleaned needs no more of it by sentence."""
+    t = text(x)
+    marked = F.contains(t, F.lit("<")) | F.contains(t, F.lit("&"))
+    plain = squeeze(F.regexp_replace(blanks(t, r"\t\r\f\x0B"), r"(?U)\n\s+", "\n"))
+    cut = lambda c: F.when(has_cjk(c), F.split(c, r"(?<=[。！？!?])\s*|\n+")).otherwise(F.split(c, r"(?<=[.!?])\s+|\n+"))
+    whole = let(F.when(marked, clean_text(x, "block")).otherwise(plain), cut)
+    long = F.filter(F.transform(whole, lambda s: clip(strip(s), 700)), lambda s: F.length(s) >= 30)
+    return F.filter(long, lambda s: ~is_low_value(s))
 
 
 def sentence_score(sentence: Column, index: Column, keywords: Column, terms: Column, cues: tuple[str, ...] = CUES) -> Column:
