@@ -38,25 +38,35 @@ def _shingles(clean: Column) -> Column:
     return let(fold(clean), of)
 
 
-def shingle_sets(texts: DataFrame, id_col: str, text_col: str, least_chars: int = 0) -> DataFrame:
-    """(id, set_id, shingles) of the texts of least_chars with enough shingles; equal sets have equal set_id. The gates stand within one expression, so that no filter computes the shingles again."""
-    enough = lambda s: F.when(F.size(s) >= LEAST_SHINGLES, F.array_sort(s))
-    rows = let(clean_text(text_col, "document"), lambda c: F.when(F.length(c) >= least_chars, let(_shingles(c), enough)))
-    sets = texts.select(F.col(id_col).alias("id"), rows.alias("shingles")).withColumn("set_id", F.sha1(F.array_join("shingles", "\n").cast("binary")))
-    return sets.filter("shingles is not null").select("id", "set_id", "shingles")
+def _gated(text_col: str, least_chars: int) -> Column:
+    """The shingles of a text of least_chars with enough of them, else null; within one expression, so that no filter computes the shingles again."""
+    enough = lambda s: F.when(F.size(s) >= LEAST_SHINGLES, s)
+    return let(clean_text(text_col, "document"), lambda c: F.when(F.length(c) >= least_chars, let(_shingles(c), enough)))
 
 
 def shingle_table(texts: DataFrame, id_col: str, text_col: str, least_chars: int = 0) -> DataFrame:
     """(id, n, shingle) of the texts of least_chars with enough shingles; n is how many the text has."""
-    return shingle_sets(texts, id_col, text_col, least_chars).select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    own = texts.select(F.col(id_col).alias("id"), _gated(text_col, least_chars).alias("s")).filter("s is not null")
+    return own.select("id", F.size("s").alias("n"), F.explode("s").alias("shingle"))
 
 
-def shingle_classes(texts: DataFrame, id_col: str, text_col: str, least_chars: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Texts folded by equal shingle sets: members (id, set_id), a row for each text, and sets (id, n, shingle), where id is the set's."""
-    whole = stored(shingle_sets(texts, id_col, text_col, least_chars), "shingle-sets")
-    one = whole.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
-    sets = one.select(F.col("set_id").alias("id"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    return whole.select("id", "set_id"), sets
+def shingle_classes(texts: DataFrame, id_col: str, text_col: str, least_chars: int = 0, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Texts folded by equal shingle sets: members (id, set_id, n), a row for each text, and sets (id, n, shingle), where id is the set's and shingles are 64-bit hashes.
+
+    Shingles are computed once and written as sorted hashes, 8 bytes each; sets are equal if their sizes and 128 bits of hash are. Of each set one row is read again; only keys are grouped. Set ids hold
+    for this table alone. With `among` (shingle) only shingles that it has are given, so whole sets of a large table never move.
+    """
+    hashes = let(_gated(text_col, least_chars), lambda s: F.array_sort(F.transform(s, lambda x: F.xxhash64(x))))
+    own = texts.select(F.col(id_col).alias("id"), hashes.alias("shingles")).filter("shingles is not null")
+    key = F.struct(F.size("shingles").alias("n"), F.xxhash64(F.lit(1), "shingles").alias("a"), F.xxhash64(F.lit(2), "shingles").alias("b"))
+    whole = stored(own.select("id", F.monotonically_increasing_id().alias("row"), key.alias("key"), "shingles"), "shingle-sets")
+    first = stored(whole.groupBy("key").agg(F.min("row").alias("set_id")), "shingle-classes")
+    members = whole.select("id", "key").join(first, "key").select("id", "set_id", "key.n")
+    flat = lambda df: df.select(F.col("row").alias("id"), "key.n", F.explode("shingles").alias("shingle"))
+    if among is None:
+        return members, flat(whole.join(first.select(F.col("set_id").alias("row")), "row", "left_semi"))
+    few = flat(whole).join(among.select("shingle").distinct(), "shingle", "left_semi")
+    return members, few.join(first.select(F.col("set_id").alias("id")), "id", "left_semi")
 
 
 def overlaps(probes: DataFrame, others: DataFrame, common: int = 100, own: bool = False) -> DataFrame:
@@ -66,7 +76,9 @@ def overlaps(probes: DataFrame, others: DataFrame, common: int = 100, own: bool
     of them with each; a text needs no more than its rarest ones beyond that share to meet its partners, so of common shingles the smaller text sends only
     those few it can't do without, usually none. All others join as they are, and what a pair shares of the common ones is counted from its two small sets.
     """
-    p, o = (stored(x, "shingles") for x in (probes, others))
+    p = stored(probes, "shingles")
+    # what no probe has can't be shared
+    o = stored(others if probes is others else others.join(p.select("shingle").distinct(), "shingle", "left_semi"), "shingles")
     hot = stored(p.select("shingle").unionAll(o.select("shingle")).groupBy("shingle").count().filter(F.col("count") > common), "common-shingles")
     p_cold, o_cold = (x.join(hot, "shingle", "left_anti") for x in (p, o))
     both = lambda a, b: a.select(F.col("id").alias("probe"), F.col("n").alias("n_probe"), "shingle").join(b.select(F.col("id").alias("other"), F.col("n").alias("n_other"), "shingle"), "shingle").filter(F.lit(own) | (F.col("probe") != F.col("other")))
@@ -99,11 +111,12 @@ def classify(pairs: DataFrame) -> DataFrame:
 
 
 def related_classes(probes: DataFrame, others: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Relations without copies: pairs of sets (probe, other: set_id, as classify gives them), and the members of both sides (id, set_id). Thousands of equal texts are one
-    set, that meets itself once; their pairs are what members say, and are not made."""
+    """Relations without copies: pairs of sets (probe, other: set_id of their side, as classify gives them), and the members of both sides (id, set_id). Thousands of equal texts are one
+    set, that meets its like on the other side once; their pairs are what members say, and are not made."""
     p_members, p_sets = shingle_classes(probes, id_col, text_col, 120)
-    o_members, o_sets = shingle_classes(others, id_col, text_col, 80)
-    return classify(overlaps(p_sets, o_sets, own=True)), p_members, o_members
+    p_sets = stored(p_sets, "shingles")
+    o_members, o_sets = shingle_classes(others, id_col, text_col, 80, p_sets)
+    return classify(overlaps(p_sets, o_sets, own=True)), p_members.drop("n"), o_members.drop("n")
 
 
 def text_relations(probes: DataFrame, others: DataFrame, id_col: str = "id", text_col: str = "text", most: int | None = 10) -> DataFrame:

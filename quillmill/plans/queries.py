@@ -344,10 +344,9 @@ QUERIES["ranked_relations"] = ranked_relations
 def shingle_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with equal sets of shingles, folded: of each document its class, the class's size and how many shingles it has."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    members, sets = relations.shingle_classes(texts, "id", "text", 80)
+    members, _ = relations.shingle_classes(texts, "id", "text", 80)
     classes = members.groupBy("set_id").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
-    sizes = sets.groupBy(F.col("id").alias("set_id")).agg(F.count(F.lit(1)).alias("n_shingles"))
-    return members.join(classes.join(sizes, "set_id"), "set_id").select("id", "class_id", "n_members", "n_shingles")
+    return members.join(classes, "set_id").select("id", "class_id", "n_members", F.col("n").cast("long").alias("n_shingles"))
 
 
 @query()
