@@ -66,7 +66,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     extra = stored(shared.select("digest", "id", "url", "bytes", "copies", "is_first", F.col("group.first.id").alias("first_id"), key.alias("key")), "shared-payloads")
     held = extra.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.when(F.col("is_first"), F.col("copies"))), F.lit(0)).alias("most")).first()
 
-    def fields(kind: Column, *more: Column) -> list[Column]:
+    def fields(*more: Column) -> list[Column]:
         address = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
         said = [("WARC-Record-ID: ", _urn(F.col("id"))), ("WARC-Date: ", F.lit(date)), ("WARC-Target-URI: ", address), ("WARC-Payload-Digest: sha1:", F.col("digest"))]
         return [F.concat(F.lit(k), v) for k, v in said] + [F.lit("Content-Type: application/http;msgtype=response"), *more]
@@ -79,11 +79,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         if held.most > 1:
             again = known.filter(F.col("is_first") & (F.col("copies") > 1)).groupBy("id", "url", "digest", "bytes").agg(F.first("payload").alias("payload"))
             alone = alone.unionByName(again)
-    response = _record("response", F.concat(_http(F.col("bytes")), F.col("payload").cast("string")), *fields("response"))
+    response = _record("response", F.concat(_http(F.col("bytes")), F.col("payload").cast("string")), *fields())
     others = F.col("copies") - F.col("is_first").cast("long")
     revisits = extra.withColumn("n", others).filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     pointer = [F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("first_id"))), F.lit(f"WARC-Profile: {PROFILE}")]
-    revisit = _record("revisit", _http(F.col("bytes")), *fields("revisit", *pointer))
+    revisit = _record("revisit", _http(F.col("bytes")), *fields(*pointer))
     records = alone.select(response.alias("value"))
     records = records.unionByName(revisits.select(revisit.alias("value"))) if held.n else records
     records.write.text(path, lineSep=END)
