@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.functions.text import WHITE
 from quillmill.operators import pages, summaries
 from quillmill.plans.registry import ORACLE_SQL, query
 from quillmill.plans.views import NOW, TODAY, table
@@ -110,13 +111,16 @@ def feed_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_feeds(docs).select("source_id", "pos", "title", "url", "guid", "author", "published_at", F.get("tags", F.lit(0)).alias("tag"))
 
 
-_OWN = r"trim(regexp_replace(regexp_replace(coalesce(%s, ''), '[ \t\r\f\x0B]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+# white space of any kind goes at the ends of texts, and where a text is cut, as the operators have it
+_WHITE = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITE) + ")"
+_OWN = rf"trim(regexp_replace(regexp_replace(coalesce(%s, ''), '[ \t\r\f\x0B]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_WHITE})"
+_KEY = f"replace(lower({_OWN % 'substr(%s, 1, 500)'}), 'ß', 'ss')"
 
 
 @query(
     f"""WITH bodies AS ({ORACLE_SQL["article_bodies"]}), d AS (SELECT doc_id, {_OWN % "split_part(text, chr(10), 1)"} AS a0, {_OWN % "text"} AS b0 FROM documents),
-    c AS (SELECT doc_id, CASE WHEN length(a0) > 4000 THEN rtrim(substr(a0, 1, 4000)) || '...' ELSE a0 END AS a, CASE WHEN length(b0) > 4000 THEN rtrim(substr(b0, 1, 4000)) || '...' ELSE b0 END AS b FROM d),
-    own AS (SELECT doc_id, CASE WHEN a = '' OR lower({_OWN % "substr(a, 1, 500)"}) = lower({_OWN % "substr(b, 1, 500)"}) THEN CASE WHEN a = '' THEN b ELSE a END WHEN b = '' THEN a ELSE a || chr(10) || chr(10) || b END AS t FROM c),
+    c AS (SELECT doc_id, CASE WHEN length(a0) > 4000 THEN rtrim(substr(a0, 1, 4000), {_WHITE}) || '...' ELSE a0 END AS a, CASE WHEN length(b0) > 4000 THEN rtrim(substr(b0, 1, 4000), {_WHITE}) || '...' ELSE b0 END AS b FROM d),
+    own AS (SELECT doc_id, CASE WHEN a = '' OR {_KEY % "a"} = {_KEY % "b"} THEN CASE WHEN a = '' THEN b ELSE a END WHEN b = '' THEN a ELSE a || chr(10) || chr(10) || b END AS t FROM c),
     s AS (SELECT o.doc_id, t, article_text, method, CASE WHEN o.doc_id % 11 = 0 THEN 'fallback-existing-summary' WHEN id IS NULL OR id % 7 = 0 THEN 'fallback-fetch-error'
         WHEN length(article_text) >= 280 AND NOT contains(lower(substr(article_text, 1, 400)), 'login') THEN 'ok' ELSE 'fallback-short-extraction' END AS status FROM own o LEFT JOIN bodies ON id = o.doc_id)
     SELECT doc_id AS id, status, status = 'ok' AS used_original_url_text, CASE WHEN status IN ('ok', 'fallback-short-extraction') THEN method ELSE 'existing-summary' END AS extraction_method,
