@@ -37,8 +37,8 @@ def strip(x: Column) -> Column:
 
 
 def blanks(x: Column, of: str) -> Column:
-    """Each run of blanks (of: characters besides the space) as one space. A space alone is no match, so ordinary text is copied in long pieces."""
-    return F.regexp_replace(x, f"[{of}][ {of}]*| [ {of}]+", " ")
+    """Each run of blanks (of: characters besides the space) as one space. A space alone is no match, so ordinary text stays as it is."""
+    return let(x, lambda t: F.when(F.contains(t, F.lit("  ")) | t.rlike(f"[{of}]"), F.regexp_replace(t, f"[{of}][ {of}]*| [ {of}]+", " ")).otherwise(t))
 
 
 def rstrip(x: Column) -> Column:
@@ -101,12 +101,17 @@ def clean_text(x: Column | str, mode: str = "plain", limit: int | None = None) -
         return clip(strip(F.regexp_replace(t, "\n{3,}", "\n\n")), limit)
     if mode in ("feed", "page", "block"):
         dropped = "script|style|svg|noscript|iframe|form|nav|footer|header" if mode == "block" else "script|style"
-        t = F.regexp_replace(t, rf"(?is)<({dropped}).*?</\1>", " ")
-        if mode != "page":
-            t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
-            t = F.regexp_replace(t, r"(?i)</(p|div|li|h[1-6]|blockquote|section|article)>" if mode == "block" else r"(?i)</p>", "\n")
-        t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
-        t = F.regexp_replace(blanks(t, r"\t\r\f\x0B"), r"(?U)\n\s+", "\n")
+
+        def untagged(t: Column) -> Column:
+            t = F.regexp_replace(t, rf"(?is)<({dropped}).*?</\1>", " ")
+            if mode != "page":
+                t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
+                t = F.regexp_replace(t, r"(?i)</(p|div|li|h[1-6]|blockquote|section|article)>" if mode == "block" else r"(?i)</p>", "\n")
+            return F.regexp_replace(t, r"(?s)<[^>]+>", " ")
+
+        # only a text with tags is read for them; runs of blanks and empty lines are gone after the last step, so nothing is left to squeeze
+        t = let(t, lambda t: F.when(F.contains(t, F.lit("<")), untagged(t)).otherwise(t))
+        return clip(strip(F.regexp_replace(blanks(t, r"\t\r\f\x0B"), r"(?U)\n\s+", "\n")), limit)
     return squeeze(t, limit, returns=mode != "document")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.dates import parse_any_date
-from quillmill.functions.text import clean_text, text
+from quillmill.functions.text import clean_text, let, text
 
 _TEXT = "struct<_VALUE:string>"
 RSS = """struct<channel:struct<item:array<struct<title:string,link:array<string>,guid:string,creator:string,`dc:creator`:string,author:string,pubDate:string,published:string,
@@ -26,7 +26,7 @@ def repair_xml(x: Column | str) -> Column:
 
 
 def _first(*choices: Column) -> Column:
-    return F.coalesce(*[F.when(c != "", c) for c in choices], F.lit(""))
+    return F.coalesce(*[let(c, lambda v: F.when(v != "", v)) for c in choices], F.lit(""))
 
 
 def explode_feeds(docs: DataFrame, source_col: str = "source_id", xml_col: str = "xml") -> DataFrame:
@@ -34,9 +34,9 @@ def explode_feeds(docs: DataFrame, source_col: str = "source_id", xml_col: str =
 
     The root decides the dialect. Documents are repaired first; what can't be read even so gives no entries. Entries without address, guid and title are left out.
     """
-    xml = repair_xml(xml_col)
-    root = F.regexp_extract(xml, r"<(rss|feed|rdf:RDF|RDF)[ >]", 1)
-    staged = docs.select(F.col(source_col).alias("source_id"), xml.alias("__xml"), root.alias("__root"))
+    # each document is repaired once and read once, in the dialect of its root
+    root = r"<(rss|feed|rdf:RDF|RDF)[ >]"
+    staged = docs.select(F.col(source_col).alias("source_id"), let(repair_xml(xml_col), lambda x: F.struct(x.alias("xml"), F.regexp_extract(x, root, 1).alias("root"))).alias("__doc"))
     clean = lambda c: clean_text(c, "feed")
     none = F.array().cast("array<string>")
     tags = lambda c: F.filter(F.transform(F.coalesce(c, none), clean), lambda v: v != "")
@@ -67,11 +67,8 @@ def explode_feeds(docs: DataFrame, source_col: str = "source_id", xml_col: str =
         return entry(clean(i["title"]), text(best), clean(i["id"]), clean(F.get(i["author"], F.lit(0))["name"]), _first(*[text(i[c]) for c in ("published", "updated", "date")]), _first(clean(i["summary"]), clean(i["content"])), tags(terms))
 
     options = {"mode": "PERMISSIVE", "ignoreNamespace": "false"}
-    read = lambda schema: F.from_xml(F.when(F.length("__xml") > 0, F.col("__xml")), schema, options)
-    dialects = [("rss", RSS, lambda d: d["channel"]["item"], rss), ("rdf:RDF", RDF, lambda d: d["item"], rdf), ("feed", ATOM, lambda d: d["entry"], atom)]
-    out = None
-    for name, schema, of, make in dialects:
-        part = staged.filter((F.col("__root") == name) | ((F.col("__root") == "RDF") & (name == "rdf:RDF"))).withColumn("__d", read(schema))
-        part = part.select("source_id", F.posexplode(F.transform(of(F.col("__d")), make)).alias("pos", "e")).select("source_id", "pos", "e.*")
-        out = part if out is None else out.unionByName(part)
+    dialects = [(("rss",), RSS, lambda d: d["channel"]["item"], rss), (("rdf:RDF", "RDF"), RDF, lambda d: d["item"], rdf), (("feed",), ATOM, lambda d: d["entry"], atom)]
+    read = lambda schema, of, make: F.transform(of(F.from_xml(F.col("__doc.xml"), schema, options)), make)
+    entries = F.coalesce(*[F.when(F.col("__doc.root").isin(*roots), read(schema, of, make)) for roots, schema, of, make in dialects])
+    out = staged.select("source_id", F.posexplode(entries).alias("pos", "e")).select("source_id", "pos", "e.*")
     return out.filter((F.col("url") != "") | (F.col("guid") != "") | (F.col("title") != "(untitled)"))
