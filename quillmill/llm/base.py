@@ -5,13 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmill.functions.batches import slabs
 from quillmill.plans.working import forget, shared_dir, stored
 
 __all__ = ["SPACE", "beside", "forget", "pick", "sha256_hex", "shared_dir", "slabs", "stored", "table", "through"]
@@ -24,20 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slabs(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with about `most` bytes of text, so that memory follows the slab, not the batch. A longer text is a slab of its own."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64))
-        at = 0
-        while at < batch.num_rows:
-            before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

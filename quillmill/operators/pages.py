@@ -8,9 +8,11 @@ from collections.abc import Iterable, Iterator
 from html import unescape as decode
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.batches import slabs
 from quillmill.functions.dates import date_in_path, parse_page_date
 from quillmill.functions.text import CODE_LINE, CODE_WORDS, PROMPT, clean_text, fold, infer_language, is_access_prompt, let, normalize_language, text, unescape
 from quillmill.functions.urls import host, join_url, path
@@ -232,18 +234,25 @@ def _markdown(block: str, base: str) -> str:
 
 
 def article_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, article_text, article_markdown, article_chars, method) of every page, in Arrow batches; pages never meet, so nothing is shuffled. Null pages are empty."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for i, url, html in zip(f["id"], f["url"], f["html"], strict=True):
-                body, block, method = _choose(html if isinstance(html, str) else "")
-                rows.append((i, body, _markdown(block, url if isinstance(url, str) else "") if block else body, len(body), method))
-            yield pd.DataFrame(rows, columns=["id", "article_text", "article_markdown", "article_chars", "method"])
+    """(id, article_text, article_markdown, article_chars, method) of every page, in Arrow batches; pages never meet, so nothing is shuffled. Null pages are empty.
 
+    A batch may be thousands of pages, so it is read in slabs: what a task holds besides the batch is a slab's pages and their texts.
+    """
     kind = dict(pages.dtypes)[id_col]
-    return pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(run, f"id {kind}, article_text string, article_markdown string, article_chars long, method string")
+    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab in slabs(batches, "html", 1 << 20):
+            bodies, marked, methods = [], [], []
+            for url, html in zip(slab.column("url").to_pylist(), slab.column("html").to_pylist(), strict=True):
+                body, block, method = _choose(html or "")
+                bodies.append(body)
+                marked.append(_markdown(block, url or "") if block else body)
+                methods.append(method)
+            own = [pa.array(x, pa.string()) for x in (bodies, marked, methods)]
+            yield pa.RecordBatch.from_arrays([slab.column("id"), *own[:2], pa.array(map(len, bodies), pa.int64()), own[2]], ["id", "article_text", "article_markdown", "article_chars", "method"])
+
+    return own.mapInArrow(run, f"id {kind}, article_text string, article_markdown string, article_chars long, method string")
 
 
 def classify_access(pages: DataFrame, html_col: str, status_col: str, chars_col: str, headers_col: str | None = None, url_col: str = "url") -> DataFrame:
