@@ -57,9 +57,10 @@ def shingle_classes(texts: DataFrame, id_col: str, text_col: str, least_chars: i
     for this table alone. With `among` (shingle) only shingles that it has are given, so whole sets of a large table never move.
     """
     hashes = let(_gated(text_col, least_chars), lambda s: F.array_sort(F.transform(s, lambda x: F.xxhash64(x))))
-    own = texts.select(F.col(id_col).alias("id"), hashes.alias("shingles")).filter("shingles is not null")
+    own = texts.select(F.col(id_col).alias("id"), hashes.alias("shingles"))
     key = F.struct(F.size("shingles").alias("n"), F.xxhash64(F.lit(1), "shingles").alias("a"), F.xxhash64(F.lit(2), "shingles").alias("b"))
-    whole = stored(own.select("id", F.monotonically_increasing_id().alias("row"), key.alias("key"), "shingles"), "shingle-sets")
+    # a filter on the shingles before they are written would go below them, and make them twice
+    whole = stored(own.select("id", F.monotonically_increasing_id().alias("row"), key.alias("key"), "shingles"), "shingle-sets").filter("shingles is not null")
     first = stored(whole.groupBy("key").agg(F.min("row").alias("set_id")), "shingle-classes")
     members = whole.select("id", "key").join(first, "key").select("id", "set_id", "key.n")
     flat = lambda df: df.select(F.col("row").alias("id"), "key.n", F.explode("shingles").alias("shingle"))
