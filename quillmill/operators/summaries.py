@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import blanks, clean_text, clip, fold, has_cjk, let, squeeze, strip, text, title_terms
+from quillmill.functions.text import blanks, clean_text, clip, fold, has_cjk, let, strip, text, title_terms
 from quillmill.plans.working import stored
 
 # Phrases of page furniture, signs of addresses, of notes and of source lines, and words that mark sentences of substance.
@@ -22,17 +22,16 @@ CUES = ("open source", "open data", "governance", "privacy", "security", "datase
 
 def is_low_value(sentence: Column) -> Column:
     """Page furniture, addresses, notes and source lines. Plain phrases are looked for one by one, which is cheaper than one pattern of them all."""
-    low = fold(sentence)
-    phrases = [F.contains(low, F.lit(x)) for x in (*BOILERPLATE, *ADDRESSES)]
+    shouts = lambda low: reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in (*BOILERPLATE, *ADDRESSES)])
     colons = F.length(sentence) - F.length(F.translate(sentence, "：", ""))
-    return reduce(Column.__or__, phrases) | sentence.rlike(NOTE) | (sentence.rlike(NUMBERED) & sentence.rlike(SOURCE)) | ((F.length(sentence) > 180) & (colons >= 4))
+    return let(fold(sentence), shouts) | sentence.rlike(NOTE) | (sentence.rlike(NUMBERED) & sentence.rlike(SOURCE)) | ((F.length(sentence) > 180) & (colons >= 4))
 
 
 def sentences(x: Column | str) -> Column:
     """The sentences of a text of 30 characters or more that are of some value, at most 700 of each. The text is cleaned once, and only as far as it has references or tags; what is cleaned needs no more of it by sentence."""
     t = text(x)
     marked = F.contains(t, F.lit("<")) | F.contains(t, F.lit("&"))
-    plain = squeeze(F.regexp_replace(blanks(t, r"\t\r\f\x0B"), r"(?U)\n\s+", "\n"))
+    plain = strip(F.regexp_replace(blanks(t, r"\t\r\f\x0B"), r"(?U)\n\s+", "\n"))
     cut = lambda c: F.when(has_cjk(c), F.split(c, r"(?<=[。！？!?])\s*|\n+")).otherwise(F.split(c, r"(?<=[.!?])\s+|\n+"))
     whole = let(F.when(marked, clean_text(x, "block")).otherwise(plain), cut)
     long = F.filter(F.transform(whole, lambda s: clip(strip(s), 700)), lambda s: F.length(s) >= 30)
@@ -40,22 +39,28 @@ def sentences(x: Column | str) -> Column:
 
 
 def sentence_score(sentence: Column, index: Column, keywords: Column, terms: Column, cues: tuple[str, ...] = CUES) -> Column:
-    """Early, of good length, with keywords (8 each), title words and cues (3 each) or a digit; short and very long ones lose."""
-    low, n = fold(sentence), F.length(sentence)
-    hits = lambda words: F.size(F.filter(words, lambda w: (strip(w) != "") & F.contains(low, fold(strip(w)))))
-    cue = sum((F.when(F.contains(low, F.lit(c)), 3.0).otherwise(0.0) for c in cues), F.lit(0.0))
-    return (
-        F.greatest(F.lit(0.0), 16 - index * 0.25) + F.least(n, F.lit(260)) / 55 + hits(keywords) * 8 + hits(F.slice(terms, 1, 12)) * 3 + cue
-        + F.when(sentence.rlike(r"\d"), 1.5).otherwise(0.0) - F.when(n < 45, 3.0).otherwise(0.0) - F.when(n > 420, 2.0).otherwise(0.0)
-    )
+    """Early, of good length, with keywords (8 each), title words and cues (3 each) or a digit; short and very long ones lose. Keywords and title words are folded and without white space at their ends."""
+    n = F.length(sentence)
+
+    def scored(low: Column) -> Column:
+        hits = lambda words: F.size(F.filter(words, lambda w: (w != "") & F.contains(low, w)))
+        cue = sum((F.when(F.contains(low, F.lit(c)), 3.0).otherwise(0.0) for c in cues), F.lit(0.0))
+        return (
+            F.greatest(F.lit(0.0), 16 - index * 0.25) + F.least(n, F.lit(260)) / 55 + hits(keywords) * 8 + hits(F.slice(terms, 1, 12)) * 3 + cue
+            + F.when(sentence.rlike(r"\d"), 1.5).otherwise(0.0) - F.when(n < 45, 3.0).otherwise(0.0) - F.when(n > 420, 2.0).otherwise(0.0)
+        )
+
+    return let(fold(sentence), scored)
 
 
 def score_sentences(records: DataFrame, id_col: str, text_col: str, title_col: str, keywords_col: str | None = None, first: int | None = None) -> DataFrame:
     """(id, index, sentence, score) of all sentences, or of the first few."""
-    own = sentences(text_col)
-    own = own if first is None else F.slice(own, 1, first)
-    keywords = F.coalesce(F.col(keywords_col), F.array().cast("array<string>")) if keywords_col else F.array().cast("array<string>")
-    rows = records.select(F.col(id_col).alias("id"), keywords.alias("keywords"), title_terms(title_col).alias("terms"), F.posexplode(own).alias("index", "sentence"))
+    folded = lambda words: F.transform(words, lambda w: fold(strip(w)))
+    keywords = folded(F.coalesce(F.col(keywords_col), F.array().cast("array<string>"))) if keywords_col else F.array().cast("array<string>")
+    # what a text has one of is made before its sentences are rows, else each of them would make it again
+    whole = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), keywords.alias("keywords"), folded(title_terms(title_col)).alias("terms"))
+    own = F.posexplode(sentences("text") if first is None else F.slice(sentences("text"), 1, first))
+    rows = whole.select("id", "keywords", "terms", own.alias("index", "sentence"))
     return rows.select("id", "index", "sentence", sentence_score(F.col("sentence"), F.col("index"), F.col("keywords"), F.col("terms")).alias("score"))
 
 
