@@ -734,8 +734,10 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = escape(escape(F.col("text")))
     title = escape(escape(F.substring_index("text", "\n", 1)))
     day = F.date_format(F.date_sub(F.lit(TODAY).cast("date"), (F.col("doc_id") % 120).cast("int")), "dd MMM yyyy 00:00:00 'GMT'")
-    item = tag("item", F.concat(tag("title", title), tag("link", F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id")), tag("pubDate", day), tag("description", html), tag("category", F.col("lang"))))
-    whole = table(spark, sf_dir, "documents").filter("doc_id is not null and text is not null and source is not null and lang is not null")
-    docs = whole.select(F.col("doc_id").alias("source_id"), tag("rss", tag("channel", item)).alias("xml"))
+    # without a language or a number an entry lacks the elements made of it
+    some = lambda name, c: F.coalesce(tag(name, c), F.lit(""))
+    item = tag("item", F.concat(tag("title", title), some("link", F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id")), some("pubDate", day), tag("description", html), some("category", F.col("lang"))))
+    told = table(spark, sf_dir, "documents").filter("text is not null and source is not null")
+    docs = told.select(F.col("doc_id").alias("source_id"), tag("rss", tag("channel", item)).alias("xml"))
     e = explode_feeds(docs)
-    return e.select("source_id", "pos", "title", "url", F.get("tags", F.lit(0)).alias("tag"), F.length(F.regexp_replace("summary", r"\s+", "")).alias("n_letters"), "published_at")
+    return e.select("source_id", "pos", "title", F.nullif("url", F.lit("")).alias("url"), F.get("tags", F.lit(0)).alias("tag"), F.length(F.regexp_replace("summary", r"\s+", "")).alias("n_letters"), "published_at")
